@@ -235,15 +235,16 @@ def transactions(
     cards: DataFrame,
     customers: DataFrame,
     merchants: DataFrame,
-    merchant_count: int,
     seed: int = TRANSACTION_SEED,
     reference_date: date = model.REFERENCE_DATE,
+    first_merchant: int = 1,
 ) -> DataFrame:
     """Transactions per card by card status, each at a random merchant.
 
-    Merchants are M1..M<merchant_count>, so a draw names one directly and its
-    attributes come by an ordinary key join.
+    Merchant ids are numbered without gaps from ``first_merchant``, so a draw
+    names one directly and its attributes come by an ordinary key join.
     """
+    merchant_count = merchants.select(F.count(F.lit(1))).scalar()
     card = F.col("card_id")
     per_card = ACTIVE_CARD_USES[1]
     used = owned_cards(cards, customers).withColumn(
@@ -256,7 +257,7 @@ def transactions(
     def draw(what: str) -> Column:
         return uniform(seed, what, card, F.col("_nth"))
 
-    index = F.floor(draw("merchant") * merchant_count).cast("long") + 1
+    index = F.floor(draw("merchant") * merchant_count).cast("long") + first_merchant
     placed = with_merchant(
         rows.withColumn("merchant_id", identifier("M", index, 6)), merchants
     )

@@ -14,15 +14,12 @@ PIECE = 8
 
 
 def _pieces(text: Column, length: Column) -> Column:
-    """All substrings of the given length, in order; none when text is shorter."""
-    chars = F.split(text, "")
-    starts = F.when(
-        F.length(text) >= length,
-        F.sequence(F.lit(1), F.length(text) - length + 1),
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts, lambda start: F.array_join(F.slice(chars, start, length), "")
-    )
+    """All substrings of the given length, in order; none when text is shorter.
+
+    A look-ahead consumes nothing, so one scan yields the overlapping pieces.
+    """
+    pattern = F.concat(F.lit("(?s)(?=(.{"), length.cast("string"), F.lit("}))"))
+    return F.regexp_extract_all(text, pattern, F.lit(1))
 
 
 def _anchored(names: DataFrame, id_columns: Sequence[str]) -> DataFrame:
@@ -63,14 +60,14 @@ def entity_mentions(
     """
     anchored = _anchored(names, ["kind", "name"])
     lengths = anchored.select(F.collect_set(F.length("_piece"))).scalar()
-    forms = texts.select(*text_id, name_form(F.col(column)).alias("_text"))
-    pieces = F.flatten(
-        F.transform(lengths, lambda length: _pieces(F.col("_text"), length))
+    forms = texts.select(
+        *text_id,
+        name_form(F.col(column)).alias("_text"),
+        F.explode(lengths).alias("_length"),
     )
+    pieces = F.array_distinct(_pieces(F.col("_text"), F.col("_length")))
     return (
-        forms.select(
-            *text_id, "_text", F.explode(F.array_distinct(pieces)).alias("_piece")
-        )
+        forms.select(*text_id, "_text", F.explode(pieces).alias("_piece"))
         .join(anchored, "_piece")
         .where(F.col("_text").contains(F.col("_form")))
         .select(*text_id, "kind", "name")
