@@ -145,16 +145,6 @@ def _damaged(check: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, sf: check(feed.damaged_tables(spark, sf))
 
 
-def _public_tables(spark: SparkSession, sf: str) -> DataFrame:
-    tables = feed.clean_tables(spark, sf)
-    return quality.sensitive_columns(
-        {
-            "cards_public": cleaning.public_cards(tables["cards"]),
-            "transactions_clean": tables["transactions"],
-        }
-    )
-
-
 def _routed(spark: SparkSession, sf: str) -> DataFrame:
     return messages.with_follow_up(
         messages.route(
@@ -178,6 +168,40 @@ def _mentions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Accented letters, masked before comparing redacted texts: see the SQL.
+ACCENTED = "[ªµºÀ-ÖØ-öø-ɏ]"
+
+
+def _redaction_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: markers by kind, length and digest of the redacted text."""
+    redacted = messages.redact(
+        feed.table(spark, sf, "documents").select("doc_id", "text")
+    )
+    text = F.col("text")
+    return redacted.select(
+        "doc_id",
+        F.regexp_count(text, F.lit(r"\[REDACTED\]")).cast("long").alias("values"),
+        F.regexp_count(text, F.lit(r"\[REDACTED EMAIL\]")).cast("long").alias("emails"),
+        F.regexp_count(text, F.lit(r"\[REDACTED NUMBER\]")).cast("long").alias("numbers"),
+        F.regexp_count(text, F.lit(r"\[REDACTED PHONE\]")).cast("long").alias("phones"),
+        F.length(text).cast("long").alias("chars"),
+        F.md5(F.regexp_replace(text, ACCENTED, "_")).alias("digest"),
+    )
+
+
+def _repeated_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a source as its messages, to find the copies among them."""
+    documents = feed.table(spark, sf, "documents").select(
+        F.col("source").alias("conv_id"),
+        F.col("doc_id").alias("turn"),
+        F.lit("user").alias("role"),
+        "text",
+    )
+    return messages.repeated_questions(documents).select(
+        F.col("conv_id").alias("source"), F.col("turn").alias("doc_id"), "is_repeat"
+    )
+
+
 def _sanitized(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as nested documents, private fields dropped at any depth."""
     nested = feed.table(spark, sf, "conversations").select(
@@ -193,30 +217,42 @@ def _sanitized(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("log"),
     )
     return privacy.sanitize(nested).select(
-        "conv_id",
-        "turn",
-        F.to_json("message").alias("message"),
-        F.to_json("log").alias("log"),
+        "conv_id", "turn", "message.*", F.inline("log")
     )
 
 
-def _synthetic_cards(spark: SparkSession, sf: str) -> DataFrame:
-    return generation.cards(feed.customers(spark, sf))
+def _synthetic_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Synthetic tables numbered like the given customers and suppliers."""
+    owners = generation.customer_rows(
+        feed.table(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("id")),
+        generation.CUSTOMER_SEED,
+    )
+    shops = generation.merchant_rows(
+        feed.table(spark, sf, "supplier").select((F.col("s_suppkey") + 1).alias("id")),
+        generation.MERCHANT_SEED,
+    )
+    held = generation.cards(owners)
+    return {
+        "customers": owners,
+        "cards": held,
+        "merchants": shops,
+        "transactions": generation.transactions(held, owners, shops),
+    }
+
 
+def _synthetic(name: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = _synthetic_tables(spark, sf)[name]
+        for money in ("amount", "annual_income"):
+            if money in df.columns:
+                df = df.withColumn(money, F.col(money).cast("double"))
+        return df
 
-def _synthetic_transactions(spark: SparkSession, sf: str) -> DataFrame:
-    owners = feed.customers(spark, sf)
-    drawn = generation.transactions(
-        generation.cards(owners), owners, feed.merchants(spark, sf), first_merchant=0
-    )
-    return _plain_amount(drawn)
+    return run
 
 
-def _synthetic_customers(spark: SparkSession, sf: str) -> DataFrame:
-    index = feed.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return generation.customer_rows(index, generation.CUSTOMER_SEED).withColumn(
-        "annual_income", F.col("annual_income").cast("double")
-    )
+def _synthetic_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.rule_counts(_synthetic_tables(spark, sf)).drop("detail")
 
 
 def queries() -> dict[str, Query]:
@@ -353,7 +389,6 @@ def queries() -> dict[str, Query]:
             lambda t: quality.card_preconditions(t["customers"], t["cards"])
         ),
         "row_counts": _row_counts,
-        "sensitive_columns": _public_tables,
         # fact and dimensions
         "clean_transactions": lambda spark, sf: _plain_amount(
             feed.full_transactions(spark, sf)
@@ -373,6 +408,7 @@ def queries() -> dict[str, Query]:
         "redacted_documents": lambda spark, sf: messages.redact(
             feed.table(spark, sf, "documents").select("doc_id", "text")
         ),
+        "redaction_profile": _redaction_profile,
         "unsafe_texts": lambda spark, sf: messages.unsafe_flags(
             feed.table(spark, sf, "documents").select("doc_id", "text")
         ).drop("text"),
@@ -389,12 +425,15 @@ def queries() -> dict[str, Query]:
         "repeated_questions": lambda spark, sf: messages.repeated_questions(
             feed.table(spark, sf, "conversations")
         ),
+        "repeated_documents": _repeated_documents,
         "entity_mentions": _mentions,
         "sanitized_messages": _sanitized,
-        # generators over the given tables
-        "synthetic_customers": _synthetic_customers,
-        "synthetic_cards": _synthetic_cards,
-        "synthetic_transactions": _synthetic_transactions,
+        # generators numbered by the given tables
+        "synthetic_customers": _synthetic("customers"),
+        "synthetic_cards": _synthetic("cards"),
+        "synthetic_merchants": _synthetic("merchants"),
+        "synthetic_transactions": _synthetic("transactions"),
+        "quality_of_synthetic_tables": _synthetic_quality,
     }
 
 

@@ -419,6 +419,48 @@ def _variant() -> str:
     )
 
 
+# DuckDB's word edges know ASCII letters only. Accented letters are masked by an
+# ASCII word character first, so edges fall where they should; what is compared
+# is masked alike on both sides.
+_ACCENTED = "[ªµºÀ-ÖØ-öø-ɏ]"
+_REDACTIONS = (
+    (
+        r"\b(?:my name|name|address|account number|transaction id|"
+        r"transaction reference|reference number)\s*(?:is|:|=)\s*[^,;]+",
+        "[REDACTED]",
+    ),
+    (
+        r"\b(?:cvv|cvc|security code|pin|otp|password|one[- ]time password)\b"
+        r"\s*(?:is|:|=)?\s*[A-Za-z0-9-]+",
+        "[REDACTED]",
+    ),
+    (r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[REDACTED EMAIL]"),
+    (r"\b(?:\d[ -]?){11,18}\d\b", "[REDACTED NUMBER]"),
+    (r"\b(?:\+?\d[ ().-]*){10,15}\b", "[REDACTED PHONE]"),
+)
+_ASKING = (
+    r"\b(?:share|send|provide|enter|tell me|give me|confirm)\s+(?:your\s+)?"
+    r"(?:card number|card details|cvv|cvc|pin|otp|password)\b"
+)
+
+
+def _redacted(expression: str) -> str:
+    for pattern, marker in _REDACTIONS:
+        expression = f"regexp_replace({expression}, '(?i){pattern}', '{marker}', 'g')"
+    return expression
+
+
+_MASKED = f"""
+masked AS (
+  SELECT doc_id, regexp_replace(text, '{_ACCENTED}', '_', 'g') AS plain FROM documents
+),
+safe AS (SELECT doc_id, plain, {_redacted('plain')} AS text FROM masked)"""
+
+
+def _markers(name: str) -> str:
+    return f"len(regexp_extract_all(text, '\\[{name}\\]'))"
+
+
 _NAME_FORM = r"trim(regexp_replace({0}, '[^\p{{L}}\p{{N}}_%]+', ' ', 'g'))"
 
 
@@ -862,4 +904,46 @@ WITH names AS (
 SELECT c.conv_id, c.turn, n.kind, n.name
 FROM conversations c JOIN names n
   ON {_form('n.name')} <> '' AND contains({_form('c.text')}, {_form('n.name')})""",
+    "redaction_profile": f"""
+WITH {_MASKED}
+SELECT doc_id, {_markers('REDACTED')} AS "values", {_markers('REDACTED EMAIL')} AS emails,
+       {_markers('REDACTED NUMBER')} AS numbers, {_markers('REDACTED PHONE')} AS phones,
+       length(text) AS chars, md5(text) AS digest
+FROM safe""",
+    "unsafe_texts": f"""
+WITH {_MASKED}, flags AS (
+  SELECT doc_id,
+         regexp_matches(
+           regexp_replace(plain, '(?i)(?:never |not |don''t ){_ASKING}', '#', 'g'),
+           '(?i){_ASKING}') AS asks_for_credentials,
+         regexp_matches(plain, '[\\p{{Nd}}²³¹⁰⁴-⁹₀-₉]') AS has_digits,
+         text <> plain AS changed_by_redaction
+  FROM safe
+)
+SELECT *, asks_for_credentials OR has_digits OR changed_by_redaction AS is_unsafe
+FROM flags""",
+    "repeated_questions": f"""
+WITH said AS (
+  SELECT conv_id, turn, replace(translate(lower({_redacted("trim(text, E' \\t\\n\\r')")}),
+         'ſς', 'sσ'), 'ß', 'ss') AS asked
+  FROM conversations WHERE role = 'user'
+)
+SELECT conv_id, turn,
+       turn > min(turn) OVER (PARTITION BY conv_id, asked) AS is_repeat
+FROM said""",
+    "repeated_documents": f"""
+WITH said AS (
+  SELECT source, doc_id, replace(translate(lower({_redacted("trim(text, E' \\t\\n\\r')")}),
+         'ſς', 'sσ'), 'ß', 'ss') AS asked
+  FROM documents
+)
+SELECT source, doc_id,
+       doc_id > min(doc_id) OVER (PARTITION BY source, asked) AS is_repeat
+FROM said""",
+    "sanitized_messages": f"""
+SELECT conv_id, turn, {_redacted('text')} AS content, role, role AS speaker
+FROM conversations""",
+    "quality_of_synthetic_tables": _with_dims(f"""
+SELECT rule, dataset, "column", 0 AS violations
+FROM ({_quality({**_CLEAN_SET, "transactions": "described"})}) rules"""),
 }

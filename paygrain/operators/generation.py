@@ -149,28 +149,31 @@ def merchants(
     seed: int = MERCHANT_SEED,
     reference_date: date = model.REFERENCE_DATE,
 ) -> DataFrame:
+    return merchant_rows(spark.range(1, count + 1), seed, reference_date)
+
+
+def merchant_rows(
+    index: DataFrame, seed: int, reference_date: date = model.REFERENCE_DATE
+) -> DataFrame:
+    """Merchants for the given ``id`` numbers."""
     key = F.col("id")
 
     def draw(what: str) -> Column:
         return uniform(seed, what, key)
 
-    return (
-        spark.range(1, count + 1)
-        .withColumn("_place", _place(draw("place")))
-        .select(
-            identifier("M", key, 6).alias("merchant_id"),
-            F.concat(F.lit("Merchant "), key).alias("merchant_name"),
-            choice(draw("category"), model.CATEGORIES).alias("merchant_category"),
-            F.col("_place.city").alias("city"),
-            F.col("_place.state").alias("state"),
-            F.concat(F.lit("Contact "), key).alias("contact_person"),
-            F.concat(F.lit("merchant"), key, F.lit("@example.com")).alias("email"),
-            _phone(draw("phone")).alias("phone"),
-            F.date_sub(
-                F.lit(reference_date), between(draw("since"), 0, 365 * 5)
-            ).alias("registration_date"),
-            choice(draw("status"), model.MERCHANT_STATUSES).alias("merchant_status"),
-        )
+    return index.withColumn("_place", _place(draw("place"))).select(
+        identifier("M", key, 6).alias("merchant_id"),
+        F.concat(F.lit("Merchant "), key).alias("merchant_name"),
+        choice(draw("category"), model.CATEGORIES).alias("merchant_category"),
+        F.col("_place.city").alias("city"),
+        F.col("_place.state").alias("state"),
+        F.concat(F.lit("Contact "), key).alias("contact_person"),
+        F.concat(F.lit("merchant"), key, F.lit("@example.com")).alias("email"),
+        _phone(draw("phone")).alias("phone"),
+        F.date_sub(F.lit(reference_date), between(draw("since"), 0, 365 * 5)).alias(
+            "registration_date"
+        ),
+        choice(draw("status"), model.MERCHANT_STATUSES).alias("merchant_status"),
     )
 
 

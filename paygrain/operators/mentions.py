@@ -52,23 +52,34 @@ def entity_mentions(
 ) -> DataFrame:
     """(text id, kind, name) for every name that occurs in a text.
 
-    ``names`` holds distinct (kind, name). Case and punctuation are ignored on
-    both sides; a name may start or end inside a word. Every name is looked up
-    by one short piece of itself: texts are turned into their distinct pieces
-    and joined on equality, then long names are verified in full. The piece
-    lengths in use (at most eight) come from the names.
+    ``names`` holds distinct (kind, name); ``text_id`` identifies a text. Case
+    and punctuation are ignored on both sides; a name may start or end inside a
+    word. Every name is looked up by one short piece of itself: texts are turned
+    into their distinct pieces, without the text itself, and joined on equality.
+    What matches goes back to its text, where longer names are checked in full.
+    The piece lengths in use (at most eight) come from the names.
     """
     anchored = _anchored(names, ["kind", "name"])
     lengths = anchored.select(F.collect_set(F.length("_piece"))).scalar()
-    forms = texts.select(
-        *text_id,
-        name_form(F.col(column)).alias("_text"),
-        F.explode(lengths).alias("_length"),
+    # Spread evenly before every text becomes hundreds of pieces; joining the
+    # candidates back to their texts reuses the same shuffle.
+    forms = texts.select(*text_id, name_form(F.col(column)).alias("_text")).repartition(
+        *text_id
     )
     pieces = F.array_distinct(_pieces(F.col("_text"), F.col("_length")))
+    spread = forms.withColumn("_length", F.explode(lengths)).select(
+        *text_id, F.explode(pieces).alias("_piece")
+    )
+    # Spark estimates the pieces at the size of the texts and would broadcast
+    # them. A semi join can only broadcast its right side, the names, and only
+    # while they are small; it keeps the few pieces that are worth joining.
+    hits = spread.join(anchored.select("_piece"), "_piece", "left_semi")
+    candidates = hits.join(anchored, "_piece").select(
+        *text_id, "kind", "name", "_form"
+    )
+    is_long = F.length("_form") > PIECE
     return (
-        forms.select(*text_id, "_text", F.explode(pieces).alias("_piece"))
-        .join(anchored, "_piece")
-        .where(F.col("_text").contains(F.col("_form")))
+        candidates.join(forms, list(text_id))
+        .where(~is_long | F.col("_text").contains(F.col("_form")))
         .select(*text_id, "kind", "name")
     )
