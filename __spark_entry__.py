@@ -80,7 +80,7 @@ def _event_anomalies(spark: SparkSession, sf: str) -> DataFrame:
     events = feed.table(spark, sf, "events").select(
         "event_id", "user_id", "event_type", "value"
     )
-    flagged = anomalies.amount_anomalies(events, column="value")
+    flagged = anomalies.amount_anomalies(events, column="value", key="event_id")
     return _scored(flagged, "event_id", "user_id", "event_type", "value")
 
 

@@ -22,13 +22,19 @@ def scored(df: DataFrame, column: str = "amount") -> DataFrame:
 
 
 def amount_anomalies(
-    df: DataFrame, z_threshold: float = 3.0, column: str = "amount"
+    df: DataFrame,
+    z_threshold: float = 3.0,
+    column: str = "amount",
+    key: str = "transaction_id",
 ) -> DataFrame:
-    """Rows whose score reaches the threshold on either side, largest first."""
+    """Rows whose score reaches the threshold on either side, largest first.
+
+    The key settles ties and keeps rows of one amount from sorting in one task.
+    """
     reached = F.coalesce(F.abs("amount_z_score") >= z_threshold, F.lit(False))
     return (
         scored(df, column)
         .withColumn("amount_anomaly", reached)
         .where("amount_anomaly")
-        .orderBy(F.desc(column))
+        .orderBy(F.desc(column), key)
     )

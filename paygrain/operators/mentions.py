@@ -73,7 +73,11 @@ def entity_mentions(
     # Spark estimates the pieces at the size of the texts and would broadcast
     # them. A semi join can only broadcast its right side, the names, and only
     # while they are small; it keeps the few pieces that are worth joining.
-    hits = spread.join(anchored.select("_piece"), "_piece", "left_semi")
+    # Those are spread again, so that both joins have shuffles of their own and
+    # Spark can split a piece that very many texts contain.
+    hits = spread.join(anchored.select("_piece"), "_piece", "left_semi").repartition(
+        *text_id
+    )
     candidates = hits.join(anchored, "_piece").select(
         *text_id, "kind", "name", "_form"
     )

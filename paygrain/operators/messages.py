@@ -146,18 +146,25 @@ def answer_variants(
 def repeated_questions(df: DataFrame) -> DataFrame:
     """User messages with a flag for text already asked in the conversation.
 
-    Compared case-folded and after redaction. The first turn of each text comes
-    from a partial aggregate, so a text repeated very often is one row before
-    it is joined back; the digest stands in for the text in the shuffle.
+    Compared case-folded and after redaction, by digest. The narrow digest rows
+    are spread evenly once and both uses read that shuffle, so no text is
+    redacted twice. The first turn of each text comes from an aggregate and is
+    joined back by the message it belongs to, not by the text: a text that is
+    repeated very often gives no large join group.
     """
-    said = df.where(F.col("role") == "user").select(
-        "conv_id",
-        "turn",
-        F.sha2(casefold(M.redact(strip(F.col("text")))), 256).alias("_digest"),
+    digest = F.sha2(casefold(M.redact(strip(F.col("text")))), 256)
+    said = (
+        df.where((F.col("role") == "user") & F.col("text").isNotNull())
+        .select("conv_id", "turn", F.coalesce(digest, F.lit("")).alias("_digest"))
+        .repartition("conv_id", "turn")
+    )
+    first = (
+        said.groupBy("conv_id", "_digest")
+        .agg(F.min("turn").alias("turn"))
+        .withColumn("_first", F.lit(True))
     )
-    first = said.groupBy("conv_id", "_digest").agg(F.min("turn").alias("_first"))
-    return said.join(first, ["conv_id", "_digest"]).select(
-        "conv_id", "turn", (F.col("turn") > F.col("_first")).alias("is_repeat")
+    return said.join(first, ["conv_id", "turn", "_digest"], "left").select(
+        "conv_id", "turn", F.col("_first").isNull().alias("is_repeat")
     )
 
 

@@ -122,6 +122,34 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _link_groups(
+    child: DataFrame, parent: DataFrame, key: str, attribute: str | None
+) -> DataFrame:
+    """Per (key, attribute): how many child and how many parent rows have it.
+
+    Both tables are stacked and counted instead of joined: counting collapses a
+    key that is shared by very many rows before any shuffle, whatever its
+    attributes are.
+    """
+    pair = F.col(attribute) if attribute else F.lit(None).cast("string")
+
+    def side(df: DataFrame, of_child: int, of_parent: int) -> DataFrame:
+        return df.select(
+            F.col(key).alias("key"),
+            pair.alias("attribute"),
+            F.lit(of_child).alias("c"),
+            F.lit(of_parent).alias("p"),
+        )
+
+    known = parent.where(F.col(key).isNotNull())
+    return (
+        side(child, 1, 0)
+        .unionByName(side(known, 0, 1))
+        .groupBy("key", "attribute")
+        .agg(F.sum("c").alias("children"), F.sum("p").alias("parents"))
+    )
+
+
 def link_counts(
     child: DataFrame,
     parent: DataFrame,
@@ -130,26 +158,26 @@ def link_counts(
 ) -> DataFrame:
     """Orphans and attribute mismatches of a child-to-parent link, one row.
 
-    The child is counted per key before it meets the parent, so a key shared
-    by very many rows joins as a single row. A null key has no parent. A
-    mismatch includes rows without a parent and null attributes.
-    ``parent_repeats`` counts parent rows whose key was already taken.
+    A null key has no parent. A mismatch is a child row whose parent does not
+    have the same attribute, which includes rows without a parent and null
+    attributes.
     """
-    keys = [key] if attribute is None else [key, attribute]
-    per_key = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    known = parent.groupBy(F.col(key).alias("_key")).agg(
-        *([F.max(attribute).alias("_attribute")] if attribute else []),
-        F.lit(True).alias("_known"),
+    same = F.col("attribute").isNotNull() & (F.col("parents") > 0)
+    per_key = (
+        _link_groups(child, parent, key, attribute)
+        .groupBy("key")
+        .agg(
+            F.sum("children").alias("children"),
+            F.sum("parents").alias("parents"),
+            F.sum(F.when(~same, F.col("children"))).alias("different"),
+        )
     )
-    joined = per_key.join(known, per_key[key] == known["_key"], "left")
-    orphans = F.sum(F.when(F.col("_known").isNull(), F.col("n")))
-    counts = [F.coalesce(orphans, F.lit(0)).alias("orphans")]
+    counts = [
+        F.sum(F.when(F.col("parents") == 0, F.col("children"))).alias("orphans")
+    ]
     if attribute:
-        differs = _not(F.col(attribute) == F.col("_attribute"))
-        counts.append(
-            F.coalesce(F.sum(F.when(differs, F.col("n"))), F.lit(0)).alias("mismatches")
-        )
-    return joined.agg(*counts)
+        counts.append(F.sum("different").alias("mismatches"))
+    return per_key.agg(*counts).fillna(0)
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -160,14 +188,22 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 def matched_mismatches(
     child: DataFrame, parent: DataFrame, key: str, attribute: str
 ) -> DataFrame:
-    """SQL flavour of the owner check: rows without a parent do not count."""
-    per_key = child.groupBy(key, attribute).agg(F.count(F.lit(1)).alias("n"))
-    other = parent.select(F.col(key), F.col(attribute).alias("_attribute"))
-    return (
-        per_key.join(other, key)
-        .where(F.col(attribute) != F.col("_attribute"))
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mismatches"))
+    """SQL flavour of the owner check: the rows of an inner join that differ.
+
+    Counted without the join: per key, all pairs of child and parent rows minus
+    the pairs with equal attributes. Null keys and attributes never join or
+    differ.
+    """
+    groups = _link_groups(
+        child.where(F.col(key).isNotNull()), parent, key, attribute
+    ).where(F.col("attribute").isNotNull())
+    per_key = groups.groupBy("key").agg(
+        F.sum("children").alias("children"),
+        F.sum("parents").alias("parents"),
+        F.sum(F.col("children") * F.col("parents")).alias("equal"),
     )
+    differing = F.col("children") * F.col("parents") - F.col("equal")
+    return per_key.agg(F.sum(differing).alias("mismatches")).fillna(0)
 
 
 def invalid_values(tables: Tables) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -161,7 +162,25 @@ def test_sql_owner_check_skips_unmatched_rows(spark):
     }
 
 
-def test_link_counts_join_one_row_per_key(spark):
+def test_sql_owner_check_counts_joined_rows(spark):
+    rng = random.Random(2)
+    keys, owners = ["a", "b", "c", None], ["x", "y", "z", None]
+    child = [(rng.choice(keys), rng.choice(owners)) for _ in range(120)]
+    parent = [(rng.choice(keys), rng.choice(owners)) for _ in range(6)]
+    schema = "k string, o string"
+    got = quality.matched_mismatches(
+        spark.createDataFrame(child, schema), spark.createDataFrame(parent, schema), "k", "o"
+    ).first()
+    expected = sum(
+        1
+        for k, o in child
+        for pk, po in parent
+        if k is not None and k == pk and o is not None and po is not None and o != po
+    )
+    assert got.mismatches == expected > 0
+
+
+def test_link_counts_take_hot_keys(spark):
     child = spark.range(9000).select(
         F.when(F.col("id") < 3000, "hot").otherwise(F.col("id").cast("string")).alias("k"),
         F.lit("x").alias("a"),

@@ -180,15 +180,15 @@ def test_summaries_add_up(spark, sf):
 def test_anomalies(spark):
     data = [(i, 10.0) for i in range(20)] + [(99, 1000.0)]
     df = spark.createDataFrame(data, "id int, amount double")
-    flagged = amount_anomalies(df).collect()
+    flagged = amount_anomalies(df, key="id").collect()
     assert [r.id for r in flagged] == [99]
     assert flagged[0].amount_anomaly is True
     one = spark.createDataFrame([(1, 5.0)], "id int, amount double")
-    assert amount_anomalies(one).count() == 0
+    assert amount_anomalies(one, key="id").count() == 0
     same = spark.createDataFrame([(1, 5.0), (2, 5.0)], "id int, amount double")
-    assert amount_anomalies(same).count() == 0
+    assert amount_anomalies(same, key="id").count() == 0
     low = spark.createDataFrame([(i, 10.0) for i in range(20)] + [(99, -1000.0)], "id int, amount double")
-    assert [r.id for r in amount_anomalies(low).collect()] == [99]
+    assert [r.id for r in amount_anomalies(low, key="id").collect()] == [99]
 
 
 def test_document_customers_have_a_set_of_categories(spark):
