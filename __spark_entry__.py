@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracles import FOLLOW_UP, ORACLES, TOPIC_PRIORITY, TOPIC_WORDS, VARIANT_RULES
+from checks.oracles import (
+    FOLLOW_UP,
+    LISTED_NAMES,
+    ORACLES,
+    TOPIC_PRIORITY,
+    TOPIC_WORDS,
+    VARIANT_RULES,
+)
 from paygrain.operators import (
     anomalies,
     cleaning,
@@ -427,6 +434,9 @@ def queries() -> dict[str, Query]:
         ),
         "repeated_documents": _repeated_documents,
         "entity_mentions": _mentions,
+        "listed_mentions": lambda spark, sf: mentions.listed_mentions(
+            feed.table(spark, sf, "documents"), "word", LISTED_NAMES, ["doc_id"]
+        ),
         "sanitized_messages": _sanitized,
         # generators numbered by the given tables
         "synthetic_customers": _synthetic("customers"),

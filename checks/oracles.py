@@ -365,6 +365,7 @@ VARIANT_RULES = (
     ("german", r"\bein\w*\b", "german_article"),
     ("french", r"\b(?:qui|que)\b", "french_relative"),
 )
+LISTED_NAMES = ("With the", "Über die", "DE LA", "ththe", "Health & Wellness")
 FOLLOW_UP = (r"(?:et|und|and|on|in)\b[^\n]*",)
 
 _EDGE_L = r"(^|[^\p{L}\p{N}_])"
@@ -940,6 +941,12 @@ WITH said AS (
 SELECT source, doc_id,
        doc_id > min(doc_id) OVER (PARTITION BY source, asked) AS is_repeat
 FROM said""",
+    "listed_mentions": f"""
+WITH names AS (
+  SELECT unnest([{", ".join(f"'{name}'" for name in LISTED_NAMES)}]) AS name
+)
+SELECT d.doc_id, 'word' AS kind, n.name
+FROM documents d JOIN names n ON contains({_form('d.text')}, {_form('n.name')})""",
     "sanitized_messages": f"""
 SELECT conv_id, turn, {_redacted('text')} AS content, role, role AS speaker
 FROM conversations""",

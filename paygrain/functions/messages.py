@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paygrain.functions.values import casefold, strip
+from paygrain.functions.values import bind, casefold, strip
 
 MAX_MESSAGE_CHARS = 500
 
@@ -81,18 +81,13 @@ _NEEDS = (None, None, "@", _DECIMAL, _DECIMAL)
 _REQUEST_START = "(?=[cegpst])"
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times."""
-    return F.transform(F.array(value), use).getItem(0)
-
-
 def _replaced(text: Column, pattern: str, marker: str, needed: str | None) -> Column:
     def replace(before: Column) -> Column:
         return F.regexp_replace(before, _ANY_CASE + pattern, F.lit(marker))
 
     if needed is None:
         return replace(text)
-    return _bind(
+    return bind(
         text,
         lambda before: F.when(before.rlike(needed), replace(before)).otherwise(before),
     )

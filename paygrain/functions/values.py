@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,15 +19,21 @@ WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def strip(column: Column) -> Column:
     return F.trim(column, F.lit(WHITESPACE))
 
 
 def casefold(column: Column) -> Column:
     """Lower case plus the foldings that matter for comparing European text."""
-    return F.replace(
-        F.translate(F.lower(column), "ſς", "sσ"), F.lit("ß"), F.lit("ss")
-    )
+    folded = F.lower(column)
+    for letter, plain in (("ß", "ss"), ("ſ", "s"), ("ς", "σ")):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return folded
 
 
 def is_blank(column: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import SparkSession
 
 # Only settings that hold at any cluster size. Executor memory, cores and the
@@ -16,15 +18,44 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+PARTITION_BYTES = 256 * 1024 * 1024
+# Upper bound for the map-output bookkeeping of one shuffle; beyond it the
+# partitions grow instead of their number, and sorts and aggregates spill.
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def settings_for(shuffled_bytes: int) -> dict[str, str]:
+    """Partition settings for jobs whose largest shuffle moves this many bytes.
+
+    The shuffle starts with enough partitions that each fits an executor core's
+    share of memory; AQE then merges small ones up to the advisory size and
+    splits skewed ones at a few times that size.
+    """
+    wanted = max(1, ceil(shuffled_bytes / PARTITION_BYTES))
+    size = str(PARTITION_BYTES)
+    return {
+        "spark.sql.shuffle.partitions": str(min(wanted, MAX_SHUFFLE_PARTITIONS)),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(
+            2 * PARTITION_BYTES
+        ),
+    }
+
 
 def build_session(
-    app_name: str = "paygrain", master: str | None = None, **settings: str
+    app_name: str = "paygrain",
+    master: str | None = None,
+    shuffled_bytes: int | None = None,
+    **settings: str,
 ) -> SparkSession:
     """Get or create a session; ``settings`` use ``__`` for dots in key names."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULTS.items():
+    sized = settings_for(shuffled_bytes) if shuffled_bytes else {}
+    for key, value in {**DEFAULTS, **sized}.items():
         builder = builder.config(key, value)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)

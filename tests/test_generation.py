@@ -1,4 +1,7 @@
+import struct
+
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from paygrain import model
@@ -61,6 +64,20 @@ def test_shape_of_the_tables(tables):
     assert (model.REFERENCE_DATE - days[0]).days <= generation.HISTORY_DAYS
 
 
+def test_draws_match_another_implementation(spark):
+    seed, tag = 45, "amount"
+    got = spark.range(0, 50).select(
+        "id", uniform(seed, tag, F.col("id"), F.lit("K1")).alias("u")
+    )
+    for row in got.collect():
+        # Spark chains the columns: each hash is the seed of the next.
+        bits = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        bits = xxhash.xxh64_intdigest(tag.encode(), bits)
+        bits = xxhash.xxh64_intdigest(struct.pack("<q", row.id), bits)
+        bits = xxhash.xxh64_intdigest(b"K1", bits)
+        assert row.u == (bits >> 11) * 2.0**-53
+
+
 def test_weights(spark):
     draws = spark.range(40000).select(
         F.when(F.lit(True), F.lit(1)).alias("one"),

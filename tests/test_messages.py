@@ -264,6 +264,8 @@ def test_mentions_match_brute_force(spark):
         (i, n) for i, t in enumerate(texts) for n in names if form(n) and form(n) in form(t)
     }
     assert got == expected and got
+    listed = mentions.listed_mentions(messages_df, "x", names, ["n"]).collect()
+    assert {(r["n"], r["name"]) for r in listed} == expected
 
 
 def test_nested_private_fields(spark):
