@@ -284,7 +284,7 @@ def _quality(source: dict[str, str], extra: tuple[str, ...] = ()) -> str:
         key = _KEYS[dataset]
         count("V5", dataset, key, f"trim({key}) = ''")
         rows.append(
-            f"SELECT 'V3', '{dataset}', '{key}', coalesce(sum(n - 1), 0) FROM "
+            f"SELECT 'V3', '{dataset}', '{key}', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM "
             f"(SELECT count(*) AS n FROM {source[dataset]} GROUP BY {key}) k"
         )
     categories = listed(CATEGORIES)
@@ -673,7 +673,7 @@ SELECT transaction_month, {_SUM} AS completed_amount, count(*) AS transaction_co
 FROM tx WHERE transaction_status = 'Completed' GROUP BY transaction_month"""),
     "document_categories": _tx(f"""
 SELECT merchant_category, count(*) AS transactions,
-       sum(CASE WHEN transaction_status = 'Failed' THEN 1 ELSE 0 END) AS failed,
+       CAST(sum(CASE WHEN transaction_status = 'Failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
        {_SUM} AS amount
 FROM tx GROUP BY merchant_category"""),
     "document_customers": _tx(f"""
@@ -951,6 +951,6 @@ FROM documents d JOIN names n ON contains({_form('d.text')}, {_form('n.name')})"
 SELECT conv_id, turn, {_redacted('text')} AS content, role, role AS speaker
 FROM conversations""",
     "quality_of_synthetic_tables": _with_dims(f"""
-SELECT rule, dataset, "column", 0 AS violations
+SELECT rule, dataset, "column", CAST(0 AS BIGINT) AS violations
 FROM ({_quality({**_CLEAN_SET, "transactions": "described"})}) rules"""),
 }

@@ -22,7 +22,10 @@ def owned_cards(cards: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def with_merchant(df: DataFrame, merchants: DataFrame) -> DataFrame:
-    """Copy the merchant's attributes onto rows that name a merchant."""
+    """Copy the merchant's attributes onto rows that name a merchant.
+
+    A left join: of the two sides only the merchants may ever be broadcast.
+    """
     attributes = merchants.select(
         "merchant_id",
         "merchant_name",
@@ -30,7 +33,7 @@ def with_merchant(df: DataFrame, merchants: DataFrame) -> DataFrame:
         F.col("city").alias("merchant_city"),
         F.col("state").alias("merchant_state"),
     )
-    return df.join(attributes, "merchant_id")
+    return df.join(attributes, "merchant_id", "left")
 
 
 def star(

@@ -11,8 +11,10 @@ V12 date in the future, V13 expiry passed, V14 income, V15 age, V16 amount.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,79 +107,121 @@ def _count_rules(
     )
 
 
-# --- key rules ------------------------------------------------------------
+# --- key rules: one grouping for all keys and links ------------------------
 
 
-def duplicate_rows(df: DataFrame, key: str) -> DataFrame:
-    """How many rows repeat a key already seen; nulls equal each other."""
-    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return per_key.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations")
-    )
+class Link(NamedTuple):
+    """A key of ``child``, and the table it should be found in, if any."""
 
+    name: str
+    child: str
+    key: str
+    parent: str | None = None
+    attribute: str | None = None
 
-def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    return (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    )
 
+def key_counts(tables: Tables, links: Sequence[Link]) -> DataFrame:
+    """One row of counts per link, from a single pass over each table.
 
-def _link_groups(
-    child: DataFrame, parent: DataFrame, key: str, attribute: str | None
-) -> DataFrame:
-    """Per (key, attribute): how many child and how many parent rows have it.
+    Every row states the keys it has, as child or as parent, and the statements
+    are counted per (link, key, attribute), then per (link, key), then per
+    link. Nothing is joined, so a key that a third of the rows share, null or
+    not, is collapsed before the first shuffle.
 
-    Both tables are stacked and counted instead of joined: counting collapses a
-    key that is shared by very many rows before any shuffle, whatever its
-    attributes are.
+    repeats: child rows whose key was already taken, nulls equal each other.
+    orphans: child rows without a parent; a null key has none.
+    mismatches: child rows whose parent does not have their attribute,
+    including rows without a parent and null attributes.
+    differing_pairs: rows of an inner join on the key whose attributes differ.
     """
-    pair = F.col(attribute) if attribute else F.lit(None).cast("string")
-
-    def side(df: DataFrame, of_child: int, of_parent: int) -> DataFrame:
-        return df.select(
-            F.col(key).alias("key"),
-            pair.alias("attribute"),
-            F.lit(of_child).alias("c"),
-            F.lit(of_parent).alias("p"),
+    stated: dict[str, list[Column]] = {}
+
+    def state(table: str, link: Link, children: int, parents: int) -> None:
+        attribute = F.col(link.attribute) if link.attribute else F.lit(None)
+        stated.setdefault(table, []).append(
+            F.struct(
+                F.lit(link.name).alias("link"),
+                F.col(link.key).cast("string").alias("key"),
+                attribute.cast("string").alias("attribute"),
+                F.lit(children).alias("c"),
+                F.lit(parents).alias("p"),
+            )
         )
 
-    known = parent.where(F.col(key).isNotNull())
-    return (
-        side(child, 1, 0)
-        .unionByName(side(known, 0, 1))
-        .groupBy("key", "attribute")
+    for link in links:
+        state(link.child, link, 1, 0)
+        if link.parent:
+            state(link.parent, link, 0, 1)
+    usable = [
+        tables[name]
+        .select(F.inline(F.array(*entries)))
+        .where(F.col("key").isNotNull() | (F.col("p") == 0))
+        for name, entries in stated.items()
+    ]
+    has_attribute = F.col("attribute").isNotNull()
+    found = has_attribute & (F.col("parents") > 0)
+    per_attribute = (
+        reduce(DataFrame.unionByName, usable)
+        .groupBy("link", "key", "attribute")
         .agg(F.sum("c").alias("children"), F.sum("p").alias("parents"))
     )
+    per_key = per_attribute.groupBy("link", "key").agg(
+        F.sum("children").alias("children"),
+        F.sum("parents").alias("parents"),
+        F.sum(F.when(~found, F.col("children")).otherwise(0)).alias("different"),
+        F.sum(F.when(has_attribute, F.col("children")).otherwise(0)).alias("c"),
+        F.sum(F.when(has_attribute, F.col("parents")).otherwise(0)).alias("p"),
+        F.sum(
+            F.when(has_attribute, F.col("children") * F.col("parents")).otherwise(0)
+        ).alias("equal"),
+    )
+    children = F.col("children")
+    counted = per_key.groupBy("link").agg(
+        F.sum(F.greatest(children - 1, F.lit(0))).alias("repeats"),
+        F.sum(F.when(F.col("parents") == 0, children).otherwise(0)).alias("orphans"),
+        F.sum("different").alias("mismatches"),
+        F.sum(F.col("c") * F.col("p") - F.col("equal")).alias("differing_pairs"),
+    )
+    # Empty tables state nothing: every link still gets its row of zeros.
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(link.name).alias("link"),
+                F.coalesce(
+                    F.max(F.when(F.col("link") == link.name, F.struct(*_COUNTS))),
+                    F.struct(*[F.lit(0).cast("long").alias(name) for name in _COUNTS]),
+                ).alias("counts"),
+            )
+            for link in links
+        ]
+    )
+    return counted.agg(wanted.alias("links")).select(F.inline("links")).select(
+        "link", "counts.*"
+    )
 
 
-def link_counts(
-    child: DataFrame,
-    parent: DataFrame,
-    key: str,
-    attribute: str | None = None,
-) -> DataFrame:
-    """Orphans and attribute mismatches of a child-to-parent link, one row.
+_COUNTS = ("repeats", "orphans", "mismatches", "differing_pairs")
 
-    A null key has no parent. A mismatch is a child row whose parent does not
-    have the same attribute, which includes rows without a parent and null
-    attributes.
-    """
-    same = F.col("attribute").isNotNull() & (F.col("parents") > 0)
-    per_key = (
-        _link_groups(child, parent, key, attribute)
-        .groupBy("key")
-        .agg(
-            F.sum("children").alias("children"),
-            F.sum("parents").alias("parents"),
-            F.sum(F.when(~same, F.col("children"))).alias("different"),
-        )
+
+def duplicate_rows(df: DataFrame, key: str) -> DataFrame:
+    """How many rows repeat a key already seen; nulls equal each other."""
+    counts = key_counts({"rows": df}, [Link("key", "rows", key)])
+    return counts.select(F.col("repeats").alias("violations"))
+
+
+def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
+    return (
+        df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     )
-    counts = [
-        F.sum(F.when(F.col("parents") == 0, F.col("children"))).alias("orphans")
-    ]
-    if attribute:
-        counts.append(F.sum("different").alias("mismatches"))
-    return per_key.agg(*counts).fillna(0)
+
+
+def link_counts(
+    child: DataFrame, parent: DataFrame, key: str, attribute: str | None = None
+) -> DataFrame:
+    """Orphans and attribute mismatches of one child-to-parent link."""
+    link = Link("link", "child", key, "parent", attribute)
+    counts = key_counts({"child": child, "parent": parent}, [link])
+    return counts.select("orphans", "mismatches")
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -188,22 +232,10 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 def matched_mismatches(
     child: DataFrame, parent: DataFrame, key: str, attribute: str
 ) -> DataFrame:
-    """SQL flavour of the owner check: the rows of an inner join that differ.
-
-    Counted without the join: per key, all pairs of child and parent rows minus
-    the pairs with equal attributes. Null keys and attributes never join or
-    differ.
-    """
-    groups = _link_groups(
-        child.where(F.col(key).isNotNull()), parent, key, attribute
-    ).where(F.col("attribute").isNotNull())
-    per_key = groups.groupBy("key").agg(
-        F.sum("children").alias("children"),
-        F.sum("parents").alias("parents"),
-        F.sum(F.col("children") * F.col("parents")).alias("equal"),
-    )
-    differing = F.col("children") * F.col("parents") - F.col("equal")
-    return per_key.agg(F.sum(differing).alias("mismatches")).fillna(0)
+    """SQL flavour of the owner check: rows without a parent do not count."""
+    link = Link("link", "child", key, "parent", attribute)
+    counts = key_counts({"child": child, "parent": parent}, [link])
+    return counts.select(F.col("differing_pairs").alias("mismatches"))
 
 
 def invalid_values(tables: Tables) -> DataFrame:
@@ -247,43 +279,56 @@ def _schema_rules(spark, tables: Tables, problems: dict[str, str]) -> DataFrame:
     )
 
 
-def _labelled(counts: DataFrame, rule: str, dataset: str, column: str, value: str):
-    return counts.select(
-        F.lit(rule).alias("rule"),
-        F.lit(dataset).alias("dataset"),
-        F.lit(column).alias("column"),
-        F.col(value).alias("violations"),
-    )
+# (rule for the key, rule for the attribute) of each link between the tables.
+LINKS = (
+    Link("card_customer", "cards", "customer_id", "customers"),
+    Link("transaction_customer", "transactions", "customer_id", "customers"),
+    Link("transaction_card", "transactions", "card_id", "cards", "customer_id"),
+    Link(
+        "transaction_merchant",
+        "transactions",
+        "merchant_id",
+        "merchants",
+        "merchant_category",
+    ),
+)
+ATTRIBUTE_RULES = {"transaction_card": "V7", "transaction_merchant": "V8"}
 
 
-def _linked(
-    tables: Tables, child: str, parent: str, rule: str, attribute: str
-) -> DataFrame:
-    """Foreign-key and attribute rule of one link in a single pass.
+def _key_rules(tables: Tables, names: Sequence[str], linked: bool) -> DataFrame:
+    """V3 for the named tables and, for a complete set, V6 to V8.
 
-    The attribute rule has no verdict while the parent key is not unique.
+    An attribute rule has no verdict while the parent key is not unique.
     """
-    key = model.PRIMARY_KEYS[parent]
-    counts = link_counts(tables[child], tables[parent], key, attribute)
-    repeats = duplicate_rows(tables[parent], key).scalar()
-    rows = F.array(
-        F.struct(
-            F.lit("V6").alias("rule"),
-            F.lit(child).alias("dataset"),
-            F.lit(key).alias("column"),
-            F.col("orphans").alias("violations"),
-        ),
-        F.struct(
-            F.lit(rule).alias("rule"),
-            F.lit(child).alias("dataset"),
-            F.lit(attribute).alias("column"),
-            F.col("mismatches").alias("violations"),
-        ),
+    keys = [Link(name, name, model.PRIMARY_KEYS[name]) for name in names]
+    links = LINKS if linked else ()
+    counts = key_counts(tables, [*keys, *links])
+
+    def of(link: str, name: str) -> Column:
+        return F.max(F.when(F.col("link") == link, F.col(name)))
+
+    rows = [("V3", key.child, key.key, of(key.name, "repeats")) for key in keys]
+    for link in links:
+        rows.append(("V6", link.child, link.key, of(link.name, "orphans")))
+        if link.attribute:
+            verdict = F.when(of(link.parent, "repeats") == 0, of(link.name, "mismatches"))
+            rule = ATTRIBUTE_RULES[link.name]
+            rows.append((rule, link.child, link.attribute, verdict))
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(rule).alias("rule"),
+                F.lit(dataset).alias("dataset"),
+                F.lit(column).alias("column"),
+                value.alias("violations"),
+            )
+            for rule, dataset, column, value in rows
+        ]
     )
     return (
-        counts.select(F.inline(rows), repeats.alias("_repeats"))
-        .where((F.col("rule") == "V6") | (F.col("_repeats") == 0))
-        .drop("_repeats")
+        counts.agg(listed.alias("rules"))
+        .select(F.inline("rules"))
+        .where(F.col("violations").isNotNull())
     )
 
 
@@ -306,25 +351,16 @@ def rule_counts(
         for name, df in tables.items()
         if missing_columns(df, model.REQUIRED_COLUMNS[name])
     }
-    parts = []
     complete = not broken and not problems and set(tables) == set(model.PRIMARY_KEYS)
-    for name, df in tables.items():
-        if name in broken:
-            continue
+    usable = {name: df for name, df in tables.items() if name not in broken}
+    parts = []
+    for name, df in usable.items():
         rules = _completeness(name, df)
         if complete:
             rules += _contents(name, df, reference_date)
         parts.append(_count_rules(name, df, rules))
-        key = model.PRIMARY_KEYS[name]
-        parts.append(_labelled(duplicate_rows(df, key), "V3", name, key, "violations"))
-    if complete:
-        for child, parent in (("cards", "customers"), ("transactions", "customers")):
-            counts = link_counts(tables[child], tables[parent], "customer_id")
-            parts.append(_labelled(counts, "V6", child, "customer_id", "orphans"))
-        parts.append(_linked(tables, "transactions", "cards", "V7", "customer_id"))
-        parts.append(
-            _linked(tables, "transactions", "merchants", "V8", "merchant_category")
-        )
+    if usable:
+        parts.append(_key_rules(usable, list(usable), complete))
     schema = _schema_rules(spark, tables, problems)
     counted = [part.withColumn("detail", F.lit(None).cast("string")) for part in parts]
     return reduce(DataFrame.unionByName, counted, schema)
@@ -375,49 +411,43 @@ def card_preconditions(
         )
     )
 
-    def labelled(df: DataFrame, check: str) -> DataFrame:
-        return df.select(F.lit(check).alias("check"), "violations")
-
-    return reduce(
-        DataFrame.unionByName,
-        [
-            labelled(null_ids, "null_customer_id"),
-            labelled(duplicate_rows(customers, "customer_id"), "duplicate_customer_id"),
-            labelled(duplicate_rows(cards, "card_id"), "duplicate_card_id"),
-            card_rows,
-        ],
+    keys = [
+        Link("duplicate_customer_id", "customers", "customer_id"),
+        Link("duplicate_card_id", "cards", "card_id"),
+    ]
+    repeats = key_counts({"customers": customers, "cards": cards}, keys).select(
+        F.col("link").alias("check"), F.col("repeats").alias("violations")
     )
+    nulls = null_ids.select(F.lit("null_customer_id").alias("check"), "violations")
+    return nulls.unionByName(repeats).unionByName(card_rows)
+
+
+SQL_CHECKS = {
+    "transaction_card": ("invalid_transaction_card_links", "orphans"),
+    "transaction_customer": ("invalid_transaction_customer_links", "orphans"),
+    "transaction_merchant": ("invalid_transaction_merchant_links", "orphans"),
+}
 
 
 def sql_checks(tables: Tables) -> DataFrame:
     """The database-side checks: orphans of the fact, owner mismatches."""
-    tx = tables["transactions"]
-    parts = [
-        _named("invalid_transaction_card_links", tx, tables["cards"], "card_id"),
-        _named(
-            "invalid_transaction_customer_links",
-            tx,
-            tables["customers"],
-            "customer_id",
-        ),
-        matched_mismatches(tx, tables["cards"], "card_id", "customer_id").select(
-            F.lit("transaction_card_customer_mismatches").alias("check"),
-            F.col("mismatches").alias("violations"),
-        ),
-        _named(
-            "invalid_transaction_merchant_links",
-            tx,
-            tables["merchants"],
-            "merchant_id",
-        ),
+    links = [link for link in LINKS if link.name in SQL_CHECKS]
+    counts = key_counts(tables, links)
+    rows = [
+        (check, F.max(F.when(F.col("link") == link, F.col(name))))
+        for link, (check, name) in SQL_CHECKS.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _named(check: str, child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    return link_counts(child, parent, key).select(
-        F.lit(check).alias("check"), F.col("orphans").alias("violations")
+    owner = F.max(
+        F.when(F.col("link") == "transaction_card", F.col("differing_pairs"))
+    )
+    rows.append(("transaction_card_customer_mismatches", owner))
+    listed = F.array(
+        *[
+            F.struct(F.lit(check).alias("check"), value.alias("violations"))
+            for check, value in rows
+        ]
     )
+    return counts.agg(listed.alias("checks")).select(F.inline("checks"))
 
 
 def sensitive_columns(tables: Tables) -> DataFrame:
