@@ -282,7 +282,7 @@ def queries() -> dict[str, Query]:
         "service_categories": _on_fact(reports.service_categories),
         "service_banks": _on_fact(reports.service_banks, card=True),
         "service_merchants": _on_fact(reports.service_merchants, merchant=True),
-        "transaction_page": _on_fact(_page, card=True, merchant=True),
+        "transaction_page": _on_fact(_page, card=True, merchant_place=True),
         "frequent_method": _on_fact(
             lambda tx: measures.most_frequent(tx, "payment_method")
         ),
@@ -302,7 +302,7 @@ def queries() -> dict[str, Query]:
             reports.dashboard_failing_merchants, merchant=True
         ),
         "latest_transactions": _on_selection(
-            lambda tx: _plain_amount(filters.latest_first(tx)), merchant=True
+            lambda tx: _plain_amount(filters.latest_first(tx)), merchant_place=True
         ),
         # snapshot
         "snapshot_overall": _on_snapshot(snapshot.overall),

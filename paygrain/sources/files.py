@@ -172,6 +172,13 @@ def export_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("dateFormat", "yyyy-MM-dd").json(path)
 
 
+def register_views(tables: dict[str, DataFrame]) -> None:
+    """The SQL model as temporary views, with the model's columns and types."""
+    for name, schema in model.TABLES.items():
+        if name in tables:
+            tables[name].select(*schema.names).to(schema).createOrReplaceTempView(name)
+
+
 def publish(spark: SparkSession, root: str, version: str) -> None:
     """Make a completely written version the current one.
 

@@ -171,77 +171,92 @@ def _with_card(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_place(
+    df: DataFrame, spark: SparkSession, sf_dir: str, nation_key: str, prefix: str
+) -> DataFrame:
+    """City and state of a nation key.
+
+    Joined straight onto the rows: a dimension joined to its places beforehand
+    looks far larger to Spark than it is and would not be broadcast.
+    """
+    places = _places(spark, sf_dir).select(
+        F.col("n_nationkey").alias(nation_key),
+        F.col("city").alias(f"{prefix}_city"),
+        F.col("state").alias(f"{prefix}_state"),
+    )
+    return df.join(places, nation_key, "left")
+
+
 def _with_customer_place(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    homes = (
-        table(spark, sf_dir, "customer")
-        .join(
-            _places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"), "left"
-        )
-        .select(
-            F.col("c_custkey").alias("cust_key"),
-            F.col("city").alias("customer_city"),
-            F.col("state").alias("customer_state"),
-        )
+    homes = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("cust_key"), F.col("c_nationkey").alias("home_key")
+    )
+    return _with_place(
+        df.join(homes, "cust_key", "left"), spark, sf_dir, "home_key", "customer"
     )
-    return df.join(homes, "cust_key", "left")
 
 
 def _with_merchant(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    shops = (
-        table(spark, sf_dir, "supplier")
-        .join(
-            _places(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"), "left"
-        )
-        .select(
-            F.col("s_suppkey").alias("supp_key"),
-            F.col("s_name").alias("merchant_name"),
-            F.col("city").alias("merchant_city"),
-            F.col("state").alias("merchant_state"),
-        )
+    shops = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("supp_key"),
+        F.col("s_name").alias("merchant_name"),
+        F.col("s_nationkey").alias("shop_key"),
     )
     return df.join(shops, "supp_key", "left")
 
 
+def _with_merchant_place(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_place(df, spark, sf_dir, "shop_key", "merchant")
+
+
 def _attached(
     df: DataFrame,
     spark: SparkSession,
     sf_dir: str,
-    card: bool,
-    customer_place: bool,
-    merchant: bool,
+    card: bool = False,
+    customer_place: bool = False,
+    merchant: bool = False,
+    merchant_place: bool = False,
 ) -> DataFrame:
     if card or customer_place:
         df = _with_card(df, spark, sf_dir)
     if customer_place:
         df = _with_customer_place(df, spark, sf_dir)
-    if merchant:
+    if merchant or merchant_place:
         df = _with_merchant(df, spark, sf_dir)
+    if merchant_place:
+        df = _with_merchant_place(df, spark, sf_dir)
     return df
 
 
-def transactions(
-    spark: SparkSession,
-    sf_dir: str,
-    card: bool = False,
-    customer_place: bool = False,
-    merchant: bool = False,
-) -> DataFrame:
-    """The cleaned fact with the requested lookups."""
+EVERY_LOOKUP = {
+    "card": True,
+    "customer_place": True,
+    "merchant": True,
+    "merchant_place": True,
+}
+
+
+def transactions(spark: SparkSession, sf_dir: str, **lookups: bool) -> DataFrame:
+    """The cleaned fact with the requested lookups.
+
+    Lookups: card, customer_place, merchant, merchant_place.
+    """
     first = first_valid(_lines(spark, sf_dir), LINE_KEY, LINE_ORDER)
     described = with_derived(_described(first))
-    wide = _attached(described, spark, sf_dir, card, customer_place, merchant)
+    wide = _attached(described, spark, sf_dir, **lookups)
     known = [*TRANSACTION_COLUMNS, *DERIVED_COLUMNS]
     return wide.select(*[name for name in known if name in wide.columns])
 
 
 def full_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions(spark, sf_dir, card=True, customer_place=True, merchant=True)
+    return transactions(spark, sf_dir, **EVERY_LOOKUP)
 
 
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines as raw transactions: copies included, nothing derived."""
     wide = _attached(
-        _described(_lines(spark, sf_dir)), spark, sf_dir, True, True, True
+        _described(_lines(spark, sf_dir)), spark, sf_dir, **EVERY_LOOKUP
     )
     return wide.select(*TRANSACTION_COLUMNS, "part_key")
 

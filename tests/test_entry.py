@@ -7,6 +7,18 @@ from paygrain.sources import orders_feed as feed
 from tools.compare import TABLES, table
 
 
+# What no plan may contain, whatever the data size.
+FORBIDDEN = (
+    "CartesianProduct",
+    "BroadcastNestedLoopJoin",
+    "BatchEvalPython",
+    "ArrowEvalPython",
+    "MapInPandas",
+    "FlatMapGroups",
+    "PythonUDF",
+)
+
+
 def test_every_statement_belongs_to_a_query():
     assert set(ORACLES) <= set(spark_entry.queries())
 
@@ -29,6 +41,8 @@ def database(sf):
 @pytest.mark.parametrize("name", sorted(spark_entry.queries()))
 def test_query_agrees_with_its_statement(spark, sf, database, name):
     df = spark_entry.queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().toString()
+    assert not [word for word in FORBIDDEN if word in plan]
     mine = df.collect()
     if name not in ORACLES:
         assert mine

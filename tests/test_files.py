@@ -149,6 +149,35 @@ def test_served_reader(spark, tmp_path):
         files.read_served(spark, path)
 
 
+def test_views_answer_plain_sql(spark, sf):
+    from paygrain.plans import reports
+    from paygrain.sources import orders_feed as feed
+
+    tables = feed.clean_tables(spark, sf)
+    files.register_views(
+        {
+            "customers": tables["customers"],
+            "cards_public": tables["cards"],
+            "merchants": tables["merchants"],
+            "transactions_clean": tables["transactions"],
+        }
+    )
+    asked = spark.sql(
+        "SELECT merchant_id, count(*) AS n FROM transactions_clean "
+        "GROUP BY merchant_id HAVING count(*) >= 5 AND avg(CAST(is_failure AS DOUBLE)) > "
+        "(SELECT avg(CAST(is_failure AS DOUBLE)) FROM transactions_clean)"
+    )
+    expected = reports.merchant_risk(tables["transactions"])
+    assert sorted(tuple(r) for r in asked.collect()) == sorted(
+        (r.merchant_id, r.transaction_count) for r in expected.collect()
+    )
+    orphans = spark.sql(
+        "SELECT count(*) AS n FROM transactions_clean t "
+        "LEFT ANTI JOIN cards_public c ON c.card_id = t.card_id"
+    )
+    assert orphans.first().n == 0
+
+
 def test_json_documents_have_iso_dates(spark, tmp_path):
     path = str(tmp_path / "docs")
     files.export_documents(served(spark), path)
