@@ -67,6 +67,13 @@ def _plain_amount(df: DataFrame) -> DataFrame:
     return df.withColumn("amount", F.col("amount").cast("double"))
 
 
+def _all_grains(rows: DataFrame) -> DataFrame:
+    """Metrics a grain does not have are -1 here: counts stay whole numbers."""
+    return snapshot.all_grains(rows).fillna(
+        -1, ["completed_transactions", "success_rate", "failure_rate"]
+    )
+
+
 def _scored(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(
         *keep, F.round("amount_z_score", 6).alias("amount_z_score"), "amount_anomaly"
@@ -310,6 +317,7 @@ def queries() -> dict[str, Query]:
         "snapshot_merchants": _on_snapshot(snapshot.merchants),
         "snapshot_categories": _on_snapshot(snapshot.categories),
         "snapshot_months": _on_snapshot(snapshot.months),
+        "snapshot_all_grains": _on_snapshot(_all_grains),
         "snapshot_gate": _on_fact(
             cleaning.snapshot_violations, card=True, merchant=True
         ),

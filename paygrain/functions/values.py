@@ -37,7 +37,8 @@ def casefold(column: Column) -> Column:
 
 
 def is_blank(column: Column) -> Column:
-    return strip(column) == ""
+    """Nothing but white space. One side is enough, and cheaper than both."""
+    return F.ltrim(column, F.lit(WHITESPACE)) == ""
 
 
 def number(column: Column, data_type: T.DataType) -> Column:

@@ -81,3 +81,60 @@ def months(rows: DataFrame) -> DataFrame:
         m.tally("is_failed_status", "failed_transactions"),
         m.completed_amount(),
     )
+
+
+def all_grains(rows: DataFrame) -> DataFrame:
+    """Overall, banks, merchants, categories and months in one pass.
+
+    The fact is counted once per combination of its four dimensions; the five
+    grains are grouping sets over those counts. Each grain carries the metrics
+    it has and nulls for the others: success for overall, banks and months,
+    failure rates for merchants and categories.
+    """
+    dims = ("bank_name", "merchant_name", "merchant_category", "transaction_month")
+    counted = rows.groupBy(*dims).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("is_successful").alias("done"),
+        F.count_if("is_failed_status").alias("failed_status"),
+        F.count_if("is_failure").alias("failed_flag"),
+        F.sum(F.when(F.col("is_successful"), F.col("amount"))).alias("amount"),
+    )
+    bank, merchant, category, month = dims
+    sets = [[bank], [merchant, category], [category], [month], []]
+    grouped = counted.groupingSets(sets, *dims).agg(
+        *[F.sum(name).alias(name) for name in ("n", "done", "failed_status")],
+        F.sum("failed_flag").alias("failed_flag"),
+        F.coalesce(F.sum("amount").cast("double"), F.lit(0.0)).alias(
+            "completed_amount"
+        ),
+        *[(F.grouping(dim) == 0).alias(f"by_{dim}") for dim in dims],
+    )
+    grain = (
+        F.when(F.col(f"by_{bank}"), "bank")
+        .when(F.col(f"by_{merchant}"), "merchant")
+        .when(F.col(f"by_{category}"), "category")
+        .when(F.col(f"by_{month}"), "month")
+        .otherwise("overall")
+    )
+    by_flag = F.col("grain").isin("merchant", "category")
+    name = (
+        F.when(F.col("grain") == "bank", F.col(bank))
+        .when(F.col("grain") == "merchant", F.col(merchant))
+        .when(F.col("grain") == "category", F.col(category))
+        .when(F.col("grain") == "month", F.col(month))
+    )
+    return grouped.withColumn("grain", grain).select(
+        "grain",
+        name.alias("name"),
+        F.when(F.col("grain") == "merchant", F.col(category)).alias("category"),
+        F.col("n").alias("transaction_count"),
+        F.when(~by_flag, F.col("done")).alias("completed_transactions"),
+        "completed_amount",
+        F.when(
+            F.col("grain").isin("bank", "overall"), ratio(F.col("done"), F.col("n"))
+        ).alias("success_rate"),
+        F.when(by_flag, F.col("failed_flag"))
+        .otherwise(F.col("failed_status"))
+        .alias("failed_transactions"),
+        F.when(by_flag, ratio(F.col("failed_flag"), F.col("n"))).alias("failure_rate"),
+    )

@@ -126,16 +126,14 @@ def read_served(spark: SparkSession, path: str) -> DataFrame:
     try:
         df = spark.read.parquet(path)
     except AnalysisException as error:
-        raise DatasetError(
-            f"Processed transaction data is missing: {path}"
-        ) from error
-    return require_columns(df, model.SERVED_COLUMNS, "Processed transaction data")
+        raise DatasetError(f"no cleaned transactions at {path}") from error
+    return require_columns(df, model.SERVED_COLUMNS, "the cleaned fact")
 
 
 def read_safe(spark: SparkSession, path: str) -> DataFrame:
     """Only the nine columns without identifiers, pruned at the scan."""
     df = spark.read.parquet(path)
-    return require_columns(df, model.SAFE_COLUMNS, "Processed data").select(
+    return require_columns(df, model.SAFE_COLUMNS, "the cleaned fact").select(
         *model.SAFE_COLUMNS
     )
 

@@ -136,7 +136,7 @@ def test_month_partitions_are_pruned(spark, tmp_path):
 
 def test_served_reader(spark, tmp_path):
     path = str(tmp_path / "served")
-    with pytest.raises(files.DatasetError, match="missing"):
+    with pytest.raises(files.DatasetError, match="no cleaned transactions"):
         files.read_served(spark, path)
     served(spark).write.parquet(path)
     assert files.read_served(spark, path).count() == 3

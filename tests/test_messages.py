@@ -19,24 +19,26 @@ def one(spark, text, expression):
 
 
 def test_redaction(spark):
+    secrets = {
+        "card": "5500 0000 0000 0004",
+        "CVV": "987",
+        "OTP": "445566",
+        "password": "hunter2",
+        "name": "Asha Rao",
+        "transaction reference": "RF-77-X",
+        "mail": "asha.rao@example.net",
+        "phone": "+1 (415) 555-0132",
+    }
     text = (
-        "Check this card 4111 1111 1111 1111, CVV 123, PIN is 5678, password is abc123, "
-        "name is Jane Doe, transaction reference is TX-1234, email me at "
-        "person@example.test, or call +1 (212) 555-0199."
+        f"Card {secrets['card']}; CVV: {secrets['CVV']}; otp is {secrets['OTP']}; "
+        f"password {secrets['password']}; my name is {secrets['name']}, "
+        f"transaction reference: {secrets['transaction reference']}; "
+        f"write to {secrets['mail']} or ring {secrets['phone']}!"
     )
     redacted = one(spark, text, M.redact)
-    for private in (
-        "4111 1111 1111 1111",
-        "123",
-        "5678",
-        "abc123",
-        "Jane Doe",
-        "TX-1234",
-        "person@example.test",
-        "+1 (212) 555-0199",
-    ):
+    for private in secrets.values():
         assert private not in redacted
-    for marker in ("[REDACTED]", "[REDACTED EMAIL]", "[REDACTED PHONE]"):
+    for marker in ("[REDACTED]", "[REDACTED EMAIL]", "[REDACTED NUMBER]", "[REDACTED PHONE]"):
         assert marker in redacted
 
 
@@ -109,11 +111,11 @@ def test_valid_messages(spark):
         ("How do I get a refund?", "refund"),
         ("How can I troubleshoot this payment?", "troubleshooting"),
         ("How do I make a complaint?", "complaint"),
-        ("My payment was declined.", "failed_payment"),
-        ("My account was charged but the order did not go through.", "failed_payment"),
-        ("My card was charged twice but I only ordered once.", "debited_without_success"),
-        ("The merchant did not receive my order, although I was charged.", "debited_without_success"),
-        ("I see an unrecognized charge on my statement.", "complaint"),
+        ("The bank declined it", "failed_payment"),
+        ("They charged me and it did not go through", "failed_payment"),
+        ("I was charged twice yesterday", "debited_without_success"),
+        ("Strange: the merchant did not receive the money", "debited_without_success"),
+        ("There is an unrecognized charge here", "complaint"),
         ("a charge I don't recognize", "complaint"),
         ("prepayments", None),
         ("Tell me something unrelated.", None),
@@ -217,8 +219,8 @@ def test_blocks_do_not_change_the_carried_topic(spark):
         ("Why was it declined", "failed_reason"),
         ("It is pending, can I retry", "pending_retry"),
         ("pending for how long", "pending_timing"),
-        ("When will I get my money back?", "refund_timing"),
-        ("Can you issue my refund?", "refund_process"),
+        ("When do I see my money back", "refund_timing"),
+        ("Please issue that refund", "refund_process"),
         ("refund please", "general"),
         ("unrelated", None),
     ],

@@ -65,6 +65,23 @@ def test_top_entities(source):
     assert cats["transaction_count"] == "Retail"
 
 
+def test_all_grains_agree_with_each_grain(source):
+    grains = {}
+    for row in snapshot.all_grains(source).collect():
+        grains.setdefault(row.grain, {})[row.name, row.category] = row
+    assert {name: len(found) for name, found in grains.items()} == {
+        "overall": 1, "bank": 2, "merchant": 2, "category": 2, "month": 2
+    }
+    overall = grains["overall"][None, None]
+    assert (overall.transaction_count, overall.completed_amount) == (3, 175.0)
+    for row in snapshot.merchants(source).collect():
+        same = grains["merchant"][row.merchant, row.category]
+        assert same.failure_rate == row.failure_rate and same.success_rate is None
+    for row in snapshot.banks(source).collect():
+        same = grains["bank"][row.bank, None]
+        assert same.success_rate == row.success_rate and same.failure_rate is None
+
+
 def test_ties_take_count_then_the_larger_name(spark):
     schema = (
         "bank string, transaction_count long, completed_amount double, "
