@@ -171,16 +171,18 @@ def key_counts(tables: Tables, links: Sequence[Link]) -> DataFrame:
         F.sum(F.when(~found, F.col("children")).otherwise(0)).alias("different"),
         F.sum(F.when(has_attribute, F.col("children")).otherwise(0)).alias("c"),
         F.sum(F.when(has_attribute, F.col("parents")).otherwise(0)).alias("p"),
-        F.sum(
-            F.when(has_attribute, F.col("children") * F.col("parents")).otherwise(0)
-        ).alias("equal"),
+        F.sum(F.when(has_attribute, _pairs("children", "parents")).otherwise(0)).alias(
+            "equal"
+        ),
     )
     children = F.col("children")
     counted = per_key.groupBy("link").agg(
         F.sum(F.greatest(children - 1, F.lit(0))).alias("repeats"),
         F.sum(F.when(F.col("parents") == 0, children).otherwise(0)).alias("orphans"),
         F.sum("different").alias("mismatches"),
-        F.sum(F.col("c") * F.col("p") - F.col("equal")).alias("differing_pairs"),
+        F.sum(_pairs("c", "p") - F.col("equal"))
+        .try_cast("long")
+        .alias("differing_pairs"),
     )
     # Empty tables state nothing: every link still gets its row of zeros.
     wanted = F.array(
@@ -200,6 +202,12 @@ def key_counts(tables: Tables, links: Sequence[Link]) -> DataFrame:
     )
 
 
+def _pairs(left: str, right: str) -> Column:
+    """Product of two counts, wide enough for any pair of tables."""
+    wide = "decimal(19,0)"
+    return F.col(left).cast(wide) * F.col(right).cast(wide)
+
+
 _COUNTS = ("repeats", "orphans", "mismatches", "differing_pairs")
 
 
