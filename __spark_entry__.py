@@ -28,7 +28,7 @@ from paygrain.operators import (
     quality,
     rankings,
 )
-from paygrain.plans import reports, snapshot
+from paygrain.plans import reports, rollups, snapshot
 from paygrain.sources import orders_feed as feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,13 @@ def _plain_amount(df: DataFrame) -> DataFrame:
     return df.withColumn("amount", F.col("amount").cast("double"))
 
 
+def _rollup(tx: DataFrame) -> DataFrame:
+    totals = rollups.rollup(tx)
+    return totals.withColumns(
+        {name: F.col(name).cast("double") for name in ("amount", "squares", "done_amount")}
+    )
+
+
 def _all_grains(rows: DataFrame) -> DataFrame:
     """Metrics a grain does not have are -1 here: counts stay whole numbers."""
     return snapshot.all_grains(rows).fillna(
@@ -277,6 +284,7 @@ def queries() -> dict[str, Query]:
         "monthly_performance": _on_fact(reports.monthly_performance),
         "category_performance": _on_fact(reports.category_performance),
         "status_distribution": _on_fact(reports.status_distribution),
+        "report_rollup": _on_fact(_rollup, card=True, merchant=True),
         # business queries
         "kpi": _on_fact(reports.kpi, card=True),
         "monthly_trend": _on_fact(reports.monthly_trend),

@@ -534,6 +534,25 @@ FROM tx WHERE merchant_category IS NOT NULL GROUP BY merchant_category"""),
     "status_distribution": _tx("""
 SELECT transaction_status AS status, count(*) AS transaction_count
 FROM tx WHERE transaction_status IS NOT NULL GROUP BY transaction_status"""),
+    "report_rollup": _tx("""
+SELECT CASE WHEN grouping(customer_id) = 0 THEN 'customer'
+            WHEN grouping(merchant_id) = 0 THEN 'merchant'
+            WHEN grouping(transaction_month) = 0 THEN 'month'
+            WHEN grouping(merchant_category) = 0 THEN 'category'
+            WHEN grouping(transaction_status) = 0 THEN 'status'
+            ELSE 'overall' END AS grain,
+       customer_id, merchant_id, merchant_name, merchant_category, transaction_month,
+       transaction_status, count(*) AS row_count, count(transaction_id) AS id_count,
+       CAST(sum(amount) AS DOUBLE) AS amount,
+       CAST(sum(CAST(amount * amount AS DECIMAL(30, 4))) AS DOUBLE) AS squares,
+       count(*) FILTER (WHERE is_successful) AS done_rows,
+       count(transaction_id) FILTER (WHERE is_successful) AS done_ids,
+       CAST(coalesce(sum(amount) FILTER (WHERE is_successful), 0) AS DOUBLE)
+         AS done_amount,
+       count(*) FILTER (WHERE is_failure) AS failed
+FROM tx GROUP BY GROUPING SETS ((customer_id),
+  (merchant_id, merchant_name, merchant_category), (transaction_month),
+  (merchant_category), (transaction_status), ())"""),
     # business queries
     "kpi": _tx(f"""
 SELECT {_DONE} AS completed_amount, count(*) AS total_transactions,

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from paygrain.operators.measures import spread
 
 
-def scored(df: DataFrame, column: str = "amount") -> DataFrame:
+def scored(
+    df: DataFrame, column: str = "amount", stats: DataFrame | None = None
+) -> DataFrame:
     """Every row with its z-score against the whole table.
 
     The two global figures come from a scalar subquery over the one column, so
-    the rows themselves are neither shuffled nor gathered. No spread, no score.
+    the rows themselves are neither shuffled nor gathered. Pass ``stats`` (one
+    row: mean, std) where they are known already. No spread, no score.
     """
-    stats = spread(df, column).select(F.struct("mean", "std")).scalar()
+    known = spread(df, column) if stats is None else stats
+    stats = known.select(F.struct("mean", "std")).scalar()
     deviation = F.col(column).cast("double") - stats.getField("mean")
     return df.withColumn(
         "amount_z_score", F.try_divide(deviation, stats.getField("std"))
@@ -26,6 +30,7 @@ def amount_anomalies(
     z_threshold: float = 3.0,
     column: str = "amount",
     key: str = "transaction_id",
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose score reaches the threshold on either side, largest first.
 
@@ -33,7 +38,7 @@ def amount_anomalies(
     """
     reached = F.coalesce(F.abs("amount_z_score") >= z_threshold, F.lit(False))
     return (
-        scored(df, column)
+        scored(df, column, stats)
         .withColumn("amount_anomaly", reached)
         .where("amount_anomaly")
         .orderBy(F.desc(column), key)

@@ -9,24 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from paygrain import model
 from paygrain.operators.anomalies import amount_anomalies
 from paygrain.operators.cleaning import clean_transactions, public_cards
-from paygrain.plans import reports
+from paygrain.plans import rollups
 from paygrain.sources import files
 
-SUMMARIES = {
-    "customer_summary": reports.customer_summary,
-    "merchant_summary": reports.merchant_summary,
-    "monthly_performance": reports.monthly_performance,
-    "category_performance": reports.category_performance,
-    "status_distribution": reports.status_distribution,
-    "amount_anomalies": amount_anomalies,
-}
-
-
 def write_reports(
-    fact: DataFrame, folder: str, file_format: str = "parquet"
+    spark: SparkSession,
+    fact: DataFrame,
+    rollup_path: str,
+    folder: str,
+    file_format: str = "parquet",
 ) -> None:
-    for name, report in SUMMARIES.items():
-        files.write_table(report(fact), f"{folder}/{name}", file_format)
+    """All reports from the written rollups; only the review list reads the fact."""
+    totals = rollups.merged(spark.read.parquet(rollup_path))
+    for name, report in rollups.REPORTS.items():
+        files.write_table(report(totals), f"{folder}/{name}", file_format)
+    flagged = amount_anomalies(fact, stats=rollups.amount_spread(totals))
+    files.write_table(flagged, f"{folder}/amount_anomalies", file_format)
 
 
 def build_processed(
@@ -38,8 +36,8 @@ def build_processed(
 ) -> str:
     """Write one version of all processed tables and make it current.
 
-    The fact is cleaned and written once; every report reads the written
-    table, only the columns it needs, instead of repeating the cleaning.
+    The fact is cleaned and written once and counted once; the reports are
+    derived from those counts.
     """
     folder = f"{root}/{version}"
     fact = clean_transactions(tables["transactions"], keep_first_by)
@@ -50,8 +48,8 @@ def build_processed(
     files.write_table(tables["customers"], f"{folder}/customers_clean")
     files.write_table(tables["merchants"], f"{folder}/merchants_clean")
     files.write_table(public_cards(tables["cards"]), f"{folder}/cards_public")
-    write_reports(
-        files.read_by_month(spark, f"{folder}/transactions_clean"), folder
-    )
+    written = files.read_by_month(spark, f"{folder}/transactions_clean")
+    files.write_table(rollups.rollup(written), f"{folder}/rollups")
+    write_reports(spark, written, f"{folder}/rollups", folder)
     files.publish(spark, root, version)
     return folder

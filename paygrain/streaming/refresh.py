@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from paygrain.operators.cleaning import first_copies, valid_amounts, with_derived
+from paygrain.plans import rollups
 from paygrain.plans.pipeline import write_reports
 from paygrain.sources import files
 
@@ -45,8 +46,9 @@ def add_batch(
 ) -> None:
     """Accept ids not seen before and publish reports over all accepted rows.
 
-    Invalid first copies are kept as well: their ids must stay closed to later
-    copies. Earlier batches win over later ones.
+    Only the new rows are counted; the reports add their counts to those of the
+    earlier batches. Invalid first copies are kept as well: their ids must stay
+    closed to later copies. Earlier batches win over later ones.
     """
     spark = batch.sparkSession
     fresh = first_copies(batch, [KEY], keep_first_by)
@@ -54,16 +56,20 @@ def add_batch(
     if seen is not None:
         fresh = fresh.join(seen.select(KEY), KEY, "left_anti")
     fresh.write.mode("overwrite").parquet(f"{root}/accepted/batch={batch_id}")
+    added = fact(spark, f"{root}/accepted/batch={batch_id}")
+    rollups.rollup(added).write.mode("overwrite").parquet(
+        f"{root}/rollups/batch={batch_id}"
+    )
     version = f"batch-{batch_id:08d}"
-    write_reports(fact(spark, root), f"{root}/{version}")
+    write_reports(
+        spark, fact(spark, f"{root}/accepted"), f"{root}/rollups", f"{root}/{version}"
+    )
     files.publish(spark, root, version)
 
 
-def fact(spark: SparkSession, root: str) -> DataFrame:
-    """The cleaned fact over everything accepted."""
-    return with_derived(valid_amounts(spark.read.parquet(f"{root}/accepted"))).drop(
-        "batch"
-    )
+def fact(spark: SparkSession, path: str) -> DataFrame:
+    """The cleaned fact over accepted rows."""
+    return with_derived(valid_amounts(spark.read.parquet(path))).drop("batch")
 
 
 def refresh(

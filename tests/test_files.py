@@ -242,7 +242,9 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     batch = spark.read.parquet(source)
     refresh.add_batch(batch, 0, root, ["amount"])
     refresh.add_batch(batch, 0, root, ["amount"])
-    assert refresh.fact(spark, root).count() == 1
+    assert refresh.fact(spark, f"{root}/accepted").count() == 1
+    status = spark.read.parquet(f"{files.current(spark, root)}/status_distribution")
+    assert [tuple(r) for r in status.collect()] == [("Completed", 1)]
 
 
 def test_checkpoint_root_comes_from_the_session(spark):
