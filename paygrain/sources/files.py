@@ -170,6 +170,22 @@ def export_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("dateFormat", "yyyy-MM-dd").json(path)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Exported documents back as the cleaned fact; nothing is inferred."""
+    return spark.read.schema(model.TRANSACTIONS_CLEAN).json(path)
+
+
+def read_processed(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The current version's fact and dimensions, looked up anew on every call."""
+    folder = current(spark, root)
+    return {
+        "transactions": read_by_month(spark, f"{folder}/transactions_clean"),
+        "customers": spark.read.parquet(f"{folder}/customers_clean"),
+        "cards": spark.read.parquet(f"{folder}/cards_public"),
+        "merchants": spark.read.parquet(f"{folder}/merchants_clean"),
+    }
+
+
 def register_views(tables: dict[str, DataFrame]) -> None:
     """The SQL model as temporary views, with the model's columns and types."""
     for name, schema in model.TABLES.items():

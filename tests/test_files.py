@@ -5,6 +5,7 @@ import pytest
 
 from paygrain import model
 from paygrain.operators.cleaning import clean_transactions
+from paygrain.plans import reports
 from paygrain.plans.pipeline import build_processed
 from paygrain.sources import files
 from paygrain.streaming import refresh
@@ -114,8 +115,11 @@ def test_pipeline_publishes_whole_versions(spark, tmp_path):
     build_processed(spark, files.read_raw(spark, folder)[0], root, "v2")
     second = files.current(spark, root)
     assert second.endswith("/v2")
-    fact = files.read_by_month(spark, f"{second}/transactions_clean")
-    assert fact.count() == 2
+    processed = files.read_processed(spark, root)
+    assert {name: df.count() for name, df in processed.items()} == {
+        "transactions": 2, "customers": 1, "cards": 1, "merchants": 1
+    }
+    assert reports.kpi(processed["transactions"]).first().completed_amount == 21.0
 
 
 def test_month_partitions_are_pruned(spark, tmp_path):
@@ -150,7 +154,6 @@ def test_served_reader(spark, tmp_path):
 
 
 def test_views_answer_plain_sql(spark, sf):
-    from paygrain.plans import reports
     from paygrain.sources import orders_feed as feed
 
     tables = feed.clean_tables(spark, sf)
@@ -183,6 +186,11 @@ def test_json_documents_have_iso_dates(spark, tmp_path):
     files.export_documents(served(spark), path)
     back = spark.read.json(path)
     assert sorted(r.transaction_date for r in back.collect())[0] == "2026-01-01"
+    typed = files.read_documents(spark, path)
+    assert typed.schema == model.TRANSACTIONS_CLEAN
+    assert reports.document_monthly(typed).collect() == reports.document_monthly(
+        served(spark)
+    ).collect()
 
 
 def test_csv_reports_have_a_header_when_empty(spark, tmp_path):
