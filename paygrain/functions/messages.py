@@ -71,8 +71,12 @@ _ANY_CASE = "(?iU)"
 _UNICODE = "(?U)"
 
 _DECIMAL = r"\p{Nd}"
-# Superscript, subscript and enclosed digits count as digits too.
-_OTHER_DIGIT = "[²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐❶-❾➀-➈➊-➒]"
+# Superscript, subscript, enclosed and a few historic digits count as digits too.
+_OTHER_DIGIT = (
+    r"[²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒\x{1369}-\x{1371}\x{19DA}"
+    r"\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}]"
+)
+_NEAR_OTHER_DIGIT = r"[²³¹⁰-₉①-➒\x{1369}-\x{1371}\x{19DA}\x{10A40}-\x{1F10A}]"
 
 # What a text must contain before the costly pattern is tried on it: a mark for
 # e-mail addresses, a digit for card and phone numbers.
@@ -104,7 +108,9 @@ def asks_for_credentials(text: Column) -> Column:
 
 
 def has_digits(text: Column) -> Column:
-    return text.rlike(_DECIMAL) | text.rlike(_OTHER_DIGIT)
+    # The wide range is quick to rule out; the exact one only settles the rest.
+    other = text.rlike(_NEAR_OTHER_DIGIT) & text.rlike(_OTHER_DIGIT)
+    return text.rlike(_DECIMAL) | other
 
 
 def is_valid_message(text: Column) -> Column:

@@ -79,6 +79,13 @@ def test_expressions_match_python_on_odd_text(spark, texts):
         assert row.digits == any(ch.isdigit() for ch in source)
 
 
+def test_every_digit_counts(spark):
+    codes = [c for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"a{chr(c)}b") for c in codes], "c int, text string")
+    got = df.where(M.has_digits(F.col("text"))).select("c").collect()
+    assert {r.c for r in got} == {c for c in codes if chr(c).isdigit()}
+
+
 @pytest.mark.parametrize(
     "text, unsafe",
     [
