@@ -31,6 +31,13 @@ from paygrain.operators import (
 from paygrain.plans import reports, rollups, snapshot
 from paygrain.sources import orders_feed as feed
 
+# The pipeline operators are a part of their own: without it, all else works.
+try:
+    import corpus_pipeline  # noqa: F401
+    from paygrain.llm import queries as llm
+except ModuleNotFoundError:
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The dashboard selection used by the queries that take one.
@@ -277,6 +284,10 @@ def _synthetic_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return _reference_queries() | (llm.QUERIES if llm else {})
+
+
+def _reference_queries() -> dict[str, Query]:
     return {
         # summaries and reports
         "customer_summary": _on_fact(reports.customer_summary, card=True),
@@ -464,4 +475,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | (llm.ORACLES if llm else {})
