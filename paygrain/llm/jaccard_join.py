@@ -12,13 +12,13 @@ How it runs:
    counts in how many documents each occurs and returns the repeated ones only, packed by
    blocks of documents. A document without enough repeated shingles links with nothing
    and drops out here; unique shingles never travel again.
-2. Equal sets become one class. Classes that share a prefix shingle are clustered: in
-   blocks of limited size with the same smallest shingle hash, stars around members are
-   verified until every link within the block is used. This shrinks groups of copies of
-   any size without listing their pairs.
-3. Prefix shingles are collapsed to clusters, and clusters that share enough of them are
-   verified member by member (in blocks), up to the first link. Nothing that could link
-   two clusters is left out, so components are exact.
+2. Equal sets become one class. Classes that share a prefix shingle are dealt to blocks of
+   limited size by their smallest shingle hash, so that copies meet. Within a block, stars
+   around members are verified until every link is used: its clusters are exact.
+3. Prefix shingles are collapsed to blocks, and blocks that share enough of them are
+   verified against each other, cluster by cluster up to the first link. The larger block
+   of a pair stays and the smaller ones come to it; no pair of documents is ever a row,
+   also in a group of very many copies. Nothing that could link two blocks is left out.
 4. Components of the links between clusters follow by least labels, with checkpoints.
 
 Cases: words are separated by ASCII white space and compared with A-Z lower-cased; fewer
@@ -41,11 +41,13 @@ from pyspark.sql import functions as F
 from paygrain.llm.store import saved
 
 # Characters of text per bucket and per block: bounds the memory of a task.
-PART_CHARS = 32_000_000
+PART_CHARS = 16_000_000
 FLUSH_TOKENS = 1 << 21
 LONGEST_PREFIX = 16
 VERIFY_COST = 20
-BLOCK_CLASSES = 512
+# A block's classes and shingles.
+BLOCK_CLASSES = 1024
+BLOCK_SHINGLES = 1 << 21
 BROADCAST_KEYS = 100_000
 
 _TOKEN_BITS = 48
@@ -442,53 +444,54 @@ def _clusters(active: DataFrame, share: int) -> DataFrame:
     keyed = active.select("cls", "n_shingles", "tokens").mapInArrow(
         smallest, "cls binary, n_shingles long, tokens binary, least long"
     )
-    sizes = keyed.groupBy("least").agg(F.count("*").alias("size")).where(f"size > {BLOCK_CLASSES}")
-    sizes = saved(sizes, "join-sizes")
+    parts = F.greatest(
+        F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
+    )
+    sizes = saved(keyed.groupBy("least").agg(parts.alias("parts")).where("parts > 1"), "join-sizes")
     few = sizes.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    blocks = F.coalesce(F.ceil(F.col("size") / BLOCK_CLASSES), F.lit(1))
+    part = F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1).cast("long")))
     dealt = keyed.join(F.broadcast(sizes) if few else sizes, "least", "left").withColumn(
-        "part", F.pmod(F.xxhash64("cls"), blocks)
+        "block", F.concat_ws(":", "least", part)
     )
 
     def label(rows: pa.Table) -> pa.Table:
-        names = rows["cls"].to_pylist()
-        if len(names) == 1:
-            return pa.table({"cls": pa.array(names, pa.binary()), "cluster": pa.array(names, pa.binary())})
-        order = sorted(range(len(names)), key=names.__getitem__)
-        sets = [np.frombuffer(rows["tokens"][i].as_py(), "<u8") for i in order]
+        order = np.argsort(np.array(rows["cls"].to_pylist(), object), kind="stable")
+        names = [rows["cls"][int(i)].as_py() for i in order]
+        sets = [np.frombuffer(rows["tokens"][int(i)].as_py(), "<u8") for i in order]
         labels = cluster(sets, rows["n_shingles"].to_numpy()[order], share)
         return pa.table(
             {
-                "cls": pa.array([names[i] for i in order], pa.binary()),
-                "cluster": pa.array([names[order[k]] for k in labels], pa.binary()),
+                "cls": pa.array(names, pa.binary()),
+                "cluster": pa.array([names[k] for k in labels], pa.binary()),
+                "block": pa.array([rows["block"][0].as_py()] * len(names)),
             }
         )
 
-    return dealt.select("least", "part", "cls", "n_shingles", "tokens").groupBy("least", "part").applyInArrow(
-        label, "cls binary, cluster binary"
+    return dealt.select("block", "cls", "n_shingles", "tokens").groupBy("block").applyInArrow(
+        label, "cls binary, cluster binary, block string"
     )
 
 
-# --- step 3: links between clusters -----------------------------------------------
+# --- step 3: links between blocks -------------------------------------------------
 
 
-def _cluster_pairs(postings: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): clusters that share as many prefix shingles as the lower l asks for.
+def _block_pairs(postings: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(a, b): blocks that share as many prefix shingles as the lower l asks for.
 
-    A cluster has the shingles of all its members, each at its lowest level, and the
-    lowest l: what any pair of members shares, the clusters share.
+    A block has the shingles of all its members, each at its lowest level, and the lowest
+    l: what any pair of members shares, the blocks share.
     """
     named = postings.join(clusters, "cls")
-    wanted = named.groupBy("cluster").agg(F.min("wanted").alias("wanted"))
-    held = named.groupBy("token", "cluster").agg(F.min("level").alias("level"))
+    wanted = named.groupBy("block").agg(F.min("wanted").alias("wanted"))
+    held = named.groupBy("token", "block").agg(F.min("level").alias("level"))
     several = held.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    sides = saved(held.join(several, "token").join(wanted, "cluster"), "join-postings")
+    sides = saved(held.join(several, "token").join(wanted, "block"), "join-postings")
     a, b = sides.alias("a"), sides.alias("b")
     asked = F.least("a.wanted", "b.wanted")
     met = (F.col("a.level") <= asked) & (F.col("b.level") <= asked)
     return (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.cluster") < F.col("b.cluster")) & met)
-        .groupBy(F.col("a.cluster").alias("a"), F.col("b.cluster").alias("b"))
+        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.block") < F.col("b.block")) & met)
+        .groupBy(F.col("a.block").alias("a"), F.col("b.block").alias("b"))
         .agg(F.count("*").alias("shared"), F.min(asked).alias("asked"))
         .where("shared >= asked")
         .select("a", "b")
@@ -496,47 +499,69 @@ def _cluster_pairs(postings: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, active: DataFrame, clusters: DataFrame, share: int) -> DataFrame:
-    """The pairs of clusters that have a link, found between blocks of their members."""
-    member = active.select("cls", "n_shingles", "tokens").join(clusters, "cls")
-    part = F.struct("n_shingles", "tokens")
-    blocks = saved(
-        member.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(1 << 20)))
-        .join(
-            clusters.groupBy("cluster").agg(F.ceil(F.count("*") / 128).alias("parts")), "cluster"
-        )
-        .groupBy("cluster", F.pmod("part", "parts").alias("part"))
-        .agg(F.collect_list(part).alias("members")),
-        "join-members",
-    )
-    one = blocks.select(F.col("cluster").alias("a"), F.col("part").alias("part_a"), F.col("members").alias("of_a"))
-    two = blocks.select(F.col("cluster").alias("b"), F.col("part").alias("part_b"), F.col("members").alias("of_b"))
-
-    def check(rows: pa.Table) -> pa.Table:
-        hits = []
-        for i in range(rows.num_rows):
-            left, right = rows["of_a"][i].as_py(), rows["of_b"][i].as_py()
-            if _any_link(left, right, share):
-                hits.append((rows["a"][i].as_py(), rows["b"][i].as_py()))
-        return pa.table({"a": pa.array([h[0] for h in hits], pa.binary()), "b": pa.array([h[1] for h in hits], pa.binary())})
+    """(a, b): linked clusters of the paired blocks.
 
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .groupBy("a", "b", "part_a", "part_b")
-        .applyInArrow(check, "a binary, b binary")
-        .distinct()
+    The larger block of a pair is the host; its smaller partners are dealt to it in
+    portions of limited size.
+    """
+    members = saved(
+        active.select("cls", "n_shingles", "tokens").join(clusters, "cls").drop("cls"), "join-members"
+    )
+    weights = members.groupBy("block").agg(F.sum("n_shingles").alias("weight"))
+    weighed = pairs.join(
+        weights.select(F.col("block").alias("a"), F.col("weight").alias("weight_a")), "a"
+    ).join(weights.select(F.col("block").alias("b"), F.col("weight").alias("weight_b")), "b")
+    first = F.col("weight_a") >= F.col("weight_b")
+    turned = saved(
+        weighed.select(
+            F.when(first, F.col("a")).otherwise(F.col("b")).alias("host"),
+            F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"),
+            F.least("weight_a", "weight_b").alias("weight"),
+        ),
+        "join-pairs",
+    )
+    portions = turned.groupBy("host").agg(F.ceil(F.sum("weight") / BLOCK_SHINGLES).alias("portions"))
+    met = turned.join(portions, "host").select(
+        "host", "guest", F.pmod(F.xxhash64("guest"), "portions").alias("portion")
+    )
+    hosts = met.select("host", "portion").distinct().join(members.withColumnRenamed("block", "host"), "host")
+    guests = met.join(members.withColumnRenamed("block", "guest"), "guest").select(
+        *[F.col(name).alias(f"guest_{name}") for name in ("host", "portion", "cluster", "n_shingles", "tokens")]
     )
 
+    def check(host: pa.Table, guest: pa.Table) -> pa.Table:
+        hits = _links_between(_members(host, ""), _members(guest, "guest_"), share)
+        return pa.table({"a": pa.array([h[0] for h in hits], pa.binary()), "b": pa.array([h[1] for h in hits], pa.binary())})
 
-def _any_link(left: list[dict], right: list[dict], share: int) -> bool:
-    sets = [np.frombuffer(m["tokens"], "<u8") for m in right]
-    joined, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
-    n = np.array([m["n_shingles"] for m in right])
-    for m in left:
-        both = overlaps(np.sort(np.frombuffer(m["tokens"], "<u8")), joined, sizes)
-        if linked(m["n_shingles"], n, both, share).any():
-            return True
-    return False
+    left = hosts.groupBy("host", "portion")
+    right = guests.groupBy("guest_host", "guest_portion")
+    return left.cogroup(right).applyInArrow(check, "a binary, b binary")
+
+
+def _members(rows: pa.Table, side: str) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """Members' clusters, shingle counts and repeated shingles, sorted."""
+    sets = [np.sort(np.frombuffer(t.as_py(), "<u8")) for t in rows[f"{side}tokens"]]
+    return rows[f"{side}cluster"].to_pylist(), rows[f"{side}n_shingles"].to_numpy(), sets
+
+
+def _links_between(host, guest, share: int) -> list[tuple[bytes, bytes]]:
+    """Linked clusters, each pair once; linked ones are not compared again."""
+    names, n, sets = host
+    sizes = np.array([len(s) for s in sets])
+    codes = {name: k for k, name in enumerate(dict.fromkeys(names))}
+    cluster_of = np.array([codes[name] for name in names])
+    order = np.argsort(cluster_of, kind="stable")
+    joined = np.concatenate([sets[i] for i in order])
+    sizes, n, cluster_of = sizes[order], n[order], cluster_of[order]
+    labels = list(codes)
+    found: dict[bytes, set[int]] = {}
+    for name, size, one in zip(*guest, strict=True):
+        known = found.setdefault(name, set())
+        if len(known) == len(labels):
+            continue
+        near = linked(n, size, overlaps(one, joined, sizes), share)
+        known.update(np.unique(cluster_of[near]).tolist())
+    return [(labels[k], name) for name, known in found.items() for k in known]
 
 
 # --- step 4: components -----------------------------------------------------------
@@ -601,7 +626,7 @@ def linked_documents(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     postings = saved(shared, "join-prefixes")
     active = saved(classes.join(postings.select("cls").distinct(), "cls", "left_semi"), "join-active")
     clusters = saved(_clusters(active, share), "join-clusters")
-    pairs = _cluster_pairs(postings, clusters)
+    pairs = _block_pairs(postings, clusters)
     links = _verified(pairs, active, clusters, share)
     labels = components(links)
     label = F.coalesce("label", "cluster")

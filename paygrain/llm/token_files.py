@@ -34,7 +34,7 @@ from paygrain.llm.byte_units import once
 END_ID = 1
 BLOCK = 1 << 16
 CHUNK_IDS = 1 << 20
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 LEVEL = 3
 
 CHUNK_SCHEMA = (
