@@ -113,7 +113,14 @@ def text_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
             ids = tokenizer.encode(text, add_special_tokens=False).ids
             return np.asarray(ids, "<u4").tobytes()
 
-        piece_ids = _Words(library)
+        merge, written = tokenizer.model.tokenize, byte_letters()
+
+        def piece(text: str) -> bytes:
+            """Ids of one piece: the model alone, without the library's steps around it."""
+            shown = "".join([written[b] for b in text.encode()])
+            return np.asarray([token.id for token in merge(shown)], "<u4").tobytes()
+
+        piece_ids = _Words(piece)
 
         def word(text: str) -> bytes:
             return b"".join(map(piece_ids.__getitem__, pieces.findall(text)))
@@ -133,6 +140,18 @@ def text_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
     return once(("words", hash(tokenizer_json)), make)
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Visible characters of Latin-1 stand for themselves, the other bytes for the letters
+    from 256 on, in order.
+    """
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in visible)
+    letters = {b: chr(256 + k) for k, b in enumerate(others)} | {b: chr(b) for b in visible}
+    return [letters[b] for b in range(256)]
+
+
 # --- writing and reading ----------------------------------------------------------
 
 
