@@ -32,10 +32,10 @@ from paygrain.llm.byte_units import once
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
 DIMENSIONS = 16
-SAMPLE_ROWS = 4000
-EPOCHS = 6
-RATE = 1.0
-MAX_ERROR = 0.02
+SAMPLE_ROWS = 2000
+EPOCHS = 5
+RATE = 0.2
+MAX_ERROR = 0.05
 BLOCK_POINTS = 1 << 19
 UNKNOWN = "und"
 ADDED = ("lang_pred", "score", "accepted")
@@ -159,8 +159,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Model:
             back = layer @ error
             layer -= rate * np.outer(mean, error)
             bias -= rate * 0.1 * error
-            # The gradient of a mean is spread thinly: scaled up by the number of buckets.
-            table[buckets] -= rate * np.outer(shares * min(len(buckets), 200), back)
+            # Spread over its buckets so that the mean itself makes the whole step.
+            table[buckets] -= rate * np.outer(shares / (shares @ shares), back)
     weights = table @ layer
     scores = np.array([s @ weights[b] + bias for _, b, s in held]).reshape(len(held), len(languages))
     truth = np.array([k for k, _, _ in held], int)
@@ -216,7 +216,7 @@ def training_rows(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[t
                         pa.array(row[1], pa.int64()),
                         pa.array(row[2], pa.string()),
                         pa.array([buckets.tobytes()], pa.binary()),
-                        pa.array([counts.astype(np.int64).tobytes()], pa.binary()),
+                        pa.array([np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes()], pa.binary()),
                     ],
                     ["at", "doc_id", "lang", "buckets", "counts"],
                 )
@@ -225,7 +225,7 @@ def training_rows(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[t
         count, "at long, doc_id long, lang string, buckets binary, counts binary"
     )
     taken = counted.orderBy("at", "doc_id", "lang", "buckets", "counts").limit(2 * sample_rows).collect()
-    return [(r.lang, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int64)) for r in taken]
+    return [(r.lang, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.int32)) for r in taken]
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> Model | None:
