@@ -34,6 +34,8 @@ SIZES = (1, 2, 3, 4)
 DIMENSIONS = 16
 SAMPLE_ROWS = 2000
 EPOCHS = 5
+# A small sample is gone through more often, up to about this many steps.
+LEAST_STEPS = 4000
 RATE = 0.2
 MAX_ERROR = 0.05
 BLOCK_POINTS = 1 << 19
@@ -147,8 +149,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Model:
     table = random.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     layer = random.normal(0, 0.1, (DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))
-    steps, step = EPOCHS * max(1, len(used)), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, LEAST_STEPS // max(1, len(used)))
+    steps, step = epochs * max(1, len(used)), 0
+    for _ in range(epochs):
         for i in random.permutation(len(used)):
             k, buckets, shares = used[i]
             rate = RATE * (1 - step / steps)
