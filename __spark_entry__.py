@@ -62,9 +62,14 @@ def _on_selection(report: Callable[[DataFrame], DataFrame], **lookups: bool) ->
     return run
 
 
-def _on_snapshot(answer: Callable[[DataFrame], DataFrame]) -> Query:
+def _on_snapshot(answer: Callable[[DataFrame], DataFrame], **lookups: bool) -> Query:
+    """A snapshot answer with the lookups it reads; names it does not read are null."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        tx = feed.transactions(spark, sf, card=True, merchant=True)
+        tx = feed.transactions(spark, sf, **lookups)
+        for name in ("bank_name", "merchant_name"):
+            if name not in tx.columns:
+                tx = tx.withColumn(name, F.lit(None).cast("string"))
         return answer(cleaning.snapshot_rows(tx))
 
     return run
@@ -155,7 +160,7 @@ def _star(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _row_counts(spark: SparkSession, sf: str) -> DataFrame:
-    tables = feed.clean_tables(spark, sf)
+    tables = feed.clean_tables(spark, sf) | {"transactions": feed.transactions(spark, sf)}
     tables["cards_public"] = tables.pop("cards")
     tables["transactions_clean"] = tables.pop("transactions")
     return measures.row_counts(tables)
@@ -316,9 +321,6 @@ def _reference_queries() -> dict[str, Query]:
         "dashboard_kpi": _on_fact(
             lambda tx: reports.dashboard_kpi(tx, CATEGORIES, banks=BANKS), card=True
         ),
-        "dashboard_kpi_nothing_chosen": _on_fact(
-            lambda tx: reports.dashboard_kpi(tx, ()), card=True
-        ),
         "dashboard_monthly": _on_selection(reports.dashboard_monthly),
         "dashboard_categories": _on_selection(reports.dashboard_categories),
         "dashboard_statuses": _on_selection(reports.status_distribution),
@@ -332,11 +334,11 @@ def _reference_queries() -> dict[str, Query]:
         ),
         # snapshot
         "snapshot_overall": _on_snapshot(snapshot.overall),
-        "snapshot_banks": _on_snapshot(snapshot.banks),
-        "snapshot_merchants": _on_snapshot(snapshot.merchants),
+        "snapshot_banks": _on_snapshot(snapshot.banks, card=True),
+        "snapshot_merchants": _on_snapshot(snapshot.merchants, merchant=True),
         "snapshot_categories": _on_snapshot(snapshot.categories),
         "snapshot_months": _on_snapshot(snapshot.months),
-        "snapshot_all_grains": _on_snapshot(_all_grains),
+        "snapshot_all_grains": _on_snapshot(_all_grains, card=True, merchant=True),
         "snapshot_gate": _on_fact(
             cleaning.snapshot_violations, card=True, merchant=True
         ),
@@ -360,10 +362,12 @@ def _reference_queries() -> dict[str, Query]:
         "measures_overall": _on_fact(measures.measures, card=True),
         # comparison and ranking
         "compare_banks": _on_snapshot(
-            lambda rows: rankings.compare(snapshot.banks(rows), "bank")
+            lambda rows: rankings.compare(snapshot.banks(rows), "bank"),
+            card=True,
         ),
         "compare_merchants": _on_snapshot(
-            lambda rows: rankings.compare(snapshot.merchants(rows), "merchant")
+            lambda rows: rankings.compare(snapshot.merchants(rows), "merchant"),
+            merchant=True,
         ),
         "compare_categories": _on_snapshot(
             lambda rows: rankings.compare(
@@ -371,10 +375,14 @@ def _reference_queries() -> dict[str, Query]:
             )
         ),
         "bank_failures": _on_snapshot(
-            lambda rows: rankings.failures(snapshot.banks(rows), "bank", ["axis bank"])
+            lambda rows: rankings.failures(snapshot.banks(rows), "bank", ["axis bank"]),
+            card=True,
         ),
         "merchant_failures": _on_snapshot(
-            lambda rows: rankings.failures(snapshot.merchants(rows), "merchant")
+            lambda rows: rankings.failures(
+                snapshot.merchants(rows), "merchant", then=("category",)
+            ),
+            merchant=True,
         ),
         "category_failures": _on_snapshot(
             lambda rows: rankings.failures(snapshot.categories(rows), "category")
@@ -383,19 +391,23 @@ def _reference_queries() -> dict[str, Query]:
             lambda rows: rankings.overall_failures(snapshot.overall(rows))
         ),
         "top_bank_by_metric": _on_snapshot(
-            lambda rows: rankings.top_banks(snapshot.banks(rows))
+            lambda rows: rankings.top_banks(snapshot.banks(rows)),
+            card=True,
         ),
         "top_merchant_by_metric": _on_snapshot(
-            lambda rows: rankings.top_merchants(snapshot.merchants(rows))
+            lambda rows: rankings.top_merchants(snapshot.merchants(rows)),
+            merchant=True,
         ),
         "top_category_by_metric": _on_snapshot(
             lambda rows: rankings.top_categories(snapshot.categories(rows))
         ),
         "busiest_merchants": _on_snapshot(
-            lambda rows: rankings.busiest_merchants(snapshot.merchants(rows))
+            lambda rows: rankings.busiest_merchants(snapshot.merchants(rows)),
+            merchant=True,
         ),
         "bank_series": _on_snapshot(
-            lambda rows: rankings.series(snapshot.banks(rows), "bank", "success_rate")
+            lambda rows: rankings.series(snapshot.banks(rows), "bank", "success_rate"),
+            card=True,
         ),
         "month_series": _on_snapshot(
             lambda rows: rankings.month_series(snapshot.months(rows))

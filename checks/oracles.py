@@ -622,11 +622,6 @@ SELECT {_DONE} AS completed_amount, count(*) AS transactions,
        count(DISTINCT customer_id) AS active_customers,
        coalesce({_GOOD_RATE}, 0) AS success_rate
 FROM tx WHERE {_CHOSEN}"""),
-    "dashboard_kpi_nothing_chosen": _tx(f"""
-SELECT {_DONE} AS completed_amount, count(*) AS transactions,
-       count(DISTINCT customer_id) AS active_customers,
-       coalesce({_GOOD_RATE}, 0) AS success_rate
-FROM tx WHERE false"""),
     "dashboard_monthly": _tx(f"""
 SELECT strftime(transaction_date, '%Y-%m') AS transaction_month,
        {_DONE} AS completed_amount, count(transaction_id) AS transactions
@@ -741,7 +736,7 @@ SELECT bank, failed_transactions, transaction_count,
 FROM banks WHERE bank = 'Axis Bank'"""),
     "merchant_failures": _tx(f"""
 , merchants AS ({_SNAP_MERCHANTS})
-SELECT merchant, failed_transactions, transaction_count,
+SELECT merchant, category, failed_transactions, transaction_count,
        CAST(failed_transactions AS DOUBLE) / transaction_count AS failure_rate
 FROM merchants"""),
     "category_failures": _tx(f"""

@@ -67,10 +67,14 @@ def failure_rate():
     )
 
 
-def failures(entities: DataFrame, entity: str, names=None) -> DataFrame:
+def failures(
+    entities: DataFrame, entity: str, names=None, then: Sequence[str] = ()
+) -> DataFrame:
+    """Failures by entity; ``then`` names what else tells its rows apart."""
     rows = named(entities, entity, names)
     return rows.select(
         entity,
+        *then,
         "failed_transactions",
         "transaction_count",
         failure_rate().alias("failure_rate"),

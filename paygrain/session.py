@@ -19,9 +19,6 @@ DEFAULTS = {
 }
 
 PARTITION_BYTES = 256 * 1024 * 1024
-# Upper bound for the map-output bookkeeping of one shuffle; beyond it the
-# partitions grow instead of their number, and sorts and aggregates spill.
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def settings_for(shuffled_bytes: int) -> dict[str, str]:
@@ -34,7 +31,7 @@ def settings_for(shuffled_bytes: int) -> dict[str, str]:
     wanted = max(1, ceil(shuffled_bytes / PARTITION_BYTES))
     size = str(PARTITION_BYTES)
     return {
-        "spark.sql.shuffle.partitions": str(min(wanted, MAX_SHUFFLE_PARTITIONS)),
+        "spark.sql.shuffle.partitions": str(wanted),
         "spark.sql.files.maxPartitionBytes": size,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
