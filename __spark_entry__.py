@@ -35,7 +35,7 @@ from paygrain.sources import orders_feed as feed
 try:
     import corpus_pipeline  # noqa: F401
     from paygrain.llm import queries as llm
-except ModuleNotFoundError:
+except ImportError:
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
