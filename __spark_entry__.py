@@ -362,16 +362,23 @@ def _reference_queries() -> dict[str, Query]:
         "measures_overall": _on_fact(measures.measures, card=True),
         # comparison and ranking
         "compare_banks": _on_snapshot(
-            lambda rows: rankings.compare(snapshot.banks(rows), "bank"),
+            lambda rows: rankings.compare(
+                snapshot.banks(rows), "bank", currency=snapshot.currency(rows)
+            ),
             card=True,
         ),
         "compare_merchants": _on_snapshot(
-            lambda rows: rankings.compare(snapshot.merchants(rows), "merchant"),
+            lambda rows: rankings.compare(
+                snapshot.merchants(rows), "merchant", currency=snapshot.currency(rows)
+            ),
             merchant=True,
         ),
         "compare_categories": _on_snapshot(
             lambda rows: rankings.compare(
-                snapshot.categories(rows), "category", ["travel", "Grocery"]
+                snapshot.categories(rows),
+                "category",
+                ["travel", "Grocery"],
+                snapshot.currency(rows),
             )
         ),
         "bank_failures": _on_snapshot(
@@ -472,6 +479,13 @@ def _reference_queries() -> dict[str, Query]:
             feed.table(spark, sf, "conversations")
         ),
         "repeated_documents": _repeated_documents,
+        "support_answers": lambda spark, sf: messages.support_answers(
+            feed.table(spark, sf, "conversations"),
+            TOPIC_WORDS,
+            TOPIC_PRIORITY,
+            FOLLOW_UP,
+            VARIANT_RULES,
+        ),
         "entity_mentions": _mentions,
         "listed_mentions": lambda spark, sf: mentions.listed_mentions(
             feed.table(spark, sf, "documents"), "word", LISTED_NAMES, ["doc_id"]

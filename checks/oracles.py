@@ -352,6 +352,9 @@ _BAD_SET = {name: f"bad_{name}" for name in _KEYS}
 
 # --- messages -------------------------------------------------------------
 
+_PREVAILING = (
+    "(SELECT currency FROM tx GROUP BY currency ORDER BY count(*) DESC, currency LIMIT 1)"
+)
 TOPIC_WORDS = {
     "english": ("the", "of the", "and", "in the"),
     "german": ("der", "die", "und", "die und"),
@@ -370,6 +373,7 @@ FOLLOW_UP = (r"(?:et|und|and|on|in)\b[^\n]*",)
 
 _EDGE_L = r"(^|[^\p{L}\p{N}_])"
 _EDGE_R = r"([^\p{L}\p{N}_]|$)"
+_STRIPPED = "trim({0}, E' \\t\\n\\r')"
 _FOLDED = "replace(translate(lower(text), 'ſς', 'sσ'), 'ß', 'ss')"
 
 
@@ -384,26 +388,26 @@ def _score(words) -> str:
     )
 
 
-def _routed() -> str:
+def _routed(source: str = "conversations", name: str = "") -> str:
     scores = ", ".join(f"{_score(w)} AS s_{t}" for t, w in TOPIC_WORDS.items())
     unions = " UNION ALL ".join(
         f"SELECT conv_id, turn, '{topic}' AS topic, s_{topic} AS score, "
-        f"{TOPIC_PRIORITY.get(topic, 0)} AS priority, {i} AS position FROM scored"
+        f"{TOPIC_PRIORITY.get(topic, 0)} AS priority, {i} AS position FROM {name}scored"
         for i, topic in enumerate(TOPIC_WORDS)
     )
     shape = FOLLOW_UP[0].replace(r"\b[^\n]*", r"([^\p{L}\p{N}_\n][^\n]*)?")
     return f"""
-folded AS (SELECT *, {_FOLDED} AS folded FROM conversations),
-scored AS (SELECT conv_id, turn, {scores} FROM folded),
-ranked AS (
+{name}folded AS (SELECT *, {_FOLDED} AS folded FROM {source}),
+{name}scored AS (SELECT conv_id, turn, {scores} FROM {name}folded),
+{name}ranked AS (
   SELECT *, row_number() OVER (
     PARTITION BY conv_id, turn ORDER BY score DESC, priority DESC, position) AS rn
   FROM ({unions}) candidates WHERE score > 0
 ),
-routed AS (
+{name}routed AS (
   SELECT f.conv_id, f.turn, f.role, f.text, f.folded, r.topic,
-         regexp_full_match(f.folded, '{shape}') AS is_follow_up
-  FROM folded f LEFT JOIN ranked r
+         regexp_full_match({_STRIPPED.format("f.folded")}, '{shape}') AS is_follow_up
+  FROM {name}folded f LEFT JOIN {name}ranked r
     ON r.conv_id = f.conv_id AND r.turn = f.turn AND r.rn = 1
 )"""
 
@@ -451,6 +455,21 @@ def _redacted(expression: str) -> str:
     return expression
 
 
+def _repeats(table: str, group: str, order: str, where: str = "") -> str:
+    """CTE repeats: whether the redacted text was said before, as it was written then."""
+    return f"""
+spoken AS (
+  SELECT {group}, {order}, {_FOLDED} AS folded,
+         {_FOLDED.replace("(text)", f"({_redacted(_STRIPPED.format('text'))})")} AS asked
+  FROM {table} {where}
+), firsts AS (
+  SELECT {group}, folded, min({order}) AS first_at FROM spoken GROUP BY {group}, folded
+), repeats AS (
+  SELECT s.{group}, s.{order}, coalesce(f.first_at < s.{order}, FALSE) AS is_repeat
+  FROM spoken s LEFT JOIN firsts f ON f.{group} = s.{group} AND f.folded = s.asked
+)"""
+
+
 _MASKED = f"""
 masked AS (
   SELECT doc_id, regexp_replace(text, '{_ACCENTED}', '_', 'g') AS plain FROM documents
@@ -720,14 +739,14 @@ ORDER BY completed_spend DESC, customer_id LIMIT 10"""),
     "compare_banks": _tx(f"""
 , banks AS ({_SNAP_BANKS})
 SELECT *, CAST(failed_transactions AS DOUBLE) / transaction_count AS failure_rate,
-       'INR' AS currency
+       {_PREVAILING} AS currency
 FROM banks"""),
     "compare_merchants": _tx(f"""
 , merchants AS ({_SNAP_MERCHANTS})
-SELECT *, 'INR' AS currency FROM merchants"""),
+SELECT *, {_PREVAILING} AS currency FROM merchants"""),
     "compare_categories": _tx(f"""
 , categories AS ({_SNAP_CATEGORIES})
-SELECT *, 'INR' AS currency FROM categories
+SELECT *, {_PREVAILING} AS currency FROM categories
 WHERE category IN ('Travel', 'Grocery')"""),
     "bank_failures": _tx(f"""
 , banks AS ({_SNAP_BANKS})
@@ -951,23 +970,29 @@ WITH {_MASKED}, flags AS (
 SELECT *, asks_for_credentials OR has_digits OR changed_by_redaction AS is_unsafe
 FROM flags""",
     "repeated_questions": f"""
-WITH said AS (
-  SELECT conv_id, turn, replace(translate(lower({_redacted("trim(text, E' \\t\\n\\r')")}),
-         'ſς', 'sσ'), 'ß', 'ss') AS asked
-  FROM conversations WHERE role = 'user'
-)
-SELECT conv_id, turn,
-       turn > min(turn) OVER (PARTITION BY conv_id, asked) AS is_repeat
-FROM said""",
+WITH {_repeats("conversations", "conv_id", "turn", "WHERE role = 'user'")}
+SELECT conv_id, turn, is_repeat FROM repeats""",
     "repeated_documents": f"""
-WITH said AS (
-  SELECT source, doc_id, replace(translate(lower({_redacted("trim(text, E' \\t\\n\\r')")}),
-         'ſς', 'sσ'), 'ß', 'ss') AS asked
-  FROM documents
-)
-SELECT source, doc_id,
-       doc_id > min(doc_id) OVER (PARTITION BY source, asked) AS is_repeat
-FROM said""",
+WITH {_repeats("documents", "source", "doc_id")}
+SELECT source, doc_id, is_repeat FROM repeats""",
+    "support_answers": f"""
+WITH safe AS (
+  SELECT conv_id, turn, role, {_redacted(_STRIPPED.format("text"))} AS text FROM conversations
+), {_routed("safe", "safe_")}, {_routed("conversations", "raw_")}, carried AS (
+  SELECT s.*, r.text AS written,
+         last_value(CASE WHEN r.role = 'user' THEN r.topic END IGNORE NULLS) OVER (
+           PARTITION BY s.conv_id ORDER BY s.turn
+           ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS said
+  FROM safe_routed s JOIN raw_routed r ON r.conv_id = s.conv_id AND r.turn = s.turn
+), resolved AS (
+  SELECT conv_id, turn, folded,
+         coalesce(topic, CASE WHEN is_follow_up THEN said END) AS topic
+  FROM carried
+  WHERE role = 'user' AND length({_STRIPPED.format("written")}) BETWEEN 1 AND 500
+), {_repeats("conversations", "conv_id", "turn", "WHERE role = 'user'")}
+SELECT v.conv_id, v.turn, v.topic AS resolved_topic, v.variant, r.is_repeat
+FROM (SELECT *, {_variant()} AS variant FROM resolved) v
+JOIN repeats r ON r.conv_id = v.conv_id AND r.turn = v.turn""",
     "listed_mentions": f"""
 WITH names AS (
   SELECT unnest([{", ".join(f"'{name}'" for name in LISTED_NAMES)}]) AS name

@@ -58,15 +58,21 @@ def with_follow_up(
     column: str = "text",
 ) -> DataFrame:
     return df.withColumn(
-        "is_follow_up", M.matches_whole(casefold(F.col(column)), shapes)
+        "is_follow_up", M.matches_whole(casefold(strip(F.col(column))), shapes)
     )
 
 
-def carry_forward(routed: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+def carry_forward(
+    routed: DataFrame,
+    block_turns: int = BLOCK_TURNS,
+    said: str = "topic",
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """Give unrouted follow-ups the topic of the latest routed user message.
 
     Looks at the ten messages before, of any role. Takes (conv_id, turn, role,
-    topic, is_follow_up) and returns the user messages with resolved_topic.
+    topic, is_follow_up) and returns the user messages with resolved_topic, and
+    the columns to ``keep``. ``said`` is the topic a message has for later ones.
 
     A conversation is cut into blocks of turns and each block also receives
     the last ten messages before it, so a very long conversation spreads over
@@ -80,8 +86,9 @@ def carry_forward(routed: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
         "topic",
         "is_follow_up",
         F.floor(F.col("turn") / block_turns).alias("_block"),
-        F.when(F.col("role") == "user", F.col("topic")).alias("_said"),
+        F.when(F.col("role") == "user", F.col(said)).alias("_said"),
         F.lit(True).alias("_own"),
+        *keep,
     )
     in_block = Window.partitionBy("conv_id", "_block")
     tails = (
@@ -125,6 +132,7 @@ def carry_forward(routed: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFram
             F.coalesce(
                 "topic", F.when(F.col("is_follow_up"), F.col("_carried"))
             ).alias("resolved_topic"),
+            *keep,
         )
     )
 
@@ -146,25 +154,76 @@ def answer_variants(
 def repeated_questions(df: DataFrame) -> DataFrame:
     """User messages with a flag for text already asked in the conversation.
 
-    Compared case-folded and after redaction, by digest. The narrow digest rows
-    are spread evenly once and both uses read that shuffle, so no text is
-    redacted twice. The first turn of each text comes from an aggregate and is
-    joined back by the message it belongs to, not by the text: a text that is
-    repeated very often gives no large join group.
+    The question is stripped and redacted, earlier messages are taken as they
+    were written; both are case-folded and compared by digest. Only the first
+    turn of every earlier text is joined, so a text that is repeated very often
+    meets one row, and Spark splits its own rows over several tasks.
     """
-    digest = F.sha2(casefold(M.redact(strip(F.col("text")))), 256)
-    said = (
-        df.where((F.col("role") == "user") & F.col("text").isNotNull())
-        .select("conv_id", "turn", F.coalesce(digest, F.lit("")).alias("_digest"))
-        .repartition("conv_id", "turn")
-    )
+    user = df.where((F.col("role") == "user") & F.col("text").isNotNull())
+    asked = F.sha2(casefold(M.redact(strip(F.col("text")))), 256)
+    said = user.select("conv_id", "turn", asked.alias("_digest"))
     first = (
-        said.groupBy("conv_id", "_digest")
-        .agg(F.min("turn").alias("turn"))
-        .withColumn("_first", F.lit(True))
+        user.select("conv_id", "turn", F.sha2(casefold(F.col("text")), 256).alias("_digest"))
+        .groupBy("conv_id", "_digest")
+        .agg(F.min("turn").alias("_first"))
+    )
+    return said.join(first, ["conv_id", "_digest"], "left").select(
+        "conv_id",
+        "turn",
+        F.coalesce(F.col("_first") < F.col("turn"), F.lit(False)).alias("is_repeat"),
+    )
+
+
+def support_answers(
+    df: DataFrame,
+    keywords: Mapping[str, Sequence[str]] = support_topics.KEYWORDS,
+    priority: Mapping[str, int] = support_topics.PRIORITY,
+    shapes: Sequence[str] = support_topics.FOLLOW_UP_SHAPES,
+    rules: Sequence[tuple[str, str, str]] = support_topics.VARIANTS,
+) -> DataFrame:
+    """What each user message is answered with, by the whole chain.
+
+    A question is stripped and redacted, then routed; a follow-up that names no
+    topic takes the one of the conversation, and the variant is that of the
+    resolved topic. Earlier messages count as they were written. Messages of
+    unusable length get no answer, but later ones still look back at them.
+    Labels are found per topic beforehand, so no text passes the windows.
+    """
+    raw = F.col("text")
+    read = df.withColumns(
+        {
+            "_usable": M.is_valid_message(raw),
+            "_said_topic": M.best_topic(raw, keywords, priority),
+            "_asked": M.redact(strip(raw)),
+        }
+    )
+    routed = with_follow_up(
+        route(read, keywords, priority, "_asked"), shapes, "_asked"
+    )
+    folded = casefold(F.col("_asked"))
+    topics = dict.fromkeys(topic for topic, _, _ in rules)
+    labels = F.array(
+        *[
+            F.struct(
+                F.lit(topic).alias("topic"),
+                M.first_matching(F.lit(topic), folded, rules).alias("label"),
+            )
+            for topic in topics
+        ]
     )
-    return said.join(first, ["conv_id", "turn", "_digest"], "left").select(
-        "conv_id", "turn", F.col("_first").isNull().alias("is_repeat")
+    carried = carry_forward(
+        routed.withColumn("_labels", F.map_from_entries(labels)),
+        said="_said_topic",
+        keep=("_labels", "_usable"),
+    ).where("_usable")
+    resolved = F.col("resolved_topic")
+    special = F.try_element_at("_labels", resolved)
+    return carried.join(repeated_questions(df), ["conv_id", "turn"]).select(
+        "conv_id",
+        "turn",
+        "resolved_topic",
+        F.when(resolved.isNotNull(), F.coalesce(special, F.lit("general"))).alias("variant"),
+        "is_repeat",
     )
 
 

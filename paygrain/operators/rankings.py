@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paygrain import model
 from paygrain.operators.cleaning import keep_first
 
 # Which aggregates can be ranked by what, and what breaks ties before the name.
@@ -44,13 +45,17 @@ def compare(
     entities: DataFrame,
     entity: str,
     names: Iterable[str] | None = None,
-    currency: str = "INR",
+    currency: Column | str = model.CURRENCY_FALLBACK,
 ) -> DataFrame:
-    """Side-by-side metrics, with a failure rate wherever failures are known."""
+    """Side-by-side metrics, with a failure rate wherever failures are known.
+
+    ``currency`` is the one that prevails in the snapshot: ``snapshot.currency``.
+    """
     rows = named(entities, entity, names)
     if "failure_rate" not in rows.columns:
         rows = rows.withColumn("failure_rate", failure_rate())
-    return rows.withColumn("currency", F.lit(currency))
+    given = F.lit(currency) if isinstance(currency, str) else currency
+    return rows.withColumn("currency", given)
 
 
 def failure_rate():

@@ -6,7 +6,7 @@ a group of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paygrain import model
@@ -42,6 +42,11 @@ def overall(rows: DataFrame) -> DataFrame:
     )
 
 
+def currency(rows: DataFrame) -> Column:
+    """The currency of most rows, as a scalar subquery."""
+    return overall(rows).select("currency").scalar()
+
+
 def banks(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("bank_name").alias("bank")).agg(
         m.rows(),

@@ -248,7 +248,47 @@ def test_repeated_questions(spark):
         ("user", "new"),
     )
     got = {r.turn: r.is_repeat for r in messages.repeated_questions(df).collect()}
-    assert got == {0: False, 2: True, 3: False, 4: True, 5: False}
+    assert got == {0: False, 2: True, 3: False, 4: False, 5: False}
+
+
+def answers(spark, *turns):
+    got = messages.support_answers(conversation(spark, *turns)).collect()
+    return {r.turn: (r.resolved_topic, r.variant, r.is_repeat) for r in got}
+
+
+def test_support_chain(spark):
+    assert answers(
+        spark,
+        ("user", "My payment is pending."),
+        ("assistant", "A pending status can be confusing."),
+        ("user", " And what about how long? "),
+        ("user", "MY payment is pending. "),
+        ("user", "x" * 501),
+        ("user", "Tell me a joke."),
+    ) == {
+        0: ("pending_payment", "general", False),
+        2: ("pending_payment", "pending_timing", False),
+        3: ("pending_payment", "general", True),
+        5: (None, None, False),
+    }
+
+
+def test_private_words_do_not_route_a_question(spark):
+    assert answers(spark, ("user", "my name is failed payment")) == {0: (None, None, False)}
+    # Earlier messages are taken as they were written.
+    got = answers(spark, ("user", "my name is failed payment"), ("user", "what about it"))
+    assert got[1][0] == "failed_payment"
+
+
+def test_different_numbers_are_different_questions(spark):
+    got = answers(
+        spark,
+        ("user", "is 4111 1111 1111 1111 charged"),
+        ("user", "is 5500 0000 0000 0004 charged"),
+        ("user", "is [REDACTED NUMBER] charged"),
+        ("user", "is 4111 1111 1111 1111 charged"),
+    )
+    assert [got[i][2] for i in range(4)] == [False, False, False, True]
 
 
 def test_mentions_match_brute_force(spark):

@@ -125,6 +125,16 @@ def test_comparison_and_failures(source):
     assert (overall.failed_transactions, overall.total_transactions) == (1, 3)
 
 
+def test_comparison_takes_the_prevailing_currency(spark):
+    tx = snapshot_source(spark).withColumn(
+        "currency", F.when(F.col("transaction_month") == "2026-02", "INR").otherwise("USD")
+    )
+    rows_ = cleaning.snapshot_rows(tx)
+    banks = rankings.compare(snapshot.banks(rows_), "bank", currency=snapshot.currency(rows_))
+    assert {r.currency for r in banks.collect()} == {"USD"}
+    assert snapshot.overall(rows_).first().currency == "USD"
+
+
 def test_unmeasured_metrics_stay_null(spark):
     banks = spark.createDataFrame(
         [("A", 2, None), ("B", 3, 1)],
