@@ -50,13 +50,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Per code point: its lower case, and whether it is a letter."""
 
     def make():
-        points = [chr(i) for i in range(0x110000)]
+        points = range(0x110000)
         low = np.arange(0x110000, dtype=np.uint32)
-        for i, c in enumerate(points):
-            small = c.lower()
+        for i in points:
+            small = chr(i).lower()
             if len(small) == 1:
                 low[i] = ord(small)
-        return low, np.array([c.isalpha() for c in points])
+        return low, np.fromiter((chr(i).isalpha() for i in points), bool, len(points))
 
     return once(("letters",), make)
 
