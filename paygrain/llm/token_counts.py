@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrain.llm.byte_units import read_ranks, token_counter
+from paygrain.llm.store import saved
 
 BUCKET = 1024
 
@@ -53,6 +54,8 @@ def limits(hist: DataFrame) -> DataFrame:
     limit; quantile is the share of documents within. Between two occurring lengths
     only truncated_total changes, by docs_longer per token: see ``truncated_total``.
     """
+    # Read twice below; written once, so that documents are encoded once.
+    hist = saved(hist, "lengths")
     sized = hist.withColumn("_bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn(
         "_tokens", F.col("n_tokens") * F.col("docs")
     )
