@@ -8,9 +8,10 @@ is verified only if it shares as many prefix shingles as the lower of the two l
 
 How it runs:
 
-1. Shingles are hashed where the texts are, packed, and dealt to buckets by hash. A bucket
-   counts in how many documents each occurs and returns the repeated ones only, packed by
-   blocks of documents. A document without enough repeated shingles links with nothing
+1. Shingles are hashed where the texts are, packed, and dealt to buckets by hash; rows are
+   packed by bucket alone, so their number grows with the text and not with its square. A
+   bucket counts in how many documents each shingle occurs and returns the repeated ones
+   only, packed by blocks of documents (a document's key tells its block). A document without enough repeated shingles links with nothing
    and drops out here; unique shingles never travel again.
 2. Equal sets become one class. Classes that share a prefix shingle are dealt to blocks of
    limited size by their smallest shingle hash, so that copies meet. Within a block, stars
@@ -41,8 +42,9 @@ from pyspark.sql import functions as F
 from paygrain.llm.store import saved
 
 # Characters of text per bucket and per block: bounds the memory of a task.
-PART_CHARS = 16_000_000
-FLUSH_TOKENS = 1 << 21
+PART_CHARS = 8_000_000
+FLUSH_TOKENS = 1 << 20
+HASH_BYTES = 1 << 19
 LONGEST_PREFIX = 16
 VERIFY_COST = 20
 # A block's classes and shingles.
@@ -71,7 +73,7 @@ def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and of its inverse."""
     if len(_powers.get("up", ())) < size:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(size, 1 << 20), np.uint64(base))
+            steps = np.full(max(size, 2 * HASH_BYTES), np.uint64(base))
             steps[0] = 1
             _powers[name] = np.cumprod(steps)
     return _powers["up"][:size], _powers["down"][:size]
@@ -103,7 +105,7 @@ def _fold(words: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def _text_blocks(texts: list[bytes], size: int = 1 << 21) -> Iterator[list[int]]:
+def _text_blocks(texts: list[bytes], size: int = HASH_BYTES) -> Iterator[list[int]]:
     """Numbers of consecutive texts that together have about ``size`` bytes."""
     held, block = 0, []
     for i, text in enumerate(texts):
@@ -116,7 +118,7 @@ def _text_blocks(texts: list[bytes], size: int = 1 << 21) -> Iterator[list[int]]
         yield block
 
 
-def _long_words(text: bytes, size: int = 1 << 21) -> np.ndarray:
+def _long_words(text: bytes, size: int = HASH_BYTES) -> np.ndarray:
     """Word hashes of one long text, cut at white space into blocks."""
     parts, at = [], 0
     while at < len(text):
@@ -233,7 +235,7 @@ def _packed_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _scattered(doc_ids, sets, parts) -> Iterator[pa.RecordBatch]:
-    """Packed rows per (bucket of shingles, block of documents), and per block its documents."""
+    """Packed rows per bucket of shingles, and per block its documents."""
     digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
     keys = np.array([_key(d, g) for d, g in zip(doc_ids, digests, strict=True)], np.uint64)
     blocks = (keys % np.uint64(parts)).astype(np.int64)
@@ -248,16 +250,15 @@ def _scattered(doc_ids, sets, parts) -> Iterator[pa.RecordBatch]:
         payload = _pack(keys[at], ids, known, sizes[at], shas)
         rows.append((int(block), int(block), True, payload))
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    bucket = ((tokens >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)
-    cell = blocks[owner] * parts + bucket.astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    cells, firsts = np.unique(cell[order], return_index=True)
-    for c, first, last in zip(cells, firsts, np.append(firsts[1:], len(order)), strict=True):
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    bucket = (((tokens >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    buckets, firsts = np.unique(bucket[order], return_index=True)
+    for b, first, last in zip(buckets, firsts, np.append(firsts[1:], len(order)), strict=True):
         chosen = order[first:last]
         own, runs = np.unique(owner[chosen], return_counts=True)
         payload = _pack(keys[own], runs.astype("<u4"), *_narrow(tokens[chosen] & _LOW))
-        rows.append((int(c % parts), int(c // parts), False, payload))
+        rows.append((int(b), None, False, payload))
         if len(rows) >= 256:
             yield _packed_rows(rows, names)
             rows = []
@@ -268,7 +269,7 @@ def _scattered(doc_ids, sets, parts) -> Iterator[pa.RecordBatch]:
 def _counted(rows: pa.Table, parts: int) -> pa.Table:
     """Of one bucket: the shingles that occur in several documents, by block."""
     names = ["block", "info", "payload"]
-    out, keys, tokens, blocks = [], [], [], []
+    out, keys, tokens = [], [], []
     bucket = rows["bucket"][0].as_py()
     for block, info, payload in zip(rows["block"], rows["info"], rows["payload"], strict=True):
         data = payload.as_py()
@@ -278,9 +279,8 @@ def _counted(rows: pa.Table, parts: int) -> pa.Table:
         own, runs, low, high = _unpack(data, "<u8", "<u4", "<u4", "<u2")
         keys.append(np.repeat(own, runs))
         tokens.append(_wide(low, high))
-        blocks.append(np.full(len(low), block.as_py(), np.int32))
     if tokens:
-        keys, tokens, blocks = (np.concatenate(x) for x in (keys, tokens, blocks))
+        keys, tokens = np.concatenate(keys), np.concatenate(tokens)
         order = np.argsort(tokens)
         tokens = tokens[order]
         first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
@@ -288,7 +288,8 @@ def _counted(rows: pa.Table, parts: int) -> pa.Table:
         counts = np.repeat(runs, runs)
         often = counts > 1
         tokens, counts, order = tokens[often], counts[often], order[often]
-        keys, blocks = keys[order], blocks[order]
+        keys = keys[order]
+        blocks = (keys % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((keys, blocks))
         tokens, counts, keys, blocks = tokens[order], counts[order], keys[order], blocks[order]
         edges = np.searchsorted(blocks, np.arange(parts + 1))
