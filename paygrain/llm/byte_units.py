@@ -11,7 +11,7 @@ import base64
 from collections.abc import Callable
 
 # Entries kept per worker: about 200 bytes each.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -38,7 +38,7 @@ EPOCHS = 5
 LEAST_STEPS = 4000
 RATE = 0.2
 MAX_ERROR = 0.05
-BLOCK_POINTS = 1 << 19
+BLOCK_POINTS = 1 << 17
 UNKNOWN = "und"
 ADDED = ("lang_pred", "score", "accepted")
 
