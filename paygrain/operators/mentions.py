@@ -12,7 +12,6 @@ from paygrain.functions.values import bind
 from paygrain.operators.cleaning import keep_first
 
 PIECE = 8
-COUNTERS = 1024
 
 
 def _pieces(text: Column, length: Column) -> Column:
@@ -24,35 +23,6 @@ def _pieces(text: Column, length: Column) -> Column:
     return F.regexp_extract_all(text, pattern, F.lit(1))
 
 
-def _uses(pieces: DataFrame) -> Column:
-    """About how often each piece is used, from counters of fixed number.
-
-    Pieces are hashed to counters, so this is one short array however many
-    names there are. A rare piece may share a counter and look more frequent;
-    that only makes another piece the anchor.
-    """
-    counter = F.pmod(F.xxhash64("_piece"), F.lit(COUNTERS))
-    counted = pieces.groupBy(counter.alias("counter")).agg(
-        F.count(F.lit(1)).alias("uses")
-    )
-    listed = counted.agg(
-        F.sort_array(F.collect_list(F.struct("counter", "uses"))).alias("listed")
-    )
-    filled = F.aggregate(
-        F.col("listed"),
-        F.array_repeat(F.lit(0).cast("long"), 0),
-        lambda done, entry: F.concat(
-            done,
-            F.array_repeat(
-                F.lit(0).cast("long"),
-                (entry.getField("counter") - F.size(done)).cast("int"),
-            ),
-            F.array(entry.getField("uses")),
-        ),
-    )
-    return F.get(listed.select(filled).scalar(), counter.cast("int"))
-
-
 def _anchored(names: DataFrame, id_columns: Sequence[str]) -> DataFrame:
     """Names with one piece each: the whole name, or its rarest piece if long."""
     forms = (
@@ -67,8 +37,10 @@ def _anchored(names: DataFrame, id_columns: Sequence[str]) -> DataFrame:
             "_position", "_piece"
         ),
     )
+    # Counted exactly: a piece's rank must not depend on how many names there are.
+    uses = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_uses"))
     return keep_first(
-        pieces.withColumn("_uses", _uses(pieces)),
+        pieces.join(uses, "_piece"),
         [*id_columns, "_form"],
         ["_uses", "_position"],
     ).select(*id_columns, "_form", "_piece")
