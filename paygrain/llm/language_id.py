@@ -4,14 +4,23 @@ A text is the mean of the embeddings of its hashed letter n-grams; a linear laye
 the mean into one score per language. Both are trained together by stochastic gradient
 descent in numpy on a bounded sample of labelled rows (SAMPLE_ROWS, expected; at most
 twice as many), whose n-gram counts are made where the texts are, from whole texts. Part
-of the sample is kept aside to calibrate: a temperature, and the lowest score at which
-the share of errors among accepted texts stays within MAX_ERROR.
-
-Because the layers are linear, prediction needs only one number per n-gram and language;
+of the sample is kept aside to calibrate a temperature and two bars:
+
+* A softmax compares languages only, so it is sure of gibberish too. A text's familiarity
+  is the mean log-likelihood ratio of its n-grams, their shares in the predicted language
+  against equal shares. Its bar lies halfway between what kept-aside rows that were
+  predicted right reach (LOW quantile) and what they reach in the languages that they are
+  not in (HIGH quantile). The score is the softmax's chance times the chance of being
+  known, which is one half at the bar.
+* The threshold is the lowest score at which the share of errors among accepted texts
+  stays within MAX_ERROR, never below LEAST_SCORE: no text under the bar is accepted.
+
+Because the layers are linear, prediction needs two numbers per n-gram and language;
 it runs over whole texts in blocks of code points, so a very long text costs no memory.
 
 Cases: a null text or one without a letter is `und`, score 0 and rejected; ties between
-languages go to the alphabetically first; without labelled rows everything is `und`;
+languages go to the alphabetically first; without labelled rows everything is `und`; if
+no kept-aside row is predicted right, everything is rejected;
 rows with a null doc_id are learned from like others; repeated rows are predicted alike;
 an empty table gives an empty result; other columns are kept, own names replaced.
 """
@@ -32,12 +41,15 @@ from paygrain.llm.byte_units import once
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
 DIMENSIONS = 16
-SAMPLE_ROWS = 2000
-EPOCHS = 5
+SAMPLE_ROWS = 4000
+EPOCHS = 6
 # A small sample is gone through more often, up to about this many steps.
 LEAST_STEPS = 4000
 RATE = 0.2
-MAX_ERROR = 0.05
+MAX_ERROR = 0.02
+LOW, HIGH, LEAST_SCORE = 0.01, 0.95, 0.5
+# An n-gram's shares count a text as this many n-grams at most.
+MOST_GRAMS = 4000
 BLOCK_POINTS = 1 << 17
 UNKNOWN = "und"
 ADDED = ("lang_pred", "score", "accepted")
@@ -124,14 +136,23 @@ def bucket_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """weights: per bucket and language; threshold: calibrated score to accept from."""
+    """weights, likely: per bucket and language; threshold: calibrated score to accept from."""
 
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    likely: np.ndarray
     temperature: float
+    bar: float
+    slope: float
     threshold: float
 
+    def chances(self, means: np.ndarray, familiar: np.ndarray) -> np.ndarray:
+        """Per language: its chance, times the chance that the text is in a known one."""
+        chances = _softmax((means + self.bias) / self.temperature)
+        best = familiar[np.arange(len(familiar)), chances.argmax(axis=1)]
+        return chances / (1 + np.exp(np.clip(self.slope * (self.bar - best), -60, 60)))[:, None]
+
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
     e = np.exp(scores - scores.max(axis=-1, keepdims=True))
@@ -165,29 +186,46 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 0) -> Model:
             # Spread over its buckets so that the mean itself makes the whole step.
             table[buckets] -= rate * np.outer(shares / (shares @ shares), back)
     weights = table @ layer
-    scores = np.array([s @ weights[b] + bias for _, b, s in held]).reshape(len(held), len(languages))
+    likely = _likely(used, len(languages))
+    means = np.array([s @ weights[b] for _, b, s in held]).reshape(len(held), len(languages))
+    familiar = np.array([s @ likely[b] for _, b, s in held]).reshape(len(held), len(languages))
     truth = np.array([k for k, _, _ in held], int)
-    temperature, threshold = _calibrate(scores, truth)
-    return Model(languages, weights.astype(np.float32), bias, temperature, threshold)
+    model = Model(languages, weights.astype(np.float32), bias, likely.astype(np.float32), 1.0, 0.0, 1.0, 1.0)
+    _calibrate(model, means, familiar, truth)
+    return model
+
 
+def _likely(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: int) -> np.ndarray:
+    """Log ratio of each bucket's share in a language and an equal share."""
+    counts = np.full((BUCKETS, languages), 0.5)
+    for k, buckets, shares in rows:
+        # The rarest n-gram of a text occurs once or more often.
+        counts[buckets, k] += shares * min(1 / shares.min(), MOST_GRAMS)
+    return np.log(counts / counts.sum(axis=0) * BUCKETS)
 
-def _calibrate(scores: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """The temperature of least log loss, and the lowest score that keeps to MAX_ERROR."""
-    if not len(truth):
-        return 1.0, 0.0
+
+def _calibrate(model: Model, means: np.ndarray, familiar: np.ndarray, truth: np.ndarray) -> None:
+    """Set temperature, bar, slope and threshold from kept-aside rows."""
+    rows, scores = np.arange(len(truth)), means + model.bias
+    right = scores.argmax(axis=1) == truth if len(truth) else np.zeros(0, bool)
+    if not right.any():
+        return
     choices = np.geomspace(0.05, 20, 60)
-    losses = [
-        -np.log(_softmax(scores / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in choices
-    ]
-    temperature = float(choices[int(np.argmin(losses))])
-    chances = _softmax(scores / temperature)
-    best, wrong = chances.max(axis=1), chances.argmax(axis=1) != truth
+    losses = [-np.log(_softmax(scores / t)[rows, truth] + 1e-12).mean() for t in choices]
+    model.temperature = float(choices[int(np.argmin(losses))])
+    low = np.quantile(familiar[rows, truth][right], LOW)
+    other = np.arange(familiar.shape[1]) != truth[:, None]
+    # N-grams of equal shares are no language: what is expected at the very least.
+    high = max(0.0, np.quantile(familiar[other], HIGH)) if other.any() else 0.0
+    model.bar = float(min(low, (low + high) / 2))
+    model.slope = float(3 / max(low - model.bar, 0.1))
+    chances = model.chances(means, familiar)
+    best, wrong = chances.max(axis=1), ~right
     order = np.argsort(-best, kind="stable")
     errors = np.cumsum(wrong[order]) / np.arange(1, len(order) + 1)
     fine = np.flatnonzero(errors <= MAX_ERROR)
-    if len(fine) and fine[-1] == len(order) - 1:
-        return temperature, 0.0
-    return temperature, float(best[order[fine[-1]]]) if len(fine) else 1.0
+    lowest = 1.0 if not len(fine) else 0.0 if fine[-1] == len(order) - 1 else best[order[fine[-1]]]
+    model.threshold = max(LEAST_SCORE, float(lowest))
 
 
 def training_rows(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple]:
@@ -245,7 +283,7 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> tuple[list[st
     names, scores, accepted = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
     if model is None:
         return names, scores, accepted
-    sums = np.zeros((n, len(model.languages)))
+    sums = np.zeros((n, 2 * len(model.languages)))
     grams = np.zeros(n, np.int64)
     short = [i for i, t in enumerate(texts) if t and len(t) <= BLOCK_POINTS]
     at = 0
@@ -264,8 +302,8 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> tuple[list[st
                 _add(model, positions, buckets, np.zeros(1, np.int64), np.array([i]), sums, grams)
     known = np.flatnonzero(grams)
     if len(known):
-        means = sums[known] / grams[known, None] + model.bias
-        chances = _softmax(means / model.temperature)
+        means, familiar = np.split(sums[known] / grams[known, None], 2, axis=1)
+        chances = model.chances(means, familiar)
         for i, k in zip(known, chances.argmax(axis=1), strict=True):
             names[i] = model.languages[k]
         scores[known] = chances.max(axis=1)
@@ -280,7 +318,8 @@ def _add(model, positions, buckets, starts, rows, sums, grams) -> None:
     # An n-gram may begin at the mark before its text, which is the text's start.
     first = np.searchsorted(positions, starts)
     full = np.flatnonzero(np.diff(np.append(first, len(positions))) > 0)
-    sums[rows[full]] += np.add.reduceat(model.weights[buckets], first[full], axis=0)
+    for part, table in zip(np.split(sums, 2, axis=1), (model.weights, model.likely), strict=True):
+        part[rows[full]] += np.add.reduceat(table[buckets], first[full], axis=0)
     grams[rows[full]] += np.diff(np.append(first, len(positions)))[full]
 
 

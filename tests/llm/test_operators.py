@@ -109,6 +109,30 @@ def test_language_of_held_out_rows(spark, sf):
     assert rows.where("score < 0 or score > 1 or isnan(score)").count() == 0
 
 
+def test_language_rejects_noise_and_unlearned_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    rows = docs.where(language_id.held_out(F.col("doc_id"))).select("text", "lang").collect()
+    clean = [r.text for r in rows]
+    assert learned.threshold >= language_id.LEAST_SCORE
+    assert language_id.predict_texts(learned, clean)[2].mean() >= 0.98
+    rng = random.Random(4)
+    noise = [
+        " ".join("".join(rng.choices(letters, k=rng.randrange(2, 10))) for _ in range(80))
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмн", "eeetttaaaoooinnsh")
+        for _ in range(10)
+    ]
+    noise += ["".join(rng.sample(t, len(t))) for t in clean if len(t) > 200]
+    _, scores, accepted = language_id.predict_texts(learned, noise)
+    assert not accepted.any() and scores.max() < learned.threshold
+    for lang in ("de", "es"):
+        known = docs.where(~language_id.held_out(F.col("doc_id")) & (F.col("lang") != lang))
+        accepted = language_id.predict_texts(language_id.train(known), clean)[2]
+        unlearned = np.array([r.lang == lang for r in rows])
+        assert unlearned.sum() > 3 and not accepted[unlearned].any()
+        assert accepted[~unlearned].mean() >= 0.97
+
+
 def test_language_of_awkward_rows(awkward, empty):
     model = language_id.train(awkward)
     rows = {r.doc_id: r for r in language_id.identified(awkward, model).collect()}
