@@ -36,7 +36,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paygrain.llm.store import saved
@@ -55,7 +55,8 @@ BROADCAST_KEYS = 100_000
 _TOKEN_BITS = 48
 _LOW = np.uint64((1 << _TOKEN_BITS) - 1)
 PACKED = "bucket int, block int, info boolean, payload binary"
-FOUND = "doc_id long, n_shingles long, digest binary, tokens binary, counts binary"
+FOUND = "doc_id long, row binary, n_shingles long, digest binary, tokens binary, counts binary"
+ROW_BYTES = 16
 
 
 # --- shingles ---------------------------------------------------------------------
@@ -195,25 +196,28 @@ def repeated_shingles(docs: DataFrame, n: int, share: int) -> DataFrame:
     """One row per document; tokens (rare ones first) and counts where it may link.
 
     ``share`` is the threshold in percent. A document may link if it has at least as many
-    repeated shingles as a linked one must share.
+    repeated shingles as a linked one must share. A column ``row`` of ROW_BYTES bytes is
+    carried along if there is one, and null otherwise.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(min(1 << 16, max(8, ceil(size / PART_CHARS))))
+    keyed = "row" in docs.columns
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, sets, held = [], [], 0
+        doc_ids, row_keys, sets, held = [], [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 texts = [(t or "").encode() for t in rows.column(1).to_pylist()]
                 doc_ids += rows.column(0).to_pylist()
+                row_keys += rows.column(2).to_pylist() if keyed else [b""] * len(texts)
                 sets += shingle_sets(texts, n)
                 held += sum(map(len, sets[-len(texts) :]))
                 if held >= FLUSH_TOKENS:
-                    yield from _scattered(doc_ids, sets, parts)
-                    doc_ids, sets, held = [], [], 0
+                    yield from _scattered(doc_ids, row_keys, sets, parts)
+                    doc_ids, row_keys, sets, held = [], [], [], 0
         if doc_ids:
-            yield from _scattered(doc_ids, sets, parts)
+            yield from _scattered(doc_ids, row_keys, sets, parts)
 
     def count(rows: pa.Table) -> pa.Table:
         return _counted(rows, parts)
@@ -221,7 +225,8 @@ def repeated_shingles(docs: DataFrame, n: int, share: int) -> DataFrame:
     def gather(rows: pa.Table) -> pa.Table:
         return _gathered(rows, share)
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scatter, PACKED)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *(["row"] if keyed else [])]
+    packed = docs.select(*columns).mapInArrow(scatter, PACKED)
     returned = packed.groupBy("bucket").applyInArrow(count, "block int, info boolean, payload binary")
     return returned.groupBy("block").applyInArrow(gather, FOUND)
 
@@ -234,7 +239,7 @@ def _packed_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     )
 
 
-def _scattered(doc_ids, sets, parts) -> Iterator[pa.RecordBatch]:
+def _scattered(doc_ids, row_keys, sets, parts) -> Iterator[pa.RecordBatch]:
     """Packed rows per bucket of shingles, and per block its documents."""
     digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
     keys = np.array([_key(d, g) for d, g in zip(doc_ids, digests, strict=True)], np.uint64)
@@ -247,7 +252,8 @@ def _scattered(doc_ids, sets, parts) -> Iterator[pa.RecordBatch]:
         known = np.array([doc_ids[i] is not None for i in at], np.uint8)
         ids = np.array([doc_ids[i] or 0 for i in at], np.int64)
         shas = np.frombuffer(b"".join(digests[i] for i in at), np.uint8)
-        payload = _pack(keys[at], ids, known, sizes[at], shas)
+        carried = np.frombuffer(b"".join(row_keys[i] for i in at), np.uint8)
+        payload = _pack(keys[at], ids, known, sizes[at], shas, carried)
         rows.append((int(block), int(block), True, payload))
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
@@ -315,7 +321,7 @@ def _gathered(rows: pa.Table, share: int) -> pa.Table:
     for info, payload in zip(rows["info"], rows["payload"], strict=True):
         data = payload.as_py()
         if info.as_py():
-            infos.append(_unpack(data, "<u8", "<i8", "u1", "<i8", "u1"))
+            infos.append(_unpack(data, "<u8", "<i8", "u1", "<i8", "u1", "u1"))
             continue
         own, sizes, low, high, often, bucket = _unpack(data, "<u8", "<u4", "<u4", "<u2", "<u4", "<u4")
         keys.append(np.repeat(own, sizes))
@@ -330,18 +336,20 @@ def _gathered(rows: pa.Table, share: int) -> pa.Table:
         keys, tokens, counts = keys[fresh], tokens[fresh], counts[fresh]
     else:
         keys, tokens, counts = (np.zeros(0, np.uint64),) * 3
-    out = {name: [] for name in ("doc_id", "n_shingles", "digest", "tokens", "counts")}
-    for own, ids, known, sizes, shas in infos:
+    out = {name: [] for name in ("doc_id", "row", "n_shingles", "digest", "tokens", "counts")}
+    for own, ids, known, sizes, shas, carried in infos:
         first, last = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
         for i in range(len(own)):
             n = int(sizes[i])
             may = n > 0 and last[i] - first[i] >= least_shared(n, share)
             out["doc_id"].append(int(ids[i]) if known[i] else None)
+            row = carried[ROW_BYTES * i : ROW_BYTES * (i + 1)].tobytes()
+            out["row"].append(row or None)
             out["n_shingles"].append(n)
             out["digest"].append(shas[16 * i : 16 * i + 16].tobytes())
             out["tokens"].append(tokens[first[i] : last[i]].tobytes() if may else None)
             out["counts"].append(counts[first[i] : last[i]].astype("<u4").tobytes() if may else None)
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({name: pa.array(c, k) for (name, c), k in zip(out.items(), kinds, strict=True)})
 
 
@@ -610,6 +618,17 @@ def linked_documents(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     Documents link when ``100 * intersection >= share * union`` of their sets of n-word
     shingles; component_id is the smallest doc_id that links lead to.
     """
+    rows, several = _components_of(docs, n, share)
+    return rows.select("doc_id", "n_shingles", "digest").join(several, "digest", "left").select(
+        "doc_id", "n_shingles", F.coalesce("best.doc_id", "doc_id").alias("component_id")
+    )
+
+
+def _components_of(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with their digests, and (digest, best) of components of several rows.
+
+    ``best`` is the component's first row by (doc_id with null last, row).
+    """
     rows = saved(repeated_shingles(docs, n, share), "join-documents")
     classes = saved(
         rows.where("tokens is not null")
@@ -634,34 +653,48 @@ def linked_documents(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     named = clusters.join(labels.withColumnRenamed("node", "cluster"), "cluster", "left").select(
         F.col("cls").alias("digest"), label.alias("label")
     )
-    # Per class its smallest doc_id, then per component; unlinked classes stand alone.
+    # Per class its first row, then per component; unlinked classes stand alone.
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     sizes = rows.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.count("*").alias("size")
+        F.min(first).alias("best"), F.count("*").alias("size")
     )
     placed = sizes.join(named, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     least = placed.groupBy("label").agg(
-        F.min("least").alias("component_id"), F.sum("size").alias("members")
+        F.min("best").alias("best"), F.sum("size").alias("members")
     )
     # Written, so that the join below may split a set that very many documents have.
     several = saved(
-        placed.join(least.where("members > 1"), "label").select("digest", "component_id"),
+        placed.drop("best").join(least.where("members > 1"), "label").select("digest", "best"),
         "join-components",
     )
-    return rows.select("doc_id", "n_shingles", "digest").join(several, "digest", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return rows, several
+
+
+def _row_key() -> Column:
+    """Bytes that are the same for rows of equal doc_id and text only."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(doc_id, F.lit(":"), F.coalesce("text", F.lit("")))))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, share: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
-    """The documents that stay when one of each component does: the smallest doc_id.
+    """The documents that stay when exactly one row of each component does.
 
-    Rows that share the smallest doc_id of their component all stay.
+    The smallest doc_id stays (null last), then the least hash of doc_id and text, then
+    any one of the rows that have both in common. Rows are told apart by that hash, which
+    needs no copy of the table: a row that links with nothing stays whatever its doc_id.
     """
-    rows = linked_documents(docs, n, share)
-    dropped = saved(
-        rows.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(),
-        "join-dropped",
+    rows, several = _components_of(docs.select("doc_id", "text", _row_key().alias("row")), n, share)
+    linked_rows = saved(
+        rows.select("row", "digest")
+        .join(several, "digest")
+        .select(F.col("row").alias("_key"), (F.col("row") == F.col("best.row")).alias("_first"))
+        .distinct(),
+        "join-rows",
     )
-    few = dropped.limit(most_broadcast + 1).count() <= most_broadcast
-    gone = F.broadcast(dropped) if few else dropped
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    few = linked_rows.limit(most_broadcast + 1).count() <= most_broadcast
+    named = F.broadcast(linked_rows) if few else linked_rows
+    keyed = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("_row"), _row_key().alias("_key"))
+    alone = keyed.join(named, "_key", "left_anti").select("_row.*")
+    # Rows of one key link with the same rows, so they are all first or none is.
+    first = keyed.join(named.where("_first"), "_key", "left_semi")
+    return alone.unionByName(first.groupBy("_key").agg(F.any_value("_row").alias("_row")).select("_row.*"))

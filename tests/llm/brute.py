@@ -119,6 +119,24 @@ def linked(docs, n, share):
     return [(d, len(s), least.get(find(i))) for i, (d, s) in enumerate(sets)]
 
 
+def without_near_copies(docs, n, share):
+    """The (doc_id, text) that stay: of each component the first by doc_id (null last) and hash."""
+    groups = {}
+    for (i, size, group), (d, t) in zip(linked([(i, t) for i, (_, t) in enumerate(docs)], n, share), docs, strict=True):
+        key = hashlib.md5(f"{'' if d is None else d}:{t or ''}".encode()).digest()
+        groups.setdefault(group if size else (i,), []).append(((d is None, d or 0, key), d, t))
+    return [min(rows, key=lambda row: row[0])[1:] for rows in groups.values()]
+
+
+def without_copies(docs):
+    """The (doc_id, text) that stay of texts equal but for white space."""
+    groups = {}
+    for d, t in docs:
+        key = re.sub("[\x20\x09-\x0D]", "", t or "")
+        groups.setdefault(key, []).append(((-len(t or ""), d is None, d or 0, t or ""), d, t))
+    return [min(rows, key=lambda row: row[0])[1:] for rows in groups.values()]
+
+
 def lengths(texts):
     encoder = byte_encoder()
     return [len(encoder.encode_ordinary(t or "")) for t in texts]

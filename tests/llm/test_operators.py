@@ -311,6 +311,51 @@ def test_join_of_awkward_rows(awkward, empty):
     assert jaccard_join.linked_documents(empty).count() == 0
 
 
+def repeated_ids():
+    """Near copies under ids that are repeated, null, or held by other texts too."""
+    rows = near_copies(5, groups=4, size=8)
+    alone = [(i, f"t{i} text of row {i} that links r{i} with no x{i} other text at all z{i}") for i in (0, 1, 2)]
+    rows = [(d if d % 3 else None if d % 2 else d - d % 4, t) for d, t in rows] + alone
+    # A group that has null ids only, one of equal ids, and repeated rows.
+    rows += [(None, f"w{k} " + "one two three four five six seven eight nine ten " + "and so on " * k) for k in (1, 1, 2)]
+    rows += [(None, " ".join(f"n{k}" for k in range(40)) + f" end{i}") for i in range(4)]
+    rows += [(9, " ".join(f"m{k}" for k in range(40)) + f" end{i}") for i in range(4)]
+    return rows + [rows[0], rows[0], alone[0], (None, None), (None, None), (3, " ")]
+
+
+def test_one_row_of_each_component_stays(spark, awkward):
+    rows = repeated_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for docs, given in ((df, rows), (awkward, texts())):
+        for most in (1_000_000, 0):
+            kept = jaccard_join.one_of_each(docs, 5, 80, most)
+            assert got(kept, "doc_id", "text") == Counter(brute.without_near_copies(given, 5, 80))
+    copies = got(exact_dedup.deduplicated(df), "doc_id", "text")
+    # Which of a null and an empty text stays is open.
+    assert Counter((d, t or "") for d, t in copies.elements()) == Counter((d, t or "") for d, t in brute.without_copies(rows))
+
+
+def test_pipeline_keeps_what_its_stages_keep(spark, sf, tmp_path):
+    columns = ["doc_id", "text", "lang", "source"]
+    given = spark.read.parquet(f"{sf}/documents.parquet").select(*columns).collect()
+    base = [r for r in given if len(r.text) > 1000][:6]
+    more = [(i, f"{r.text} x", "en", r.source) for r in base for i in (None, base[0].doc_id)]
+    rows = [tuple(r) for r in given] + more
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    accepted = language_id.predict_texts(language_id.train(docs), [r[1] for r in rows])[2]
+    kept = [row[:2] for row, ok in zip(rows, accepted, strict=True) if ok]
+    kept = Counter(brute.without_near_copies(brute.without_copies(kept), corpus_pipeline.WORDS, corpus_pipeline.SIMILARITY))
+    assert 0 < sum(kept.values()) < accepted.sum() < len(rows) + 1
+    source = {row[:2]: row[3] for row in rows}
+    left = spark.createDataFrame([(*r, source[r]) for r in kept.elements()], "doc_id long, text string, source string")
+    mixed = mixing.replicated(left).select("doc_id", "text").collect()
+    assert got(corpus_pipeline.run(spark, str(tmp_path)), "doc_id", "decoded_sha256") == Counter(
+        (r.doc_id, brute.sha(r.text.encode())) for r in mixed
+    )
+
+
 def test_pipeline_stages_take_effect(spark, sf, awkward, empty):
     for docs in (awkward, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:
