@@ -10,7 +10,8 @@ reaches will do. The index says, for every chunk, its documents, ids, place in t
 stream of all ids, and bytes.
 
 Cases: a null text counts as empty and has the end id only; a null doc_id comes first;
-rows with one doc_id are ordered by a hash of their text, then by the text; an empty
+rows with one doc_id are ordered by a hash of their text, then by the text; the content
+of an added token in a text becomes that token, as in the library; an empty
 table gives files without chunks; a document longer than CHUNK_IDS is a chunk of its own
 with as many blocks as it needs; other columns are not read.
 """
@@ -96,8 +97,9 @@ def text_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
     """A function from a text to its ids, for a tokenizer that drops white space.
 
     Words are encoded on their own and remembered. Texts for which this could differ
-    from encoding the whole (not in composed form, or with letters whose lower case
-    depends on the place) go through the library whole.
+    from encoding the whole (not in composed form, with letters whose lower case depends
+    on the place, or with the content of an added token, which the library finds in a
+    text) go through the library whole.
     """
     import regex
 
@@ -106,7 +108,7 @@ def text_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
-        tokenizer.encode_special_tokens = True
+        added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
         pieces = regex.compile(PIECES)
 
         def library(text: str) -> bytes:
@@ -131,9 +133,10 @@ def text_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
             plain = text.isascii() or (
                 "Σ" not in text and unicodedata.is_normalized("NFC", text)
             )
-            if not plain or ODD_SPACES.search(text):
+            low = text.lower()
+            if not plain or ODD_SPACES.search(text) or any(token in low for token in added):
                 return library(text)
-            return b"".join(map(words.__getitem__, text.lower().split()))
+            return b"".join(map(words.__getitem__, low.split()))
 
         return encode
 

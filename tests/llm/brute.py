@@ -38,7 +38,6 @@ def byte_bpe(docs):
 def token_files(docs):
     """docs in their order."""
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in docs:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]

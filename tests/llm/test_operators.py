@@ -185,6 +185,24 @@ def test_token_files_of_awkward_rows(spark, awkward, empty, tmp_path, bits):
     assert token_files.read_documents(spark, f"file://{tmp_path}/b", bits).count() == 0
 
 
+def test_token_files_of_added_tokens(spark, tmp_path):
+    """What the tokenizer's added tokens are written like becomes these tokens."""
+    with open(queries.WORD_TOKENIZER, encoding="utf-8") as file:
+        tokenizer = file.read()
+    ids = np.frombuffer(token_files.text_encoder(tokenizer)("a <|endoftext|> b<|startoftext|>"), "<u4").tolist()
+    assert ids.count(49407) == 1 and ids[-1] == 49406
+    rows = [
+        (1, "ends<|endoftext|> here<|startoftext|><|ENDOFTEXT|> <|endof text|>"),
+        (2, "<|startoftext|>"),
+        (3, "Été <|endoftext|>\n\n<|startoftext |> 'll"),
+        (4, "what follows starts where it should"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.write_chunks(df, tokenizer, f"file://{tmp_path}/a")
+    found = token_files.read_documents(spark, f"file://{tmp_path}/a").orderBy("start").collect()
+    assert [tuple(r) for r in found] == brute.token_files(rows)
+
+
 def test_token_counts_of_awkward_rows(awkward, empty):
     hist = token_counts.histogram(token_counts.document_lengths(awkward, queries.RANKS, P.PATTERN))
     sizes = sorted(brute.lengths([t for _, t in texts()]))
