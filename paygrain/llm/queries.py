@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from paygrain.llm import (
     byte_bpe,
     chat_tree,
+    decontaminate,
     exact_dedup,
     jaccard_join,
     language_id,
+    merkle,
     mixing,
     secret_scan,
+    spelling,
     token_counts,
     token_files,
     topk_search,
@@ -103,6 +106,29 @@ def duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf))
 
 
+def contaminated(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = decontaminate.automata(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    rows = decontaminate.matched(documents(spark, sf).select("doc_id", "text"), blocks)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["stop"] - span["start"])
+    return rows.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    tampered = merkle.without_line_breaks(F.col("text"), F.col("doc_id"))
+    return merkle.manifest(documents(spark, sf), tampered).drop("path")
+
+
+def spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,6 +146,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": mixed,
     "op9_byte_bpe": byte_pairs,
     "op10_exact_dedup": duplicates,
+    "op11_decontamination": contaminated,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_spelling_variants": spelling_variants,
     "pipeline": pipeline,
 }
 
