@@ -2,17 +2,20 @@
 
 Every text is searched for labelled assignments, access keys and long hex strings (base
 kinds) and for other long mixed strings. The hash of every candidate value is counted
-over the whole corpus by distinct repositories and distinct owners. A value that several
-owners hold is a widely copied example; one that a single owner holds, and that looks
-live (mixed characters, many different ones), is a credential of that owner. The second
-and third are added as spans of kind `example` and `live` at the value's place.
+over the whole corpus by distinct repositories and distinct owners, where equal texts are
+one repository of one owner (the first): a copy says nothing new. A value that several
+owners hold, or that one holds in many repositories, is a widely copied example; any
+other is specific to its owner, and if it looks live (mixed characters, many different
+ones) it is a credential. Both are added as spans of kind `example` and `live` at the
+value's place.
 
 All of it is built-in expressions. Positions are code points: the pieces that a text
-falls into between matches, and the matches, are measured and summed up.
+falls into between matches, and the matches, are measured and summed up in blocks, so a
+text with many matches costs little more than its length.
 
 Cases: a null text counts as empty; a null owner or repository counts as one of its own;
-repeated rows are counted once per owner and repository and each keep their spans; an
-empty table gives an empty result; other columns are not read.
+repeated rows are counted once and each keep their spans; texts may be long and hold any
+number of matches; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paygrain.functions.values import bind
 from paygrain.llm.store import saved
 
 # The base kinds in their order, and what counts as a match of each. For
@@ -35,42 +39,81 @@ KINDS = ("assign", "access", "hex", "example", "live")
 # Other strings that may be secrets: long, of these characters, with digits and letters.
 MIXED = r"[A-Za-z0-9+/_-]{20,}"
 
+# A value held by so many owners, or in so many repositories in all, is an example.
 EXAMPLE_OWNERS = 2
+EXAMPLE_REPOSITORIES = 8
 LIVE_LENGTH = 16
 LIVE_CHARACTERS = 8
+# Matches whose places are summed up at a time.
+BLOCK_MATCHES = 512
+
+
+def _sums_before(lengths: Column) -> Column:
+    """For every element the sum of those before it; twice over, in blocks and of blocks."""
+
+    def running(values: Column, start: Column) -> Column:
+        none = F.expr("cast(array() as array<int>)")
+        state = F.struct(start.alias("at"), none.alias("all"))
+        return F.aggregate(
+            values,
+            state,
+            lambda s, v: F.struct(
+                (s["at"] + v).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")
+            ),
+            lambda s: s["all"],
+        )
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda a, v: a + v)
+
+    starts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK_MATCHES).cast("int"))
+    blocks = F.transform(
+        starts, lambda i: F.slice(lengths, i * BLOCK_MATCHES + 1, F.lit(BLOCK_MATCHES))
+    )
+    return bind(
+        blocks,
+        lambda parts: F.flatten(
+            F.zip_with(parts, running(F.transform(parts, total), F.lit(0)), running)
+        ),
+    )
 
 
 def _matches(text: Column, pattern: str, kind: int, value_group: int, least: int) -> Column:
     """array<struct<start, kind, end, value_start, value>> of a pattern's matches."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
-    between = F.split(text, pattern, -1)
+    # The pieces between the matches, each as long as its text up to the next match.
+    parts = F.struct(
+        F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
+        F.transform(whole, F.length).alias("sizes"),
+        values.alias("values"),
+    )
 
-    def add(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(whole, i))
-        value = F.get(values, i)
-        found = F.struct(
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(found["gaps"], found["sizes"], lambda gap, size: gap + F.coalesce(size, F.lit(0)))
+        return bind(_sums_before(steps), lambda before: F.transform(found["values"], lambda value, i: span(found, before, value, i)))
+
+    def span(found: Column, before: Column, value: Column, i: Column) -> Column:
+        start = F.get(before, i) + F.get(found["gaps"], i)
+        end = start + F.get(found["sizes"], i)
+        return F.struct(
             start.alias("start"),
             F.lit(kind).alias("kind"),
             end.alias("end"),
             (end - F.length(value)).alias("value_start"),
             value.alias("value"),
         )
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(found)).alias("found"))
 
     empty = F.expr(
         "cast(array() as array<struct<start:int,kind:int,end:int,value_start:int,value:string>>)"
     )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    indexes = F.sequence(F.lit(0), F.size(whole) - 1)
-    folded = F.aggregate(indexes, start, add, lambda s: s["found"])
-    kept = F.filter(folded, lambda m: F.length(m["value"]) >= least) if least else folded
+    spans = bind(parts, placed)
+    kept = F.filter(spans, lambda m: F.length(m["value"]) >= least) if least else spans
     return F.when(text.rlike(pattern), kept).otherwise(empty)
 
 
 def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, owner, repository, row, base spans, candidate values with places."""
+    """Per row: doc_id, owner, repository, content, row, base spans, candidate values."""
     text = F.coalesce("text", F.lit(""))
     mixed = F.filter(
         _matches(text, MIXED, 3, 0, 0),
@@ -80,6 +123,7 @@ def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
         "doc_id",
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
+        F.md5(text).alias("content"),
         F.monotonically_increasing_id().alias("row"),
         _matches(text, ASSIGN, 0, 2, ASSIGN_VALUE).alias("assign"),
         _matches(text, ACCESS, 1, 0, 0).alias("access"),
@@ -97,9 +141,9 @@ def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
         ),
     )
     return rows.select(
-        "doc_id", "owner", "repository", "row",
+        "doc_id", "owner", "repository", "content", "row",
         F.transform(spans, lambda m: F.struct(m["start"], m["kind"], m["end"])).alias("spans"),
-        F.array_distinct(candidates).alias("candidates"),
+        candidates.alias("candidates"),
     )
 
 
@@ -115,23 +159,22 @@ def looks_live(value: Column) -> Column:
 
 
 def ownership(occurrences: DataFrame) -> DataFrame:
-    """(hash, owners, repositories, occurrences) over the corpus.
+    """(hash, owners, repositories) over the corpus.
 
-    Occurrences collapse per (hash, owner, repository), then per (hash, owner), before
-    they meet: a value that fills a third of the corpus reaches a task as one row per
-    owner and earlier task.
+    Occurrences (hash, owner, repository, content) collapse per text, which counts for
+    the first of its owners, then per repository, then per owner, before they meet: a
+    value that fills a third of the corpus reaches a task as one row per owner and
+    earlier task.
     """
     return (
-        occurrences.groupBy("hash", "owner", "repository")
-        .agg(F.count("*").alias("n"))
+        occurrences.groupBy("hash", "content")
+        .agg(F.min(F.struct("owner", "repository")).alias("held"))
+        .groupBy("hash", F.col("held.owner").alias("owner"), F.col("held.repository").alias("repository"))
+        .agg(F.lit(1))
         .groupBy("hash", "owner")
-        .agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+        .agg(F.count("*").alias("repositories"))
         .groupBy("hash")
-        .agg(
-            F.count("*").alias("owners"),
-            F.sum("repositories").alias("repositories"),
-            F.sum("n").alias("occurrences"),
-        )
+        .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
 
 
@@ -139,10 +182,11 @@ def secret_spans(docs: DataFrame, owner: str = "source", repository: str = "doc_
     """Per row: doc_id, base spans and all spans as arrays of (start, kind, end)."""
     rows = saved(scanned(docs, owner, repository), "secret-scan")
     found = rows.where(F.size("candidates") > 0).select(
-        "row", "owner", "repository", F.inline("candidates")
+        "row", "owner", "repository", "content", F.inline("candidates")
     )
     owned = saved(ownership(found), "secret-owners")
-    verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, 3).when(F.col("live"), 4)
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    verdict = F.when(copied, 3).when(F.col("live"), 4)
     # A value that fills much of the corpus is a skewed key here; both sides come from
     # written tables, so the planner may split it.
     added = (
