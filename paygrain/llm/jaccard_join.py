@@ -8,11 +8,11 @@ is verified only if it shares as many prefix shingles as the lower of the two l
 
 How it runs:
 
-1. Shingles are hashed where the texts are, packed, and dealt to buckets by hash; rows are
-   packed by bucket alone, so their number grows with the text and not with its square. A
-   bucket counts in how many documents each shingle occurs and returns the repeated ones
-   only, packed by blocks of documents (a document's key tells its block). A document without enough repeated shingles links with nothing
-   and drops out here; unique shingles never travel again.
+1. Shingles are hashed where the texts are, packed by blocks of documents, and dealt to
+   buckets by hash. A bucket counts in how many documents each shingle occurs and returns
+   the repeated ones only, each block's to the block. Shingles travel sorted, as differences,
+   with the number of their document in the block. A document without enough repeated
+   shingles links with nothing and drops out here; unique shingles never travel again.
 2. Equal sets become one class. Classes that share a prefix shingle are dealt to blocks of
    limited size by their smallest shingle hash, so that copies meet. Within a block, stars
    around members are verified until every link is used: its clusters are exact.
@@ -36,6 +36,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,11 @@ from paygrain.llm.store import saved
 
 # Characters of text per bucket and per block: bounds the memory of a task.
 PART_CHARS = 8_000_000
+# Shingles and documents of a block of documents; a document's number has two bytes.
 FLUSH_TOKENS = 1 << 20
+FLUSH_DOCS = 1 << 15
+# A shingle that so many documents of a block have is counted within the block first.
+COMMON = 16
 HASH_BYTES = 1 << 19
 LONGEST_PREFIX = 16
 VERIFY_COST = 20
@@ -52,9 +57,7 @@ BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 1 << 21
 BROADCAST_KEYS = 100_000
 
-_TOKEN_BITS = 48
-_LOW = np.uint64((1 << _TOKEN_BITS) - 1)
-PACKED = "bucket int, block int, info boolean, payload binary"
+PACKED = "bucket long, block long, info boolean, payload binary"
 FOUND = "doc_id long, row binary, n_shingles long, digest binary, tokens binary, counts binary"
 ROW_BYTES = 16
 
@@ -176,95 +179,120 @@ def _unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
     return arrays
 
 
-def _narrow(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lower 48 bits in six bytes."""
-    return tokens.astype("<u4"), (tokens >> np.uint64(32)).astype("<u2")
+def _steps(ascending: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ascending numbers as differences, in planes of their lower and higher bytes.
+
+    Higher planes of small differences are zeros, which the shuffle's compression takes out.
+    """
+    steps = np.diff(ascending, prepend=ascending.dtype.type(0)).astype(np.uint64)
+    return steps.astype("<u4"), (steps >> np.uint64(32)).astype("<u2"), (steps >> np.uint64(48)).astype("<u2")
+
+
+def _climbed(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+    steps = low.astype(np.uint64) | (middle.astype(np.uint64) << np.uint64(32)) | (high.astype(np.uint64) << np.uint64(48))
+    return np.cumsum(steps, dtype=np.uint64)
 
 
-def _wide(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+def _halves(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return numbers.astype("<u2"), (numbers >> 16).astype("<u2")
 
 
-def _key(doc_id: int | None, digest: bytes) -> int:
-    return int.from_bytes(blake2b(digest + repr(doc_id).encode(), digest_size=8).digest(), "little")
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) | (high.astype(np.int64) << 16)
 
 
 # --- step 1: repeated shingles ----------------------------------------------------
 
 
-def repeated_shingles(docs: DataFrame, n: int, share: int) -> DataFrame:
+def repeated_shingles(docs: DataFrame, n: int, share: int, row: str | None = None) -> DataFrame:
     """One row per document; tokens (rare ones first) and counts where it may link.
 
     ``share`` is the threshold in percent. A document may link if it has at least as many
-    repeated shingles as a linked one must share. A column ``row`` of ROW_BYTES bytes is
-    carried along if there is one, and null otherwise.
+    repeated shingles as a linked one must share. ``row`` names a column of ROW_BYTES
+    bytes that is carried along as ``row``; without one that is null.
+
+    A task that is repeated must get its rows in the same order, as it does from files.
+    If it does not, the documents of a block are not found and the job fails.
     """
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(min(1 << 16, max(8, ceil(size / PART_CHARS))))
-    keyed = "row" in docs.columns
+    parts = int(max(8, ceil(size / PART_CHARS)))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, flushes = TaskContext.get().partitionId(), 0
         doc_ids, row_keys, sets, held = [], [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 texts = [(t or "").encode() for t in rows.column(1).to_pylist()]
                 doc_ids += rows.column(0).to_pylist()
-                row_keys += rows.column(2).to_pylist() if keyed else [b""] * len(texts)
+                row_keys += rows.column(2).to_pylist() if row else [b""] * len(texts)
                 sets += shingle_sets(texts, n)
                 held += sum(map(len, sets[-len(texts) :]))
-                if held >= FLUSH_TOKENS:
-                    yield from _scattered(doc_ids, row_keys, sets, parts)
+                if held >= FLUSH_TOKENS or len(sets) >= FLUSH_DOCS:
+                    yield from _scattered((task, flushes), doc_ids, row_keys, sets, parts)
                     doc_ids, row_keys, sets, held = [], [], [], 0
+                    flushes += 1
         if doc_ids:
-            yield from _scattered(doc_ids, row_keys, sets, parts)
-
-    def count(rows: pa.Table) -> pa.Table:
-        return _counted(rows, parts)
+            yield from _scattered((task, flushes), doc_ids, row_keys, sets, parts)
 
     def gather(rows: pa.Table) -> pa.Table:
         return _gathered(rows, share)
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *(["row"] if keyed else [])]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(row).alias("row")] if row else [])]
     packed = docs.select(*columns).mapInArrow(scatter, PACKED)
-    returned = packed.groupBy("bucket").applyInArrow(count, "block int, info boolean, payload binary")
+    returned = packed.groupBy("bucket").applyInArrow(_counted, "block long, info boolean, payload binary")
     return returned.groupBy("block").applyInArrow(gather, FOUND)
 
 
 def _packed_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "block": pa.int32(), "info": pa.bool_(), "payload": pa.binary()}
+    kinds = {"bucket": pa.int64(), "block": pa.int64(), "info": pa.bool_(), "payload": pa.binary()}
     columns = list(zip(*rows, strict=True)) or [[] for _ in names]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, kinds[n]) for c, n in zip(columns, names, strict=True)], names=names
     )
 
 
-def _scattered(doc_ids, row_keys, sets, parts) -> Iterator[pa.RecordBatch]:
-    """Packed rows per bucket of shingles, and per block its documents."""
+def _scattered(origin, doc_ids, row_keys, sets, parts) -> Iterator[pa.RecordBatch]:
+    """A block of documents: one row with what it holds, and a packed row per bucket.
+
+    A shingle that many documents of the block have goes to its bucket once, with their
+    number; which documents they are stays with the block. So a bucket gets a bounded
+    number of entries per block, however common a shingle is.
+    """
     digests = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-    keys = np.array([_key(d, g) for d, g in zip(doc_ids, digests, strict=True)], np.uint64)
-    blocks = (keys % np.uint64(parts)).astype(np.int64)
+    name = blake2b(repr((origin, doc_ids)).encode() + b"".join(digests), digest_size=8).digest()
+    block = int.from_bytes(name, "little") >> 1
     sizes = np.array([len(s) for s in sets], np.int64)
-    names = ["bucket", "block", "info", "payload"]
-    rows = []
-    for block in np.unique(blocks):
-        at = np.flatnonzero(blocks == block)
-        known = np.array([doc_ids[i] is not None for i in at], np.uint8)
-        ids = np.array([doc_ids[i] or 0 for i in at], np.int64)
-        shas = np.frombuffer(b"".join(digests[i] for i in at), np.uint8)
-        carried = np.frombuffer(b"".join(row_keys[i] for i in at), np.uint8)
-        payload = _pack(keys[at], ids, known, sizes[at], shas, carried)
-        rows.append((int(block), int(block), True, payload))
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-    bucket = (((tokens >> np.uint64(48)) * np.uint64(parts)) >> np.uint64(16)).astype(np.uint16)
-    order = np.argsort(bucket, kind="stable")
-    buckets, firsts = np.unique(bucket[order], return_index=True)
-    for b, first, last in zip(buckets, firsts, np.append(firsts[1:], len(order)), strict=True):
-        chosen = order[first:last]
-        own, runs = np.unique(owner[chosen], return_counts=True)
-        payload = _pack(keys[own], runs.astype("<u4"), *_narrow(tokens[chosen] & _LOW))
-        rows.append((int(b), None, False, payload))
+    owner = np.repeat(np.arange(len(sets), dtype="<u2"), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(first, len(tokens)))
+    common = runs >= COMMON
+    in_common = np.repeat(common, runs)
+    hot, hot_runs = tokens[first[common]], runs[common]
+
+    known = np.array([d is not None for d in doc_ids], np.uint8)
+    ids = np.array([d or 0 for d in doc_ids], np.int64)
+    shas, carried = (np.frombuffer(b"".join(values), np.uint8) for values in (digests, row_keys))
+    info = _pack(ids, known, sizes, shas, carried, hot_runs.astype("<u4"), owner[in_common])
+    names = ["bucket", "block", "info", "payload"]
+    rows = [(block % parts, block, True, info)]
+
+    def bucket_of(tokens: np.ndarray) -> np.ndarray:
+        return ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+    single, single_owner = tokens[~in_common], owner[~in_common]
+    single_bucket, hot_bucket = bucket_of(single), bucket_of(hot)
+    for b in np.unique(np.concatenate([single_bucket, hot_bucket])):
+        one = slice(*np.searchsorted(single_bucket, [b, b + np.uint64(1)]))
+        many = slice(*np.searchsorted(hot_bucket, [b, b + np.uint64(1)]))
+        payload = _pack(
+            *_steps(single[one]), single_owner[one],
+            hot[many], hot_runs[many].astype("<u4"), np.arange(many.start, many.stop, dtype="<u4"),
+        )
+        rows.append((int(b), block, False, payload))
         if len(rows) >= 256:
             yield _packed_rows(rows, names)
             rows = []
@@ -272,41 +300,49 @@ def _scattered(doc_ids, row_keys, sets, parts) -> Iterator[pa.RecordBatch]:
         yield _packed_rows(rows, names)
 
 
-def _counted(rows: pa.Table, parts: int) -> pa.Table:
-    """Of one bucket: the shingles that occur in several documents, by block."""
+def _counted(rows: pa.Table) -> pa.Table:
+    """Of one bucket: the shingles that occur in several documents, by block.
+
+    A shingle gets its number among the bucket's repeated ones and its document count.
+    """
     names = ["block", "info", "payload"]
-    out, keys, tokens = [], [], []
-    bucket = rows["bucket"][0].as_py()
+    out, blocks, single, owner, hot, hot_runs, hot_at = [], [], [], [], [], [], []
     for block, info, payload in zip(rows["block"], rows["info"], rows["payload"], strict=True):
         data = payload.as_py()
         if info.as_py():
             out.append((block.as_py(), True, data))
             continue
-        own, runs, low, high = _unpack(data, "<u8", "<u4", "<u4", "<u2")
-        keys.append(np.repeat(own, runs))
-        tokens.append(_wide(low, high))
-    if tokens:
-        keys, tokens = np.concatenate(keys), np.concatenate(tokens)
-        order = np.argsort(tokens)
-        tokens = tokens[order]
-        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        runs = np.diff(np.append(first, len(tokens)))
-        counts = np.repeat(runs, runs)
-        often = counts > 1
-        tokens, counts, order = tokens[often], counts[often], order[often]
-        keys = keys[order]
-        blocks = (keys % np.uint64(parts)).astype(np.int32)
-        order = np.lexsort((keys, blocks))
-        tokens, counts, keys, blocks = tokens[order], counts[order], keys[order], blocks[order]
-        edges = np.searchsorted(blocks, np.arange(parts + 1))
-        for block in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[block], edges[block + 1])
-            own, sizes = np.unique(keys[part], return_counts=True)
+        low, middle, high, own, common, runs, at = _unpack(data, "<u4", "<u2", "<u2", "<u2", "<u8", "<u4", "<u4")
+        blocks.append(block.as_py())
+        single.append(_climbed(low, middle, high))
+        owner.append(own)
+        hot.append(common)
+        hot_runs.append(runs)
+        hot_at.append(at)
+    if blocks:
+        of_single, of_hot = (np.repeat(np.arange(len(blocks)), [len(x) for x in xs]) for xs in (single, hot))
+        single, owner, hot, hot_runs, hot_at = (np.concatenate(x) for x in (single, owner, hot, hot_runs, hot_at))
+        distinct, which = np.unique(np.concatenate([single, hot]), return_inverse=True)
+        weights = np.concatenate([np.ones(len(single), np.int64), hot_runs.astype(np.int64)])
+        counts = np.bincount(which, weights, len(distinct)).astype(np.int64)
+        number = np.cumsum(counts > 1) - 1
+        which_single, which_hot = which[: len(single)], which[len(single) :]
+        often = counts[which_single] > 1
+        which_single, owner, of_single = which_single[often], owner[often], of_single[often]
+        order = np.lexsort((which_single, of_single))
+        which_single, owner, of_single = which_single[order], owner[order], of_single[order]
+        edges, hot_edges = (np.searchsorted(of, np.arange(len(blocks) + 1)) for of in (of_single, of_hot))
+        bucket = np.array([rows["bucket"][0].as_py()], "<u8")
+        for k, block in enumerate(blocks):
+            one, many = slice(edges[k], edges[k + 1]), slice(hot_edges[k], hot_edges[k + 1])
+            if one.start == one.stop and many.start == many.stop:
+                continue
+            found, common = which_single[one], which_hot[many]
             payload = _pack(
-                own, sizes.astype("<u4"), *_narrow(tokens[part]), counts[part].astype("<u4"),
-                np.array([bucket], "<u4"),
+                bucket, *_halves(np.diff(number[found], prepend=0)), owner[one], *_halves(counts[found]),
+                hot_at[many], number[common].astype("<u4"), counts[common].astype("<u4"),
             )
-            out.append((int(block), False, payload))
+            out.append((block, False, payload))
     return pa.Table.from_batches([_packed_rows(out, names)])
 
 
@@ -317,38 +353,44 @@ def least_shared(n: int, share: int) -> int:
 
 def _gathered(rows: pa.Table, share: int) -> pa.Table:
     """One row per document of a block."""
-    infos, keys, tokens, counts = [], [], [], []
-    for info, payload in zip(rows["info"], rows["payload"], strict=True):
-        data = payload.as_py()
-        if info.as_py():
-            infos.append(_unpack(data, "<u8", "<i8", "u1", "<i8", "u1", "u1"))
+    is_info = [value.as_py() for value in rows["info"]]
+    if sum(is_info) != 1:
+        raise RuntimeError("a repeated task got its rows in another order: write the documents first")
+    info = rows["payload"][is_info.index(True)].as_py()
+    ids, known, sizes, shas, carried, hot_runs, hot_owner = _unpack(info, "<i8", "u1", "<i8", "u1", "u1", "<u4", "<u2")
+    hot_start = np.append(0, np.cumsum(hot_runs.astype(np.int64)))
+    owners, tokens, counts = [], [], []
+    for about_docs, payload in zip(is_info, rows["payload"], strict=True):
+        if about_docs:
             continue
-        own, sizes, low, high, often, bucket = _unpack(data, "<u8", "<u4", "<u4", "<u2", "<u4", "<u4")
-        keys.append(np.repeat(own, sizes))
-        # The bucket tells apart what the 48 bits kept of the hash may not.
-        tokens.append(_wide(low, high) ^ _mix(np.full(1, bucket[0], np.uint64)))
-        counts.append(often)
-    if keys:
-        keys, tokens, counts = (np.concatenate(x) for x in (keys, tokens, counts))
-        order = np.lexsort((tokens, counts, keys))
-        keys, tokens, counts = keys[order], tokens[order], counts[order]
-        fresh = np.append(True, (keys[1:] != keys[:-1]) | (tokens[1:] != tokens[:-1]))
-        keys, tokens, counts = keys[fresh], tokens[fresh], counts[fresh]
+        bucket, step, far, owner, low, high, at, hot_number, hot_count = _unpack(
+            payload.as_py(), "<u8", "<u2", "<u2", "<u2", "<u2", "<u2", "<u4", "<u4", "<u4"
+        )
+        held = [hot_owner[hot_start[i] : hot_start[i + 1]] for i in at]
+        spread = np.array([len(x) for x in held], np.int64)
+        single = np.cumsum(_joined(step, far))
+        number = np.concatenate([single, np.repeat(hot_number, spread)]).astype(np.uint64)
+        owners.append(np.concatenate([owner, *held]))
+        # One to one: bucket and number name the shingle.
+        tokens.append(_mix((bucket[0] << np.uint64(32)) | number))
+        counts.append(np.concatenate([_joined(low, high), np.repeat(hot_count, spread).astype(np.int64)]))
+    if owners:
+        owners, tokens, counts = (np.concatenate(x) for x in (owners, tokens, counts))
+        order = np.lexsort((tokens, counts, owners))
+        owners, tokens, counts = owners[order], tokens[order], counts[order].astype("<u4")
     else:
-        keys, tokens, counts = (np.zeros(0, np.uint64),) * 3
+        owners, tokens, counts = np.zeros(0, "<u2"), np.zeros(0, np.uint64), np.zeros(0, "<u4")
+    edges = np.searchsorted(owners, np.arange(len(ids) + 1))
     out = {name: [] for name in ("doc_id", "row", "n_shingles", "digest", "tokens", "counts")}
-    for own, ids, known, sizes, shas, carried in infos:
-        first, last = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
-        for i in range(len(own)):
-            n = int(sizes[i])
-            may = n > 0 and last[i] - first[i] >= least_shared(n, share)
-            out["doc_id"].append(int(ids[i]) if known[i] else None)
-            row = carried[ROW_BYTES * i : ROW_BYTES * (i + 1)].tobytes()
-            out["row"].append(row or None)
-            out["n_shingles"].append(n)
-            out["digest"].append(shas[16 * i : 16 * i + 16].tobytes())
-            out["tokens"].append(tokens[first[i] : last[i]].tobytes() if may else None)
-            out["counts"].append(counts[first[i] : last[i]].astype("<u4").tobytes() if may else None)
+    for i, n in enumerate(sizes.tolist()):
+        own = slice(edges[i], edges[i + 1])
+        may = n > 0 and own.stop - own.start >= least_shared(n, share)
+        out["doc_id"].append(int(ids[i]) if known[i] else None)
+        out["row"].append(carried[ROW_BYTES * i : ROW_BYTES * (i + 1)].tobytes() or None)
+        out["n_shingles"].append(n)
+        out["digest"].append(shas[16 * i : 16 * i + 16].tobytes())
+        out["tokens"].append(tokens[own].tobytes() if may else None)
+        out["counts"].append(counts[own].tobytes() if may else None)
     kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({name: pa.array(c, k) for (name, c), k in zip(out.items(), kinds, strict=True)})
 
@@ -624,12 +666,12 @@ def linked_documents(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     )
 
 
-def _components_of(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]:
+def _components_of(docs: DataFrame, n: int, share: int, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents with their digests, and (digest, best) of components of several rows.
 
     ``best`` is the component's first row by (doc_id with null last, row).
     """
-    rows = saved(repeated_shingles(docs, n, share), "join-documents")
+    rows = saved(repeated_shingles(docs, n, share, row), "join-documents")
     classes = saved(
         rows.where("tokens is not null")
         .groupBy(F.col("digest").alias("cls"))
@@ -683,7 +725,7 @@ def one_of_each(docs: DataFrame, n: int = 5, share: int = 80, most_broadcast: in
     any one of the rows that have both in common. Rows are told apart by that hash, which
     needs no copy of the table: a row that links with nothing stays whatever its doc_id.
     """
-    rows, several = _components_of(docs.select("doc_id", "text", _row_key().alias("row")), n, share)
+    rows, several = _components_of(docs.select("doc_id", "text", _row_key().alias("_key")), n, share, "_key")
     linked_rows = saved(
         rows.select("row", "digest")
         .join(several, "digest")
