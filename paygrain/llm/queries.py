@@ -19,6 +19,7 @@ from paygrain.llm import (
     mixing,
     secret_scan,
     spelling,
+    statements,
     token_counts,
     token_files,
     topk_search,
@@ -154,22 +155,23 @@ QUERIES: dict[str, Query] = {
 
 _TOP_K = """
 WITH vectors AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS vec
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS vec
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.row AS query_row, q.vec_id AS query_id, c.vec_id, c.row,
          list_sum([p[1] * p[2] FOR p IN list_zip(q.vec, c.vec)])::BIGINT AS score
-  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+  FROM vectors q JOIN vectors c ON q.row <> c.row
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row)::INTEGER AS rank
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # The probabilities of each source are summed in the same order as in the query.
 _MIXING = f"""
 WITH RECURSIVE sizes AS (
@@ -186,19 +188,23 @@ WITH RECURSIVE sizes AS (
   UNION ALL
   SELECT source, draws, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1)
   FROM terms WHERE k < {mixing.TERMS}
+), hashed AS (
+  SELECT doc_id, text, lang, source, n_chars, md5({" || ".join(map(statements.field, _COLUMNS))}) AS hash,
+         row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) AS number
+  FROM documents
 ), drawn AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, u.j,
-         ('0x' || substr(md5('0:' || coalesce(d.doc_id::VARCHAR, '') || ':' || u.j), 1, 13))::BIGINT
+  SELECT d.*, u.j,
+         ('0x' || substr(md5('0:' || hash || ':' || number || ':' || u.j), 1, 13))::BIGINT
            / 4503599627370496.0::DOUBLE AS u
-  FROM (SELECT documents.*, draws FROM documents JOIN draws
-        ON documents.source IS NOT DISTINCT FROM draws.source) d, unnest(range(1, draws + 1)) AS u(j)
+  FROM (SELECT hashed.*, draws FROM hashed JOIN draws
+        ON hashed.source IS NOT DISTINCT FROM draws.source) d, unnest(range(1, draws + 1)) AS u(j)
 ), counted AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(t.k) AS copies
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.hash, d.number, count(t.k) AS copies
   FROM drawn d JOIN terms t ON t.source IS NOT DISTINCT FROM d.source AND t.c <= d.u
   GROUP BY ALL
 )
 SELECT doc_id, text, lang, source, n_chars, c.copy AS copy, copies,
-       md5('0:shuffle:' || coalesce(doc_id::VARCHAR, '') || ':' || c.copy) AS mix_key
+       md5('0:shuffle:' || hash || ':' || number || ':' || c.copy) AS mix_key
 FROM counted, unnest(range(1, copies + 1)) AS c(copy)
 """
 
@@ -221,4 +227,7 @@ ORACLES: dict[str, str] = {
     "op2_topk_search": _TOP_K,
     "op8_mixing": _MIXING,
     "op10_exact_dedup": _DUPLICATES,
+    "op11_decontamination": statements.DECONTAMINATION,
+    "op12_merkle_manifest": statements.MERKLE,
+    "op13_spelling_variants": statements.SPELLING,
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -61,8 +63,11 @@ def secrets(text):
     return sorted(found)
 
 
+KINDS = ("assign", "access", "hex", "example", "live")
+
+
 def span_text(spans):
-    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def chat(rows):
@@ -139,3 +144,169 @@ def without_copies(docs):
 def lengths(texts):
     encoder = byte_encoder()
     return [len(encoder.encode_ordinary(t or "")) for t in texts]
+
+
+BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def bench_words(text):
+    return re.findall(BENCH_WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def contaminated(docs, items, window=10):
+    """(doc_id, n_words, n_hit, items hit) by looking for every window at every word."""
+    wanted = {}
+    for name, text in items:
+        words = bench_words(text)
+        size = min(len(words), window)
+        for i in range(len(words) - size + 1 if words else 0):
+            wanted.setdefault(tuple(words[i : i + size]), set()).add("" if name is None else str(name))
+    sizes = {len(w) for w in wanted}
+    out = []
+    for d, text in docs:
+        words, hit, found = bench_words(text), set(), set()
+        for size in sizes:
+            for i in range(len(words) - size + 1):
+                names = wanted.get(tuple(words[i : i + size]))
+                if names:
+                    hit.update(range(i, i + size))
+                    found |= names
+        out.append((d, len(words), hit, found))
+    return out
+
+
+def merkle(rows):
+    """rows of (doc_id, source, lang, n_chars, text): (doc_id, leaf, subroot, root, proof, folded, verified)."""
+
+    def h(*parts):
+        return sha("".join(parts).encode())
+
+    def leaf(row, text):
+        fields = (*row[:4], text)
+        return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in fields])
+
+    def levels(nodes):
+        """The siblings (before, after) of each node up to the root, and the root."""
+        paths = [[] for _ in nodes]
+        below = [[i] for i in range(len(nodes))]
+        while len(nodes) > 1:
+            parents, held = [], []
+            for start in range(0, len(nodes), 3):
+                run = nodes[start : start + 3]
+                for k, members in enumerate(below[start : start + 3]):
+                    for i in members:
+                        paths[i].append(("".join(run[:k]), "".join(run[k + 1 :])))
+                parents.append(h(*run))
+                held.append(sum(below[start : start + 3], []))
+            nodes, below = parents, held
+        return paths, nodes[0]
+
+    sources = {}
+    for row in rows:
+        sources.setdefault(row[1], []).append(row)
+    trees = {}
+    for source, members in sources.items():
+        keyed = sorted(((r[0] is not None, r[0] or 0, leaf(r, r[4])), r) for r in members)
+        trees[source] = [(key[2], r) for key, r in keyed], *levels([key[2] for key, _ in keyed])
+    order = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    top, root = levels([trees[s][2] for s in order])
+    out = []
+    for source, above in zip(order, top, strict=True):
+        leaves, paths, subroot = trees[source]
+        for (own, row), path in zip(leaves, paths, strict=True):
+            text = row[4]
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0 and text is not None:
+                text = text.replace("\n", "")
+            folded = leaf(row, text)
+            for before, after in path + above:
+                folded = h(before, folded, after)
+            proof = h(*["".join(pair) for pair in path + above])
+            out.append((row[0], own, subroot, root, proof, folded, folded == root))
+    return out
+
+
+def spelling(docs, least_length=5, least_count=3):
+    """(word, n, n_near, form, form_n, root) by the edits of every word."""
+    counts = {}
+    for d, text in docs:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for run in re.findall("[a-zÀ-ÿ]+", low):
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            word = run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[word] = counts.get(word, 0) + 1
+    counts = {w: n for w, n in counts.items() if n >= least_count and len(w) >= least_length}
+    letters = sorted({c for w in counts for c in w})
+    forms = {}
+    for w, n in counts.items():
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        edits |= {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        edits |= {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        near = sorted((-counts[e], e) for e in edits - {w} if e in counts)
+        form = near[0][1] if near and -near[0][0] >= 2 * n else None
+        forms[w] = (n, len(near), form, counts.get(form))
+    out = []
+    for w, (n, near, form, form_n) in forms.items():
+        root = w
+        while forms[root][2]:
+            root = forms[root][2]
+        out.append((w, n, near, form, form_n, root))
+    return out
+
+
+def replicated(rows, total, seed):
+    """rows with the source last: (*row, copy, copies, mix_key) of every copy, by the hashes of the rows."""
+    sizes = {}
+    for row in rows:
+        sizes[row[-1]] = sizes.get(row[-1], 0) + 1
+    weights = sum(n**0.5 for n in sizes.values())
+    seen, out = {}, Counter()
+    for row in rows:
+        n = sizes[row[-1]]
+        rate = float(total) * (n**0.5 / weights) / n
+        draws = max(1, math.ceil(rate / 16))
+        parts = ["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row]
+        digest = hashlib.md5("".join(parts).encode()).hexdigest()
+        seen[row] = number = seen.get(row, 0) + 1
+        copies = 0
+        for k in range(1, draws + 1):
+            u = int(hashlib.md5(f"{seed}:{digest}:{number}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-rate / draws)
+            for j in range(1, 82):
+                copies += c <= u
+                p *= rate / draws / j
+                c += p
+        for copy in range(1, copies + 1):
+            key = hashlib.md5(f"{seed}:shuffle:{digest}:{number}:{copy}".encode()).hexdigest()
+            out[(*row, copy, copies, key)] += 1
+    return out
+
+
+def owned_secrets(rows, owners=2, repositories=8):
+    """rows of (doc_id, text, owner): (doc_id, all spans) with the verdict on every value."""
+    places, holders = [], {}
+    for doc_id, text, owner in rows:
+        text = text or ""
+        found = []
+        for start, kind, end in secrets(text):
+            value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
+            found.append((end - len(value), end, value))
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+                found.append((m.start(), m.end(), m[0]))
+        places.append(found)
+        held = (owner or "", "" if doc_id is None else str(doc_id))
+        for _, _, value in found:
+            texts = holders.setdefault(value, {})
+            texts[text] = min(texts.get(text, held), held)
+    out = []
+    for (doc_id, text, _), found in zip(rows, places, strict=True):
+        spans = set(secrets(text))
+        for start, end, value in found:
+            held = set(holders[value].values())
+            lively = len(value) >= 16 and len(set(value)) >= 8 and re.search("[0-9]", value) and re.search("[A-Za-z]", value)
+            if len({owner for owner, _ in held}) >= owners or len(held) >= repositories:
+                spans.add((start, 3, end))
+            elif lively:
+                spans.add((start, 4, end))
+        out.append((doc_id, sorted(spans)))
+    return out
