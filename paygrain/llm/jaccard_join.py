@@ -40,12 +40,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paygrain.llm.store import saved
+from paygrain.llm.store import saved, small_batches
 
 # Characters of text per bucket and per block: bounds the memory of a task.
-PART_CHARS = 8_000_000
+PART_CHARS = 4_000_000
 # Shingles and documents of a block of documents; a document's number has two bytes.
-FLUSH_TOKENS = 1 << 20
+FLUSH_TOKENS = 1 << 18
 FLUSH_DOCS = 1 << 15
 # A shingle that so many documents of a block have is counted within the block first.
 COMMON = 16
@@ -214,6 +214,7 @@ def repeated_shingles(docs: DataFrame, n: int, share: int, row: str | None = Non
     A task that is repeated must get its rows in the same order, as it does from files.
     If it does not, the documents of a block are not found and the job fails.
     """
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(max(8, ceil(size / PART_CHARS)))
 

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 from paygrain.llm.byte_units import once
+from paygrain.llm.store import small_batches
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
@@ -234,6 +235,7 @@ def training_rows(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[t
     Rows are chosen by a hash of doc_id against each language's rate, so the choice does
     not depend on the order of the table.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -325,18 +327,19 @@ def _add(model, positions, buckets, starts, rows, sums, grams) -> None:
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents with lang_pred, score and accepted, from their text only."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(F.col("text").alias("_input"), *[F.col(f"`{c}`") for c in kept])
-    schema = StructType(rows.schema.fields[1:])
+    rows, at_text = docs.select(*[F.col(f"`{c}`") for c in kept]), kept.index("text")
+    schema = StructType([*rows.schema.fields])
     schema = schema.add("lang_pred", StringType()).add("score", DoubleType()).add("accepted", BooleanType())
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                names, scores, accepted = predict_texts(model, part.column(0).to_pylist())
+                names, scores, accepted = predict_texts(model, part.column(at_text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(names), pa.array(scores), pa.array(accepted)],
+                    [*part.columns, pa.array(names), pa.array(scores), pa.array(accepted)],
                     names=[f.name for f in schema.fields],
                 )
 

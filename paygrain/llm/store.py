@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+# Rows of an Arrow batch of texts.
+BATCH_ROWS = 512
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, at most BATCH_ROWS rows go to a Python worker at a time.
+
+    By default it is 10,000. With texts, an executor keeps the direct memory that its
+    largest batches took, and so do the workers. Spark has this as a setting of the
+    session only. A smaller setting of the caller's stays.
+    """
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, or one of our own if that is unset.
