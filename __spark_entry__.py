@@ -171,11 +171,15 @@ def _clean_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _damaged_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.violations(feed.damaged_tables(spark, sf)).drop("detail")
+    tables = feed.damaged_tables(spark, sf, **feed.EVERY_LOOKUP)
+    return quality.violations(tables).drop("detail")
 
 
-def _damaged(check: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
-    return lambda spark, sf: check(feed.damaged_tables(spark, sf))
+def _damaged(
+    check: Callable[[dict[str, DataFrame]], DataFrame], **lookups: bool
+) -> Query:
+    """A check of the damaged tables; transactions have the lookups it reads."""
+    return lambda spark, sf: check(feed.damaged_tables(spark, sf, **lookups))
 
 
 def _routed(spark: SparkSession, sf: str) -> DataFrame:
@@ -342,6 +346,12 @@ def _reference_queries() -> dict[str, Query]:
         "snapshot_gate": _on_fact(
             cleaning.snapshot_violations, card=True, merchant=True
         ),
+        "snapshot_of_texts": lambda spark, sf: _all_grains(
+            cleaning.snapshot_rows(feed.text_snapshot(spark, sf))
+        ),
+        "damaged_snapshot_gate": lambda spark, sf: cleaning.snapshot_violations(
+            feed.text_snapshot(spark, sf, damaged=True)
+        ),
         # document-style
         "document_monthly": _on_fact(reports.document_monthly),
         "document_categories": _on_fact(reports.document_categories),
@@ -437,7 +447,7 @@ def _reference_queries() -> dict[str, Query]:
                 "merchant_id",
             ).select("transaction_id", "merchant_id")
         ),
-        "sql_quality_checks": _damaged(quality.sql_checks),
+        "sql_quality_checks": _damaged(quality.sql_checks, card=True),
         "card_preconditions": _damaged(
             lambda t: quality.card_preconditions(t["customers"], t["cards"])
         ),

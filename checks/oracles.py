@@ -530,6 +530,20 @@ _CHOSEN = (
     "AND bank_name IN ('HDFC Bank', 'Axis Bank')"
 )
 
+_ALL_GRAINS = f"""
+SELECT 'overall' AS grain, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS category,
+       count(*) AS transaction_count, {_GOOD} AS completed_transactions,
+       {_DONE} AS completed_amount, {_GOOD_RATE} AS success_rate,
+       {_BAD} AS failed_transactions, -1.0e0 AS failure_rate FROM tx
+UNION ALL SELECT 'bank', bank_name, NULL, count(*), {_GOOD}, {_DONE}, {_GOOD_RATE},
+       {_BAD}, -1.0e0 FROM tx GROUP BY bank_name
+UNION ALL SELECT 'month', transaction_month, NULL, count(*), {_GOOD}, {_DONE}, -1.0e0,
+       {_BAD}, -1.0e0 FROM tx GROUP BY transaction_month
+UNION ALL SELECT 'merchant', merchant_name, merchant_category, count(*), -1, {_DONE},
+       -1.0e0, {_BAD}, {_BAD_RATE} FROM tx GROUP BY merchant_name, merchant_category
+UNION ALL SELECT 'category', merchant_category, NULL, count(*), -1, {_DONE}, -1.0e0,
+       {_BAD}, {_BAD_RATE} FROM tx GROUP BY merchant_category"""
+
 ORACLES: dict[str, str] = {
     # summaries and reports
     "customer_summary": _tx(f"""
@@ -692,19 +706,16 @@ SELECT transaction_month AS month, count(*) AS transaction_count,
          AS failed_transactions,
        {_DONE} AS completed_amount
 FROM tx GROUP BY transaction_month"""),
-    "snapshot_all_grains": _tx(f"""
-SELECT 'overall' AS grain, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS category,
-       count(*) AS transaction_count, {_GOOD} AS completed_transactions,
-       {_DONE} AS completed_amount, {_GOOD_RATE} AS success_rate,
-       {_BAD} AS failed_transactions, -1.0e0 AS failure_rate FROM tx
-UNION ALL SELECT 'bank', bank_name, NULL, count(*), {_GOOD}, {_DONE}, {_GOOD_RATE},
-       {_BAD}, -1.0e0 FROM tx GROUP BY bank_name
-UNION ALL SELECT 'month', transaction_month, NULL, count(*), {_GOOD}, {_DONE}, -1.0e0,
-       {_BAD}, -1.0e0 FROM tx GROUP BY transaction_month
-UNION ALL SELECT 'merchant', merchant_name, merchant_category, count(*), -1, {_DONE},
-       -1.0e0, {_BAD}, {_BAD_RATE} FROM tx GROUP BY merchant_name, merchant_category
-UNION ALL SELECT 'category', merchant_category, NULL, count(*), -1, {_DONE}, -1.0e0,
-       {_BAD}, {_BAD_RATE} FROM tx GROUP BY merchant_category"""),
+    "snapshot_all_grains": _tx(_ALL_GRAINS),
+    "snapshot_of_texts": _tx(_ALL_GRAINS),
+    "damaged_snapshot_gate": _tx("""
+SELECT 'amount' AS "column",
+       count(*) FILTER (WHERE merchant_category IN ('Grocery', 'Travel')) AS violations FROM tx
+UNION ALL SELECT 'transaction_status',
+       count(*) FILTER (WHERE transaction_status IN ('Disputed', 'Refunded')) FROM tx
+UNION ALL SELECT 'transaction_month', count(*) FILTER (WHERE merchant_category = 'Retail') FROM tx
+UNION ALL SELECT 'is_successful', count(*) FILTER (WHERE transaction_status = 'Pending') FROM tx
+UNION ALL SELECT 'is_failure', count(*) FILTER (WHERE is_failure) FROM tx"""),
     "snapshot_gate": _tx(r"""
 SELECT 'amount' AS "column",
        count(*) FILTER (WHERE NOT coalesce(amount > 0, false)) AS violations FROM tx

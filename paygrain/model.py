@@ -10,6 +10,11 @@ MONEY = T.DecimalType(12, 2)
 CURRENCY_FALLBACK = "INR"
 REFERENCE_DATE = date(2026, 10, 7)
 
+# Columns a reader adds to a raw table: the place of a row in its files, and
+# the text of a row that could not be taken apart.
+FILE_ORDER = "_file_order"
+MALFORMED = "_malformed"
+
 
 def _struct(spec: str) -> T.StructType:
     """Build a schema from ``name:type`` pairs; a bare name is a string."""

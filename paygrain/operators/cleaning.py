@@ -90,70 +90,73 @@ def without_contacts(merchants: DataFrame) -> DataFrame:
 
 
 def snapshot_rows(tx: DataFrame) -> DataFrame:
-    """The nine safe columns, checked while they are read.
+    """The nine safe columns of a snapshot; one bad value rejects all of it.
 
-    Each check sits inside the column it guards, so an aggregate that touches
-    the column fails on the first bad value without a pass of its own.
+    Every row passes a gate over all checks, whatever columns a report reads,
+    so the first bad row fails the job. The gate has a part that Spark takes
+    for non-deterministic: filters of a report stay above it, and no row is
+    skipped unchecked. It needs no pass of its own.
     """
     missing = sorted(set(model.SAFE_COLUMNS) - set(tx.columns))
     if missing:
         raise ValueError("missing analytics columns: " + ", ".join(missing))
     kinds = {name: tx.schema[name].dataType for name in model.SAFE_COLUMNS}
-    amount = values.number(F.col("amount"), kinds["amount"])
-    status = values.strip(F.col("transaction_status"))
-    month = values.strip(F.col("transaction_month"))
-    return tx.select(
+    problem = F.coalesce(
+        *[
+            F.when(~holds, F.lit(f"invalid {CHECKED.get(name, f'{name} values')}"))
+            for name, holds in _snapshot_checks(tx).items()
+        ]
+    )
+    passed = F.when(
+        problem.isNull(), F.monotonically_increasing_id() >= 0
+    ).otherwise(F.raise_error(problem).cast("boolean"))
+    return tx.where(passed).select(
         "merchant_category",
         "merchant_name",
         "currency",
         "bank_name",
-        _checked(
-            values.positive_finite(amount),
-            F.col("amount").cast(model.MONEY),
-            "invalid amounts",
-        ).alias("amount"),
-        _checked(status != "", status, "invalid statuses").alias(
-            "transaction_status"
-        ),
-        _checked(
-            month.rlike(r"^\d{4}-\d{2}$"), month, "invalid transaction months"
-        ).alias("transaction_month"),
-        values.flag(
-            F.col("is_successful"), kinds["is_successful"], "is_successful"
-        ).alias("is_successful"),
-        values.flag(F.col("is_failure"), kinds["is_failure"], "is_failure").alias(
-            "is_failure"
-        ),
+        F.col("amount").cast(model.MONEY).alias("amount"),
+        values.strip(F.col("transaction_status")).alias("transaction_status"),
+        values.strip(F.col("transaction_month")).alias("transaction_month"),
+        *[
+            values.flag(F.col(name), kinds[name], name).alias(name)
+            for name in ("is_successful", "is_failure")
+        ],
     ).withColumn(
         "is_failed_status",
         values.casefold(F.col("transaction_status")) == "failed",
     )
 
 
-def _checked(condition: Column, value: Column, message: str) -> Column:
-    return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
+# How a message names the values of a column, where not by the column itself.
+CHECKED = {
+    "amount": "amounts",
+    "transaction_status": "statuses",
+    "transaction_month": "transaction months",
+}
 
 
-def snapshot_violations(tx: DataFrame) -> DataFrame:
-    """Counts of the rows each snapshot check would reject, in one pass."""
+def _snapshot_checks(tx: DataFrame) -> dict[str, Column]:
+    """What must hold for each checked column, never null."""
     kinds = {field.name: field.dataType for field in tx.schema.fields}
-    amount = values.number(F.col("amount"), kinds["amount"])
-    status = values.strip(F.col("transaction_status"))
-    month = values.strip(F.col("transaction_month"))
-    bad = {
-        "amount": ~values.positive_finite(amount),
-        "transaction_status": ~F.coalesce(status != "", F.lit(False)),
-        "transaction_month": ~F.coalesce(
-            month.rlike(r"^\d{4}-\d{2}$"), F.lit(False)
+    holds = {
+        "amount": values.positive_finite(values.number(F.col("amount"), kinds["amount"])),
+        "transaction_status": values.strip(F.col("transaction_status")) != "",
+        "transaction_month": values.strip(F.col("transaction_month")).rlike(
+            r"^\d{4}-\d{2}$"
         ),
     }
     for name in ("is_successful", "is_failure"):
         if kinds[name].typeName() != "boolean":
             text = F.lower(values.strip(F.col(name).cast("string")))
-            bad[name] = ~F.coalesce(
-                text.isin("true", "false", "1", "0"), F.lit(False)
-            )
-    counted = tx.agg(*[F.count_if(test).alias(name) for name, test in bad.items()])
+            holds[name] = text.isin("true", "false", "1", "0")
+    return {name: F.coalesce(test, F.lit(False)) for name, test in holds.items()}
+
+
+def snapshot_violations(tx: DataFrame) -> DataFrame:
+    """Counts of the rows each snapshot check would reject, in one pass."""
+    holds = _snapshot_checks(tx)
+    counted = tx.agg(*[F.count_if(~test).alias(name) for name, test in holds.items()])
     return counted.select(
         F.inline(
             F.array(
@@ -161,7 +164,7 @@ def snapshot_violations(tx: DataFrame) -> DataFrame:
                     F.struct(
                         F.lit(name).alias("column"), F.col(name).alias("violations")
                     )
-                    for name in bad
+                    for name in holds
                 ]
             )
         )

@@ -3,7 +3,10 @@
 ``rule_counts`` reports every rule with its number of violations, 0 included;
 ``violations`` keeps the broken ones, so an empty result means a clean set.
 
-Rules: V1 dataset unreadable, V2 required column missing, V3 duplicate key,
+A table is read once: every row states its keys and the rules it breaks, and all
+statements of all tables are counted by one grouping.
+
+Rules: V1 dataset unreadable or rows malformed, V2 required column missing, V3 duplicate key,
 V4 missing value, V5 blank key, V6 foreign key, V7 card owner, V8 merchant
 category, V9 allowed values, V10 unparseable date, V11 issue before expiry,
 V12 date in the future, V13 expiry passed, V14 income, V15 age, V16 amount.
@@ -14,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -22,12 +26,18 @@ from pyspark.sql import types as T
 
 from paygrain import model
 from paygrain.functions import values
+from paygrain.model import FILE_ORDER, MALFORMED
 from paygrain.operators.filters import missing_columns
 
 Tables = dict[str, DataFrame]
 
 
-# --- row rules: one aggregate per table -----------------------------------
+# --- row rules: (rule, column, test) per table ------------------------------
+
+RowRule = tuple[str, str, Column]
+
+# Columns of the reader that are no part of a table.
+READER_COLUMNS = (MALFORMED, FILE_ORDER)
 
 
 def _any_missing(field: T.StructField) -> Column:
@@ -44,20 +54,20 @@ def _not(test: Column) -> Column:
     return ~F.coalesce(test, F.lit(False))
 
 
-def _completeness(name: str, df: DataFrame) -> list[tuple[str, str, Column]]:
+def _completeness(name: str, df: DataFrame) -> list[RowRule]:
     rules = [
-        ("V4", field.name, _any_missing(field)) for field in df.schema.fields
+        ("V4", field.name, _any_missing(field))
+        for field in df.schema.fields
+        if field.name not in READER_COLUMNS
     ]
     key = model.PRIMARY_KEYS[name]
     rules.append(("V5", key, values.is_blank(F.col(key).cast("string"))))
     return rules
 
 
-def _contents(
-    name: str, df: DataFrame, reference: date
-) -> list[tuple[str, str, Column]]:
+def _contents(name: str, df: DataFrame, reference: date) -> list[RowRule]:
     kinds = {field.name: field.dataType for field in df.schema.fields}
-    rules: list[tuple[str, str, Column]] = []
+    rules: list[RowRule] = []
     for column, allowed in model.ALLOWED_VALUES.get(name, {}).items():
         value = values.strip(F.col(column))
         rules.append(("V9", column, ~value.isin(*allowed)))
@@ -84,29 +94,6 @@ def _contents(
     return rules
 
 
-def _count_rules(
-    name: str, df: DataFrame, rules: list[tuple[str, str, Column]]
-) -> DataFrame:
-    counted = df.agg(
-        *[F.count_if(test).alias(f"r{i}") for i, (_, _, test) in enumerate(rules)]
-    )
-    return counted.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(rule).alias("rule"),
-                        F.lit(name).alias("dataset"),
-                        F.lit(column).alias("column"),
-                        F.col(f"r{i}").alias("violations"),
-                    )
-                    for i, (rule, column, _) in enumerate(rules)
-                ]
-            )
-        )
-    )
-
-
 # --- key rules: one grouping for all keys and links ------------------------
 
 
@@ -120,43 +107,73 @@ class Link(NamedTuple):
     attribute: str | None = None
 
 
-def key_counts(tables: Tables, links: Sequence[Link]) -> DataFrame:
-    """One row of counts per link, from a single pass over each table.
+def key_counts(
+    tables: Tables,
+    links: Sequence[Link],
+    rules: dict[str, list[RowRule]] | None = None,
+) -> DataFrame:
+    """One row of counts per link and row rule, from a single pass over each table.
 
-    Every row states the keys it has, as child or as parent, and the statements
-    are counted per (link, key, attribute), then per (link, key), then per
-    link. Nothing is joined, so a key that a third of the rows share, null or
-    not, is collapsed before the first shuffle.
+    Every row states the keys it has, as child or as parent, and the rules it
+    breaks. The statements are counted per (link, key, attribute), then per
+    (link, key), then per link. Nothing is joined, so a key that a third of the
+    rows share, null or not, is collapsed before the first shuffle; so are
+    broken rules, which have no key. A malformed row states only that (V1).
 
+    rows: statements as child; for a rule the rows that break it.
     repeats: child rows whose key was already taken, nulls equal each other.
     orphans: child rows without a parent; a null key has none.
     mismatches: child rows whose parent does not have their attribute,
     including rows without a parent and null attributes.
     differing_pairs: rows of an inner join on the key whose attributes differ.
     """
-    stated: dict[str, list[Column]] = {}
-
-    def state(table: str, link: Link, children: int, parents: int) -> None:
-        attribute = F.col(link.attribute) if link.attribute else F.lit(None)
-        stated.setdefault(table, []).append(
-            F.struct(
-                F.lit(link.name).alias("link"),
-                F.col(link.key).cast("string").alias("key"),
-                attribute.cast("string").alias("attribute"),
-                F.lit(children).alias("c"),
-                F.lit(parents).alias("p"),
-            )
+    rules = rules or {}
+    stated: dict[str, list[Column]] = {name: [] for name in rules}
+
+    def statement(
+        link: str, key: Column, attribute: Column, children: int, parents: int
+    ) -> Column:
+        return F.struct(
+            F.lit(link).alias("link"),
+            key.cast("string").alias("key"),
+            attribute.cast("string").alias("attribute"),
+            F.lit(children).alias("c"),
+            F.lit(parents).alias("p"),
         )
 
+    nothing = F.lit(None)
     for link in links:
-        state(link.child, link, 1, 0)
-        if link.parent:
-            state(link.parent, link, 0, 1)
+        attribute = F.col(link.attribute) if link.attribute else nothing
+        for table, c, p in ((link.child, 1, 0), (link.parent, 0, 1)):
+            if table:
+                entry = statement(link.name, F.col(link.key), attribute, c, p)
+                stated.setdefault(table, []).append(entry)
+
+    def statements(name: str, keys: list[Column]) -> DataFrame:
+        df, entries = tables[name], F.array(*keys) if keys else None
+        if tests := rules.get(name):
+            broken = F.filter(
+                F.array(
+                    *[
+                        F.when(test, statement(f"{rule} {name} {column}", nothing, nothing, 1, 0))
+                        for rule, column, test in tests
+                    ]
+                ),
+                lambda entry: entry.isNotNull(),
+            )
+            # Most rows break no rule: only for others the list is put together.
+            any_broken = reduce(or_, [F.coalesce(test, F.lit(False)) for _, _, test in tests])
+            no_entry = F.filter(F.array(statement("", nothing, nothing, 0, 0)), lambda _: F.lit(False))
+            listed = F.when(any_broken, broken).otherwise(no_entry)
+            entries = listed if entries is None else F.concat(entries, listed)
+        if MALFORMED in df.columns:
+            unread = F.array(statement(f"V1 {name} ", nothing, nothing, 1, 0))
+            entries = F.when(F.col(MALFORMED).isNull(), entries).otherwise(unread)
+        return df.select(F.inline(entries))
+
     usable = [
-        tables[name]
-        .select(F.inline(F.array(*entries)))
-        .where(F.col("key").isNotNull() | (F.col("p") == 0))
-        for name, entries in stated.items()
+        statements(name, keys).where(F.col("key").isNotNull() | (F.col("p") == 0))
+        for name, keys in stated.items()
     ]
     has_attribute = F.col("attribute").isNotNull()
     found = has_attribute & (F.col("parents") > 0)
@@ -177,6 +194,7 @@ def key_counts(tables: Tables, links: Sequence[Link]) -> DataFrame:
     )
     children = F.col("children")
     counted = per_key.groupBy("link").agg(
+        F.sum(children).alias("rows"),
         F.sum(F.greatest(children - 1, F.lit(0))).alias("repeats"),
         F.sum(F.when(F.col("parents") == 0, children).otherwise(0)).alias("orphans"),
         F.sum("different").alias("mismatches"),
@@ -184,21 +202,19 @@ def key_counts(tables: Tables, links: Sequence[Link]) -> DataFrame:
         .try_cast("long")
         .alias("differing_pairs"),
     )
-    # Empty tables state nothing: every link still gets its row of zeros.
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(link.name).alias("link"),
-                F.coalesce(
-                    F.max(F.when(F.col("link") == link.name, F.struct(*_COUNTS))),
-                    F.struct(*[F.lit(0).cast("long").alias(name) for name in _COUNTS]),
-                ).alias("counts"),
-            )
-            for link in links
-        ]
+    # What nothing stated still gets its row of zeros.
+    wanted = [link.name for link in links]
+    wanted += [f"{rule} {name} {column}" for name in rules for rule, column, _ in rules[name]]
+    wanted += [f"V1 {name} " for name in rules if MALFORMED in tables[name].columns]
+    zeros = F.struct(*[F.lit(0).cast("long").alias(name) for name in _COUNTS])
+    found_counts = F.map_from_entries(
+        F.collect_list(F.struct("link", F.struct(*_COUNTS).alias("counts")))
     )
-    return counted.agg(wanted.alias("links")).select(F.inline("links")).select(
-        "link", "counts.*"
+    return (
+        counted.agg(found_counts.alias("found"))
+        .select("found", F.explode(F.array(*[F.lit(name) for name in wanted])).alias("link"))
+        .select("link", F.coalesce(F.try_element_at("found", F.col("link")), zeros).alias("counts"))
+        .select("link", "counts.*")
     )
 
 
@@ -208,7 +224,7 @@ def _pairs(left: str, right: str) -> Column:
     return F.col(left).cast(wide) * F.col(right).cast(wide)
 
 
-_COUNTS = ("repeats", "orphans", "mismatches", "differing_pairs")
+_COUNTS = ("rows", "repeats", "orphans", "mismatches", "differing_pairs")
 
 
 def duplicate_rows(df: DataFrame, key: str) -> DataFrame:
@@ -303,19 +319,28 @@ LINKS = (
 ATTRIBUTE_RULES = {"transaction_card": "V7", "transaction_merchant": "V8"}
 
 
-def _key_rules(tables: Tables, names: Sequence[str], linked: bool) -> DataFrame:
-    """V3 for the named tables and, for a complete set, V6 to V8.
+def _counted_rules(
+    tables: Tables, rules: dict[str, list[RowRule]], linked: bool
+) -> DataFrame:
+    """The row rules, V3 for all tables and, for a complete set, V6 to V8.
 
     An attribute rule has no verdict while the parent key is not unique.
     """
-    keys = [Link(name, name, model.PRIMARY_KEYS[name]) for name in names]
+    keys = [Link(name, name, model.PRIMARY_KEYS[name]) for name in tables]
     links = LINKS if linked else ()
-    counts = key_counts(tables, [*keys, *links])
+    counts = key_counts(tables, [*keys, *links], rules)
+    number = F.map_from_entries(F.collect_list(F.struct("link", F.struct(*_COUNTS))))
 
     def of(link: str, name: str) -> Column:
-        return F.max(F.when(F.col("link") == link, F.col(name)))
-
-    rows = [("V3", key.child, key.key, of(key.name, "repeats")) for key in keys]
+        return F.try_element_at("counts", F.lit(link))[name]
+
+    rows = []
+    for name, tests in rules.items():
+        if MALFORMED in tables[name].columns:
+            rows.append(("V1", name, "", of(f"V1 {name} ", "rows")))
+        for rule, column, _ in tests:
+            rows.append((rule, name, column, of(f"{rule} {name} {column}", "rows")))
+    rows += [("V3", key.child, key.key, of(key.name, "repeats")) for key in keys]
     for link in links:
         rows.append(("V6", link.child, link.key, of(link.name, "orphans")))
         if link.attribute:
@@ -334,8 +359,8 @@ def _key_rules(tables: Tables, names: Sequence[str], linked: bool) -> DataFrame:
         ]
     )
     return (
-        counts.agg(listed.alias("rules"))
-        .select(F.inline("rules"))
+        counts.agg(number.alias("counts"))
+        .select(F.inline(listed))
         .where(F.col("violations").isNotNull())
     )
 
@@ -348,7 +373,8 @@ def rule_counts(
     """Every applicable rule with its violation count.
 
     When a table cannot be read or lacks a required column, only the schema
-    and completeness rules of the usable tables run.
+    and completeness rules of the usable tables run. Malformed rows (V1) of a
+    readable table are counted and left out of all other rules.
     """
     problems = problems or {}
     spark = next(iter(tables.values())).sparkSession if tables else None
@@ -361,17 +387,16 @@ def rule_counts(
     }
     complete = not broken and not problems and set(tables) == set(model.PRIMARY_KEYS)
     usable = {name: df for name, df in tables.items() if name not in broken}
-    parts = []
-    for name, df in usable.items():
-        rules = _completeness(name, df)
-        if complete:
-            rules += _contents(name, df, reference_date)
-        parts.append(_count_rules(name, df, rules))
+    parts = [_schema_rules(spark, tables, problems)]
     if usable:
-        parts.append(_key_rules(usable, list(usable), complete))
-    schema = _schema_rules(spark, tables, problems)
-    counted = [part.withColumn("detail", F.lit(None).cast("string")) for part in parts]
-    return reduce(DataFrame.unionByName, counted, schema)
+        rules = {
+            name: _completeness(name, df)
+            + (_contents(name, df, reference_date) if complete else [])
+            for name, df in usable.items()
+        }
+        counted = _counted_rules(usable, rules, complete)
+        parts.append(counted.withColumn("detail", F.lit(None).cast("string")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def violations(

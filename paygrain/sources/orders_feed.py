@@ -253,12 +253,10 @@ def full_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions(spark, sf_dir, **EVERY_LOOKUP)
 
 
-def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_transactions(spark: SparkSession, sf_dir: str, **lookups: bool) -> DataFrame:
     """All lines as raw transactions: copies included, nothing derived."""
-    wide = _attached(
-        _described(_lines(spark, sf_dir)), spark, sf_dir, **EVERY_LOOKUP
-    )
-    return wide.select(*TRANSACTION_COLUMNS, "part_key")
+    wide = _attached(_described(_lines(spark, sf_dir)), spark, sf_dir, **lookups)
+    return wide.select(*[name for name in TRANSACTION_COLUMNS if name in wide.columns])
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,11 +352,14 @@ def clean_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def damaged_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def damaged_tables(
+    spark: SparkSession, sf_dir: str, **lookups: bool
+) -> dict[str, DataFrame]:
     """The same tables as a careless sender might deliver them.
 
-    Uncleaned transactions with copies, merchants in debt left out, one bank's
-    cards missing, and bad values wherever a source column says so.
+    Uncleaned transactions with copies and the requested lookups, merchants in
+    debt left out, one bank's cards missing, and bad values wherever a source
+    column says so.
     """
     owners = customers(spark, sf_dir)
     in_debt = F.col("balance") < 0
@@ -404,7 +405,7 @@ def damaged_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         )
     )
     method = F.col("payment_method")
-    sent = raw_transactions(spark, sf_dir).withColumns(
+    sent = raw_transactions(spark, sf_dir, **lookups).withColumns(
         {
             "amount": F.when(F.col("amount") > 100000, F.lit(float("inf")))
             .when(F.col("amount") < 1000, F.lit(0.0))
@@ -424,5 +425,43 @@ def damaged_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "customers": owners.drop("balance"),
         "cards": held,
         "merchants": shops.drop("balance"),
-        "transactions": sent.drop("part_key"),
+        "transactions": sent,
+    }
+
+
+def text_snapshot(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """The nine safe columns with all values as text, as a file holds them.
+
+    With ``damaged`` each checked column has values that a snapshot rejects.
+    """
+    tx = transactions(spark, sf_dir, card=True, merchant=True).select(
+        *model.SAFE_COLUMNS
+    )
+    status, category = F.col("transaction_status"), F.col("merchant_category")
+    texts = {
+        "amount": F.concat(F.lit(" "), F.col("amount").cast("string")),
+        "is_successful": F.when(F.col("is_successful"), " TRUE").otherwise("0"),
+        "is_failure": F.when(F.col("is_failure"), "1").otherwise("False "),
     }
+    tx = tx.withColumns(texts)
+    if not damaged:
+        return tx
+    return tx.withColumns(
+        {
+            "amount": F.when(category == "Grocery", "1,000")
+            .when(category == "Travel", "inf")
+            .otherwise(F.col("amount")),
+            "transaction_status": F.when(status == "Disputed", " \t")
+            .when(status == "Refunded", None)
+            .otherwise(status),
+            "transaction_month": F.when(
+                category == "Retail", F.translate("transaction_month", "-", "/")
+            ).otherwise(F.col("transaction_month")),
+            "is_successful": F.when(status == "Pending", "unknown").otherwise(
+                F.col("is_successful")
+            ),
+            "is_failure": F.when(status == "Failed", None).otherwise(
+                F.col("is_failure")
+            ),
+        }
+    )

@@ -5,8 +5,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from paygrain import model
 from paygrain.functions import values
-from paygrain.operators import cleaning
+from paygrain.operators import cleaning, rankings
+from paygrain.plans import snapshot
 from tests.conftest import rows
 
 RAW = "transaction_id string, transaction_date string, amount string, transaction_status string, n int"
@@ -133,3 +135,56 @@ def test_strip_removes_all_white_space(spark):
     df = spark.createDataFrame([(s,) for s in samples], "v string")
     got = [r.s for r in df.select(values.strip(F.col("v")).alias("s")).collect()]
     assert got == [s.strip() for s in samples]
+
+
+def text_rows(spark, **bad):
+    """A snapshot of two categories, the last row with the given values."""
+    good = {
+        "merchant_category": "Retail", "merchant_name": "Shop", "transaction_status": " Completed",
+        "transaction_month": "2026-01", "amount": "10.50", "currency": "INR",
+        "bank_name": "Axis Bank", "is_successful": " TRUE ", "is_failure": "0",
+    }
+    assert set(good) == set(model.SAFE_COLUMNS)
+    last = good | {"merchant_category": "Travel"} | bad
+    schema = ", ".join(f"{name} string" for name in good)
+    return spark.createDataFrame([tuple(good.values()), tuple(last.values())], schema)
+
+
+ANSWERS = {
+    "overall": snapshot.overall,
+    "banks": snapshot.banks,
+    "merchants": snapshot.merchants,
+    "categories": snapshot.categories,
+    "months": snapshot.months,
+    "currency": lambda rows: rows.groupBy("currency").count(),
+    "one category": lambda rows: rankings.compare(snapshot.categories(rows), "category", ["retail"]),
+    "rows": lambda rows: rows.where("merchant_category = 'Retail'").select("merchant_name"),
+}
+
+
+@pytest.mark.parametrize("answer", ANSWERS)
+def test_one_bad_value_rejects_the_whole_snapshot(spark, answer):
+    """Whatever the answer reads: here a month, a flag and an amount it may not need."""
+    assert ANSWERS[answer](cleaning.snapshot_rows(text_rows(spark))).collect()
+    for bad, message in (
+        ({"transaction_month": "2026-1"}, "invalid transaction months"),
+        ({"is_failure": "unknown"}, "invalid is_failure values"),
+        ({"amount": "0"}, "invalid amounts"),
+        ({"transaction_status": " "}, "invalid statuses"),
+    ):
+        rows = cleaning.snapshot_rows(text_rows(spark, **bad))
+        with pytest.raises(PySparkException, match=message):
+            ANSWERS[answer](rows).collect()
+
+
+def test_violations_are_counted_per_column(spark):
+    rows = text_rows(spark, amount="1e400", transaction_status=None, is_successful=None)
+    counted = dict(cleaning.snapshot_violations(rows).collect())
+    assert counted == {
+        "amount": 1, "transaction_status": 1, "transaction_month": 0, "is_successful": 1, "is_failure": 0
+    }
+
+
+def test_an_empty_snapshot_passes(spark):
+    rows = cleaning.snapshot_rows(text_rows(spark).where("false"))
+    assert snapshot.overall(rows).first().total_transactions == 0

@@ -1,9 +1,14 @@
+import csv
+import os
+import random
 from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import types as T
 
 from paygrain import model
+from paygrain.operators import quality
 from paygrain.operators.cleaning import clean_transactions
 from paygrain.plans import reports
 from paygrain.plans.pipeline import build_processed
@@ -85,8 +90,6 @@ def test_column_mapping_load(spark, tmp_path):
     row = loaded.first()
     assert (row.merchant_status, row.registration_date) == ("Active", date(2024, 1, 1))
     flags = spark.createDataFrame([(" True ", "False", "1")], "a string, b string, c string")
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField(n, T.BooleanType()) for n in "abc"])
     assert tuple(files.load_mapped(flags, schema).first()) == (True, False, False)
 
@@ -250,11 +253,196 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     batch = spark.read.parquet(source)
     refresh.add_batch(batch, 0, root, ["amount"])
     refresh.add_batch(batch, 0, root, ["amount"])
-    assert refresh.fact(spark, f"{root}/accepted").count() == 1
+    assert files.read_processed(spark, root)["transactions"].count() == 1
+    assert files.latest(spark, root)["number"] == 1
     status = spark.read.parquet(f"{files.current(spark, root)}/status_distribution")
     assert [tuple(r) for r in status.collect()] == [("Completed", 1)]
 
 
+def batch_of(spark, ids, amount="10"):
+    rows = [(f"T{i}", "2026-01-01", amount, "Completed", "C1", "M1", "Shop", "Retail") for i in ids]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_batches_are_merged_and_stay_whole(spark, tmp_path, monkeypatch):
+    """After several merges every row, id and count is there once."""
+    monkeypatch.setattr(refresh, "FAN_IN", 2)
+    monkeypatch.setattr(refresh, "BUCKETS", 4)
+    root = str(tmp_path / "out")
+    for n in range(5):
+        ids = range(n * 3, n * 3 + 5)  # two of them known from the batch before
+        refresh.add_batch(batch_of(spark, ids, amount=f"{n + 1}"), n, root, ["amount"])
+    state = files.latest(spark, root)
+    assert all(len(state[name]) <= 3 for name in ("ids", "rollups", "facts"))
+    fact = files.read_processed(spark, root)["transactions"]
+    got = {r.transaction_id: int(r.amount) for r in fact.collect()}
+    assert fact.count() == len(got) == 17
+    assert got == {f"T{i}": min(max(0, (i - 2) // 3), 4) + 1 for i in range(17)}
+    status = spark.read.parquet(f"{files.current(spark, root)}/status_distribution")
+    assert [tuple(r) for r in status.collect()] == [("Completed", 17)]
+
+
+def test_a_batch_reads_what_its_ids_touch(spark, tmp_path, monkeypatch):
+    """The same files for a short and a long history; none of other buckets."""
+    monkeypatch.setattr(refresh, "BUCKETS", 16)
+    opened = []
+    for size in (50, 1500):
+        root = str(tmp_path / f"out{size}")
+        refresh.add_batch(batch_of(spark, range(size)), 0, root, ["amount"])
+        batch = batch_of(spark, [7, 5000])
+        seen = refresh.seen_ids(spark, files.latest(spark, root)["ids"], batch)
+        plan = seen._jdf.queryExecution().executedPlan()
+        assert seen.count() < size / 3
+        assert "PartitionFilters: [bucket" in plan.toString().replace("isnotnull(bucket", "bucket")
+        touched = {r.bucket for r in refresh._bucketed(batch).collect()}
+        every = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in seen.inputFiles()}
+        opened.append(len(touched))
+        assert len(every) > len(touched)
+        refresh.add_batch(batch, 1, root, ["amount"])
+        assert files.read_processed(spark, root)["transactions"].count() == size + 1
+    assert opened[0] == opened[1] == len(touched)
+
+
+def test_a_refresh_goes_on_from_a_built_version(spark, tmp_path):
+    root = str(tmp_path / "out")
+    tables, _ = files.read_raw(spark, raw_folder(tmp_path, line(1), line(2, status="Failed")))
+    build_processed(spark, tables, root, "v1")
+    refresh.add_batch(batch_of(spark, [2, 3]), 0, root, ["amount"])
+    processed = files.read_processed(spark, root)
+    assert {name: df.count() for name, df in processed.items()} == {
+        "transactions": 3, "customers": 1, "cards": 1, "merchants": 1
+    }
+    status = spark.read.parquet(f"{files.current(spark, root)}/status_distribution")
+    assert sorted(tuple(r) for r in status.collect()) == [("Completed", 2), ("Failed", 1)]
+
+
+def test_two_writers_and_no_clock(spark, tmp_path):
+    root = str(tmp_path / "out")
+    assert files.publish(spark, root, "a", {}) == 1
+    # Both made theirs from version 1: the second one must not hide the first.
+    assert files.publish(spark, root, "b", {}, after=1) == 2
+    with pytest.raises(files.ConflictError):
+        files.publish(spark, root, "c", {}, after=1)
+    assert files.current(spark, root) == "b"
+    # Numbers decide, not the files' times; a manifest cut off midway is passed over.
+    os.utime(tmp_path / "out/published/000000000001.json", (2**31, 2**31))
+    (tmp_path / "out/published/000000000003.json").write_text('{"number": 3, "fol')
+    assert files.current(spark, root) == "b"
+    assert files.publish(spark, root, "d", {}) == 4
+    assert files.latest(spark, root) == {"number": 4, "folder": "d", "tables": {}}
+
+
+def test_other_errors_are_not_taken_for_a_missing_table(spark, tmp_path):
+    with pytest.raises(files.DatasetError):
+        files.latest(spark, str(tmp_path / "nothing"))
+    with pytest.raises(Exception) as error:
+        files.read_served(spark, "nosuchscheme://a/b")
+    assert not isinstance(error.value, files.DatasetError)
+
+
+RAGGED = (
+    'a,b,c\n1,"two\nlines, here",3\n\n4,"blank\n\n""inside""",6\n'
+    '7,8,9,10\n11,12\n13,"a\nb",14,15\n16,,"x"\n'
+)
+
+
+def cells(df):
+    return [tuple(r)[:3] for r in df.orderBy(files.FILE_ORDER).collect()]
+
+
+@pytest.mark.parametrize("block", ["128m", "16"])
+def test_quoted_line_breaks_and_ragged_rows(spark, tmp_path, block):
+    """Also when the file is read in blocks that end anywhere."""
+    (tmp_path / "t.csv").write_text(RAGGED)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        df = files.read_csv(spark, str(tmp_path / "t.csv"), file_order=True, line_breaks=True)
+        good, bad = cells(files.accepted(df)), cells(files.rejected(df))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert good == [
+        ("1", "two\nlines, here", "3"), ("4", 'blank\n\n"inside"', "6"), ("11", "12", None), ("16", None, "x")
+    ]
+    assert [row[1] for row in bad] == ["7,8,9,10", '13,"a\nb",14,15']
+
+
+def test_quoted_line_breaks_of_many_files(spark, tmp_path):
+    rng = random.Random(3)
+    want = []
+    for name in range(4):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as file:
+            writer = csv.writer(file, lineterminator="\n")
+            writer.writerow(["key", "text"])
+            for i in range(200):
+                text = "".join(rng.choices(["x", "\n", '"', ",", " y"], k=rng.randrange(12)))
+                writer.writerow([f"{name}-{i}", f"t{text}t"])
+                want.append((f"{name}-{i}", f"t{text}t"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = files.read_csv(spark, str(tmp_path), line_breaks=True)
+        assert sorted(tuple(r) for r in files.strict(df).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_quote_that_is_not_closed_spoils_its_line_only(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b\n1,2\n3,"open\n5,6\n')
+    df = files.read_csv(spark, str(tmp_path / "t.csv"), True, line_breaks=True)
+    assert [row[:2] for row in cells(files.accepted(df))] == [("1", "2"), ("5", "6")]
+    assert [row[1] for row in cells(files.rejected(df))] == ['3,"open']
+    df = files.read_csv(spark, str(tmp_path / "t.csv"), True)
+    assert [row[:2] for row in cells(df)] == [("1", "2"), ("3", "open"), ("5", "6")]
+
+
+def test_malformed_rows_are_counted_not_fatal(spark, tmp_path):
+    folder = raw_folder(tmp_path, line(1), line(2) + ",surplus", line(3, name='"two\nlines"'), "T4,K1")
+    tables, problems = files.read_raw(spark, folder, line_breaks=True)
+    assert problems == {}
+    found = {(r.rule, r.dataset, r.column): r.violations for r in quality.rule_counts(tables).collect()}
+    assert found[("V1", "transactions", "")] == 1 and found[("V1", "cards", "")] == 0
+    # The other rules read the three well-formed rows; T4 lacks all but two cells.
+    assert found[("V4", "transactions", "merchant_name")] == 1
+    assert found[("V3", "transactions", "transaction_id")] == 0
+    assert not [key for key in found if key[2].startswith("_")]
+    with pytest.raises(Exception, match="malformed row: T2"):
+        build_processed(spark, tables, str(tmp_path / "out"), "v1")
+    with pytest.raises(files.DatasetError):
+        files.current(spark, str(tmp_path / "out"))
+
+
+def test_rejected_rows_are_kept_beside_the_accepted(spark, tmp_path):
+    folder = raw_folder(tmp_path, line(1), line(2) + ",surplus")
+    tables, _ = files.read_raw(spark, folder)
+    root = str(tmp_path / "out")
+    version = build_processed(spark, tables, root, "v1", keep_rejected=True)
+    assert files.read_processed(spark, root)["transactions"].count() == 1
+    rejected = spark.read.parquet(f"{version}/rejected/transactions")
+    assert [r[files.MALFORMED][:3] for r in rejected.collect()] == ["T2,"]
+    assert spark.read.parquet(f"{version}/rejected/cards").count() == 0
+
+
+def test_mapped_load_with_rejects(spark):
+    schema = "merchant_id string, registration_date string, age string, merchant_status string, extra string"
+    rows = [("M1", " 2024-01-01 ", "7", " Active ", "x"), ("M2", "2024-13-01", "7", None, "x"), ("M3", None, "seven", "a", "x")]
+    target = T.StructType(
+        [
+            T.StructField("merchant_id", T.StringType()),
+            T.StructField("registration_date", T.DateType()),
+            T.StructField("age", T.IntegerType()),
+            T.StructField("merchant_status", T.StringType()),
+        ]
+    )
+    df = spark.createDataFrame(rows, schema)
+    loaded = {r.merchant_id: r for r in files.load_mapped(df, target, rejects=True).collect()}
+    assert tuple(loaded["M1"])[1:] == (date(2024, 1, 1), 7, "Active", [])
+    assert loaded["M2"][files.REJECTED] == ["registration_date"] and loaded["M2"].age == 7
+    assert loaded["M3"][files.REJECTED] == ["age"] and loaded["M3"].registration_date is None
+    with pytest.raises(Exception):
+        files.load_mapped(df, target).collect()
+
+
 def test_checkpoint_root_comes_from_the_session(spark):
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
