@@ -18,17 +18,21 @@ result; other columns are not read.
 from __future__ import annotations
 
 import json
+import re
+import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrain.llm.byte_units import PartCache, encoding, read_ranks
+from paygrain.llm.store import saved, small_batches
 
 VOCABULARY = 16_384
 RANK_BUCKETS = 1 << 13
@@ -99,12 +103,14 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
         import regex
 
         words = regex.compile(pattern).findall
+        # A space before white space or the end, which belong together.
+        hanging = re.compile(r" (?=\s|\Z)").search
         parts: Counter[str] = Counter()
         found: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
             for part, n in parts.items():
-                for word in words(part):
+                for word in words(" " + part):
                     found[word] += n
             batch = pa.RecordBatch.from_arrays(
                 [pa.array([w.encode() for w in found], pa.binary()), pa.array(list(found.values()), pa.int64())],
@@ -116,12 +122,13 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
         for batch in batches:
             for value in batch.column(0):
-                first, *rest = (value.as_py() or "").split(" ")
-                if any(not part or part[0].isspace() for part in rest):
-                    found.update(words(value.as_py()))
+                text = value.as_py() or ""
+                if hanging(text):
+                    found.update(words(text))
                 else:
-                    parts[first] += 1
-                    parts.update([" " + part for part in rest])
+                    first, *rest = text.split(" ")
+                    found.update(words(first))
+                    parts.update(rest)
                 if len(parts) > FLUSH_PARTS:
                     yield flush()
         yield flush()
@@ -131,13 +138,16 @@ def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def folded_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = VOCABULARY) -> DataFrame:
-    """(word, ids) of the most frequent words, folded by Spark."""
-    frequent = (
-        word_counts(docs, pattern)
-        .where(F.octet_length("word").between(1, FOLD_BYTES))
-        .orderBy(F.col("n").desc(), "word")
-        .limit(size)
+    """(word, ids) of the most frequent words, at most ``size``, folded by Spark."""
+    counts = saved(
+        word_counts(docs, pattern).where(F.octet_length("word").between(1, FOLD_BYTES)), "word-counts"
     )
+    # Whole classes of equally frequent words, as many as fit. There are few classes.
+    classes = counts.groupBy("n").agg(F.count("*").alias("words"))
+    above = Window.orderBy(F.col("n").desc())
+    fitting = classes.withColumn("held", F.sum("words").over(above)).where(F.col("held") <= size)
+    least = fitting.agg(F.min("n")).first()[0]
+    frequent = counts.where(F.lit(False) if least is None else F.col("n") >= least)
     words = [bytes(row.word) for row in frequent.select("word").collect()]
     # Merges only ever make parts of a word, so the literal needs no other ranks.
     parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
@@ -159,7 +169,7 @@ def text_encoder(vocabulary: dict[bytes, bytes], ranks: dict[bytes, int], patter
     def word_ids(word: str) -> bytes:
         data = word.encode()
         ids = vocabulary.get(data)
-        return ids if ids is not None else np.asarray(encoder.encode_ordinary(word), "<u4").tobytes()
+        return ids if ids is not None else as_bytes(encoder.encode_ordinary(word))
 
     def part_ids(part: str) -> bytes:
         return b"".join([word_ids(word) for word in words(part)])
@@ -181,6 +191,7 @@ class Codec:
     """What tasks need to encode and decode: bounded by the two vocabulary sizes."""
 
     def __init__(self, docs: DataFrame, ranks_path: str, pattern: str, vocabulary: int = VOCABULARY):
+        small_batches(docs.sparkSession)
         self.ranks, self.pattern = read_ranks(ranks_path), pattern
         rows = folded_vocabulary(docs, self.ranks, pattern, vocabulary).collect()
         self.words = {bytes(r.word): np.asarray(r.ids, "<u4").tobytes() for r in rows}
@@ -246,5 +257,13 @@ def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     return pieces
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def decode(ids: bytes, pieces: list[bytes]) -> bytes:
     return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
