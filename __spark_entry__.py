@@ -31,11 +31,14 @@ from paygrain.operators import (
 from paygrain.plans import reports, rollups, snapshot
 from paygrain.sources import orders_feed as feed
 
-# The pipeline operators are a part of their own: without it, all else works.
+# The pipeline operators are a part of their own: without it, all else works. An import
+# that fails inside it is an error.
 try:
     import corpus_pipeline  # noqa: F401
-    from paygrain.llm import queries as llm
-except ImportError:
+    import paygrain.llm.queries as llm
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "paygrain.llm", "paygrain.llm.queries"):
+        raise
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,9 +102,36 @@ def _scored(df: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def _page(tx: DataFrame) -> DataFrame:
+def _with_shops(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+    shops = feed.merchants(spark, sf).select(
+        "merchant_id",
+        "merchant_name",
+        F.col("city").alias("merchant_city"),
+        F.col("state").alias("merchant_state"),
+    )
+    return lambda rows: rows.join(shops, "merchant_id", "left")
+
+
+def _page(spark: SparkSession, sf: str) -> DataFrame:
+    tx = feed.transactions(spark, sf, card=True)
     chosen = filters.filter_ci(tx, " health & wellness", "COMPLETED", "axis bank ")
-    return _plain_amount(filters.page(chosen, limit=50, offset=100))
+    shops = _with_shops(spark, sf)
+    return _plain_amount(filters.page(chosen, limit=50, offset=100, complete=shops))
+
+
+def _deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Bank and card of the page's rows only, too; no filter reads them."""
+    tx = feed.transactions(spark, sf)
+    orders = feed.table(spark, sf, "orders")
+    shops = _with_shops(spark, sf)
+    return _plain_amount(
+        filters.page(
+            tx,
+            limit=100,
+            offset=20_000,
+            complete=lambda rows: shops(feed.with_card(rows, orders)),
+        )
+    )
 
 
 def _fact_anomalies(tx: DataFrame) -> DataFrame:
@@ -317,7 +347,8 @@ def _reference_queries() -> dict[str, Query]:
         "service_categories": _on_fact(reports.service_categories),
         "service_banks": _on_fact(reports.service_banks, card=True),
         "service_merchants": _on_fact(reports.service_merchants, merchant=True),
-        "transaction_page": _on_fact(_page, card=True, merchant_place=True),
+        "transaction_page": _page,
+        "transaction_deep_page": _deep_page,
         "frequent_method": _on_fact(
             lambda tx: measures.most_frequent(tx, "payment_method")
         ),

@@ -530,6 +530,149 @@ _CHOSEN = (
     "AND bank_name IN ('HDFC Bank', 'Axis Bank')"
 )
 
+
+# --- synthetic tables -------------------------------------------------------
+
+_PLACES = (
+    ("Hyderabad", "Telangana"), ("Bengaluru", "Karnataka"), ("Mumbai", "Maharashtra"),
+    ("Chennai", "Tamil Nadu"), ("Delhi", "Delhi"), ("Pune", "Maharashtra"),
+    ("Kolkata", "West Bengal"), ("Ahmedabad", "Gujarat"), ("Jaipur", "Rajasthan"),
+    ("Lucknow", "Uttar Pradesh"),
+)
+_OCCUPATIONS = (
+    "Software Engineer", "Doctor", "Teacher", "Data Analyst", "Bank Manager", "Student",
+    "Business Owner", "Accountant", "Civil Engineer", "Marketing Executive",
+)
+
+
+def _draw(seed: int, what: str, *keys: str) -> str:
+    key = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    digest = f"md5('{seed}:{what}:' || {key})"
+    return f"(CAST('0x' || substr({digest}, 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def _between(draw: str, low: int, high: int) -> str:
+    return f"CAST(floor({draw} * {high - low + 1}) + {low} AS INTEGER)"
+
+
+def _choice(draw: str, options) -> str:
+    listed = ", ".join(f"'{option}'" for option in options)
+    return f"([{listed}])[{_between(draw, 1, len(options))}]"
+
+
+def _weighted(draw: str, weights: dict[str, int]) -> str:
+    arms, reached = [], 0.0
+    names = list(weights)
+    for name in names[:-1]:
+        reached += weights[name] / sum(weights.values())
+        arms.append(f"WHEN {draw} < CAST('{reached!r}' AS DOUBLE) THEN '{name}'")
+    return f"CASE {' '.join(arms)} ELSE '{names[-1]}' END"
+
+
+def _digits(draw: str) -> str:
+    return f"lpad(CAST(CAST(floor({draw} * 10000000000) AS BIGINT) AS VARCHAR), 10, '0')"
+
+
+_CITIES, _STATES = zip(*_PLACES, strict=True)
+_STATUS = {"Completed": 72, "Pending": 12, "Failed": 8, "Refunded": 6, "Disputed": 2}
+_LEISURE_STATUS = {"Completed": 68, "Pending": 14, "Failed": 10, "Refunded": 6, "Disputed": 2}
+_KINDS = {"Purchase": 70, "Refund": 12, "Bill Payment": 8, "Wallet Top-up": 5, "Merchant Payment": 5}
+
+
+def _spent(low: int, high: int) -> str:
+    return f"CAST({low} + {_draw(45, 'amount', 'card_id', 'nth')} * {high - low} AS DECIMAL(12, 2))"
+
+
+_SYNTHETIC = f"""
+made_customers AS (
+  SELECT id, {_padded('C', 'id', 6)} AS customer_id, 'Given' || CAST(id AS VARCHAR) AS first_name,
+         'Family' || CAST(id AS VARCHAR) AS last_name,
+         {_choice(_draw(42, 'gender', 'id'), ('Male', 'Female'))} AS gender,
+         {_between(_draw(42, 'age', 'id'), 18, 70)} AS age,
+         'customer' || CAST(id AS VARCHAR) || '@example.com' AS email,
+         {_digits(_draw(42, 'phone', 'id'))} AS phone,
+         {_choice(_draw(42, 'place', 'id'), _CITIES)} AS city,
+         {_choice(_draw(42, 'place', 'id'), _STATES)} AS state,
+         {_choice(_draw(42, 'occupation', 'id'), _OCCUPATIONS)} AS occupation,
+         {_between(_draw(42, 'income', 'id'), 300000, 3000000)} AS annual_income,
+         {_REFERENCE} - {_between(_draw(42, 'since', 'id'), 0, 1095)} AS registration_date
+  FROM (SELECT c_custkey + 1 AS id FROM customer)
+),
+made_merchants AS (
+  SELECT {_padded('M', 'id', 6)} AS merchant_id, 'Merchant ' || CAST(id AS VARCHAR) AS merchant_name,
+         {_choice(_draw(44, 'category', 'id'), CATEGORIES)} AS merchant_category,
+         {_choice(_draw(44, 'place', 'id'), _CITIES)} AS city,
+         {_choice(_draw(44, 'place', 'id'), _STATES)} AS state,
+         'Contact ' || CAST(id AS VARCHAR) AS contact_person,
+         'merchant' || CAST(id AS VARCHAR) || '@example.com' AS email,
+         {_digits(_draw(44, 'phone', 'id'))} AS phone,
+         {_REFERENCE} - {_between(_draw(44, 'since', 'id'), 0, 1825)} AS registration_date,
+         {_choice(_draw(44, 'status', 'id'), ('Active', 'Pending', 'Suspended'))} AS merchant_status
+  FROM (SELECT s_suppkey + 1 AS id FROM supplier)
+),
+held AS (
+  SELECT id, customer_id, city, state, nth, (id - 1) * 3 + nth AS number
+  FROM made_customers, unnest(range(1, {_between(_draw(43, 'cards', 'customer_id'), 1, 3)} + 1)) AS n(nth)
+),
+made_cards AS (
+  SELECT number, city, state, {_padded('CARD', 'number', 6)} AS card_id, customer_id,
+         {_choice(_draw(43, 'type', 'customer_id', 'nth'), ('Debit', 'Credit'))} AS card_type,
+         {_choice(_draw(43, 'bank', 'customer_id', 'nth'), BANKS)} AS bank_name, 'Visa' AS card_network,
+         {_REFERENCE} - {_between(_draw(43, 'issue', 'customer_id', 'nth'), 0, 1095)} AS issue_date,
+         {_REFERENCE} + {_between(_draw(43, 'expiry', 'customer_id', 'nth'), 365, 2190)} AS expiry_date,
+         {_choice(_draw(43, 'status', 'customer_id', 'nth'), ('Active', 'Blocked', 'Expired'))} AS card_status
+  FROM held
+),
+used AS (
+  SELECT *, CASE card_status WHEN 'Blocked' THEN {_between(_draw(45, 'uses', 'card_id'), 0, 4)}
+                 WHEN 'Expired' THEN {_between(_draw(45, 'uses', 'card_id'), 0, 2)}
+                 ELSE {_between(_draw(45, 'uses', 'card_id'), 4, 18)} END AS uses
+  FROM made_cards
+),
+shops AS (
+  SELECT *, row_number() OVER (ORDER BY merchant_id) - 1 AS place FROM made_merchants
+),
+visits AS (
+  SELECT u.number * 18 - 18 + n.nth AS tx_number, u.card_id, u.customer_id, n.nth, u.bank_name, u.card_type,
+         u.city AS customer_city, u.state AS customer_state,
+         CAST(floor({_draw(45, 'merchant', 'u.card_id', 'n.nth')} * (SELECT count(*) FROM shops)) AS BIGINT) AS place
+  FROM used u, unnest(range(1, u.uses + 1)) AS n(nth)
+),
+drawn AS (
+  SELECT v.*, s.merchant_id, s.merchant_name, s.merchant_category, s.city AS merchant_city,
+         s.state AS merchant_state,
+         CASE WHEN merchant_category IN ('Travel', 'Entertainment')
+              THEN {_weighted(_draw(45, 'status', 'card_id', 'nth'), _LEISURE_STATUS)}
+              ELSE {_weighted(_draw(45, 'status', 'card_id', 'nth'), _STATUS)} END AS transaction_status,
+         {_weighted(_draw(45, 'type', 'card_id', 'nth'), _KINDS)} AS transaction_type,
+         CASE WHEN merchant_category IN ('Grocery', 'Restaurants', 'Retail') THEN {_spent(80, 3500)}
+              WHEN merchant_category IN ('Education', 'Online Services', 'Health & Wellness') THEN {_spent(200, 6000)}
+              ELSE {_spent(300, 10000)} END AS spent
+  FROM visits v JOIN shops s USING (place)
+),
+made_transactions AS (
+  SELECT {_padded('TXN', 'tx_number', 9)} AS transaction_id, card_id, customer_id, merchant_id,
+         merchant_name, merchant_category,
+         {_REFERENCE} - {_between(_draw(45, 'day', 'card_id', 'nth'), 0, 540)} AS transaction_date,
+         CAST(CASE WHEN transaction_type = 'Refund' AND transaction_status = 'Completed'
+              THEN CAST(CAST(spent AS DOUBLE) * (CAST('0.1' AS DOUBLE)
+                + {_draw(45, 'refund', 'card_id', 'nth')} * CAST('{0.6 - 0.1!r}' AS DOUBLE)) AS DECIMAL(12, 2))
+              ELSE spent END AS DOUBLE) AS amount,
+         'INR' AS currency, transaction_type, transaction_status,
+         CASE WHEN card_type = 'Credit'
+              THEN {_choice(_draw(45, 'method', 'card_id', 'nth'), ('Chip', 'Contactless', 'Online', 'EMV'))}
+              ELSE {_choice(_draw(45, 'method', 'card_id', 'nth'), ('Chip', 'Contactless', 'Online', 'ATM'))}
+              END AS payment_method,
+         merchant_city, merchant_state, bank_name, card_type, customer_city, customer_state,
+         'Synthetic payment ' || CAST(nth AS VARCHAR) AS description
+  FROM drawn
+)"""
+
+
+def _made(table: str, hidden: str = "") -> str:
+    return f"WITH {_SYNTHETIC.lstrip()}\nSELECT * {hidden} FROM made_{table}"
+
+
 _ALL_GRAINS = f"""
 SELECT 'overall' AS grain, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS category,
        count(*) AS transaction_count, {_GOOD} AS completed_transactions,
@@ -646,6 +789,16 @@ SELECT (SELECT count(*) FROM wanted) AS total, 50 AS "limit", 100 AS "offset",
        transaction_status, payment_method, merchant_city, merchant_state, bank_name,
        card_type
 FROM wanted ORDER BY transaction_id LIMIT 50 OFFSET 100"""),
+    "transaction_deep_page": _tx("""
+, wanted AS (
+  SELECT * FROM tx
+)
+SELECT (SELECT count(*) FROM wanted) AS total, 100 AS "limit", 20000 AS "offset",
+       transaction_id, merchant_id, merchant_name, merchant_category,
+       transaction_date, CAST(amount AS DOUBLE) AS amount, currency, transaction_type,
+       transaction_status, payment_method, merchant_city, merchant_state, bank_name,
+       card_type
+FROM wanted ORDER BY transaction_id LIMIT 100 OFFSET 20000"""),
     "frequent_method": _tx("""
 SELECT payment_method FROM tx GROUP BY payment_method
 ORDER BY count(*) DESC, payment_method LIMIT 1"""),
@@ -1013,6 +1166,10 @@ FROM documents d JOIN names n ON contains({_form('d.text')}, {_form('n.name')})"
     "sanitized_messages": f"""
 SELECT conv_id, turn, {_redacted('text')} AS content, role, role AS speaker
 FROM conversations""",
+    "synthetic_customers": _made("customers", "EXCLUDE (id) REPLACE (CAST(annual_income AS DOUBLE) AS annual_income)"),
+    "synthetic_cards": _made("cards", "EXCLUDE (number, city, state)"),
+    "synthetic_merchants": _made("merchants"),
+    "synthetic_transactions": _made("transactions"),
     "quality_of_synthetic_tables": _with_dims(f"""
 SELECT rule, dataset, "column", CAST(0 AS BIGINT) AS violations
 FROM ({_quality({**_CLEAN_SET, "transactions": "described"})}) rules"""),

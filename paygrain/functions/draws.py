@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def uniform(seed: int, what: str, *key: Column) -> Column:
-    """A double in [0, 1) from a hash, the same under any partitioning."""
-    bits = F.xxhash64(F.lit(seed), F.lit(what), *key)
-    return F.shiftrightunsigned(bits, 11).cast("double") * F.lit(2.0**-53)
+    """A double in [0, 1) from 52 bits of an MD5, the same under any partitioning."""
+    parts = [F.coalesce(part.cast("string"), F.lit("")) for part in key]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(what), *parts))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
 
 
 def between(draw: Column, low: int, high: int) -> Column:

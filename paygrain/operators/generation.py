@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from paygrain import model
 from paygrain.functions.draws import between, choice, uniform, weighted
 from paygrain.functions.values import money
-from paygrain.operators.enrichment import owned_cards, with_merchant
+from paygrain.operators.enrichment import owned_cards
+from paygrain.operators.filters import with_place
 
 # Seeds, value lists, weights, ranges.
 CUSTOMER_SEED = 42
@@ -80,6 +81,9 @@ ACTIVE_CARD_USES = (4, 18)
 MAX_CARDS = 3
 HISTORY_DAYS = 540
 
+# Characters that merchant ids of one range, and of one group of ranges, share.
+MERCHANT_RANGES = (5, 3)
+
 
 def identifier(prefix: str, index: Column, width: int) -> Column:
     """Zero-padded id that grows past its usual width instead of being cut."""
@@ -240,12 +244,11 @@ def transactions(
     merchants: DataFrame,
     seed: int = TRANSACTION_SEED,
     reference_date: date = model.REFERENCE_DATE,
-    first_merchant: int = 1,
 ) -> DataFrame:
     """Transactions per card by card status, each at a random merchant.
 
-    Merchant ids are numbered without gaps from ``first_merchant``, so a draw
-    names one directly and its attributes come by an ordinary key join.
+    A draw is a merchant's place in the order of the ids, whatever these are;
+    its attributes come by an ordinary join on the place.
     """
     merchant_count = merchants.select(F.count(F.lit(1))).scalar()
     card = F.col("card_id")
@@ -260,10 +263,19 @@ def transactions(
     def draw(what: str) -> Column:
         return uniform(seed, what, card, F.col("_nth"))
 
-    index = F.floor(draw("merchant") * merchant_count).cast("long") + first_merchant
-    placed = with_merchant(
-        rows.withColumn("merchant_id", identifier("M", index, 6)), merchants
+    index = F.floor(draw("merchant") * merchant_count).cast("long")
+    shops = with_place(
+        merchants.select(
+            "merchant_id",
+            "merchant_name",
+            "merchant_category",
+            F.col("city").alias("merchant_city"),
+            F.col("state").alias("merchant_state"),
+        ),
+        "merchant_id",
+        *MERCHANT_RANGES,
     )
+    placed = rows.withColumn("_index", index).join(shops, F.col("_index") == F.col("_place"))
     category = F.col("merchant_category")
     status = F.when(
         category.isin(*LEISURE), weighted(draw("status"), LEISURE_STATUS_WEIGHTS)

@@ -160,17 +160,28 @@ def repeated_questions(df: DataFrame) -> DataFrame:
     meets one row, and Spark splits its own rows over several tasks.
     """
     user = df.where((F.col("role") == "user") & F.col("text").isNotNull())
-    asked = F.sha2(casefold(M.redact(strip(F.col("text")))), 256)
-    said = user.select("conv_id", "turn", asked.alias("_digest"))
+    said = user.select("conv_id", "turn", _asked_digest(M.redact(strip(F.col("text")))))
+    return _with_repeats(said, df).select("conv_id", "turn", "is_repeat")
+
+
+def _asked_digest(question: Column) -> Column:
+    return F.sha2(casefold(question), 256).alias("_digest")
+
+
+def _with_repeats(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, _digest, ...) with a flag for texts said before in ``df``.
+
+    Rows stay as they are, also those of one turn; a null conversation is one too.
+    """
+    user = df.where((F.col("role") == "user") & F.col("text").isNotNull())
     first = (
-        user.select("conv_id", "turn", F.sha2(casefold(F.col("text")), 256).alias("_digest"))
-        .groupBy("conv_id", "_digest")
+        user.select(F.col("conv_id").alias("_conv"), "turn", _asked_digest(F.col("text")).alias("_said"))
+        .groupBy("_conv", "_said")
         .agg(F.min("turn").alias("_first"))
     )
-    return said.join(first, ["conv_id", "_digest"], "left").select(
-        "conv_id",
-        "turn",
-        F.coalesce(F.col("_first") < F.col("turn"), F.lit(False)).alias("is_repeat"),
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_digest") == F.col("_said"))
+    return rows.join(first, same, "left").withColumn(
+        "is_repeat", F.coalesce(F.col("_first") < F.col("turn"), F.lit(False))
     )
 
 
@@ -196,7 +207,7 @@ def support_answers(
             "_said_topic": M.best_topic(raw, keywords, priority),
             "_asked": M.redact(strip(raw)),
         }
-    )
+    ).withColumn("_digest", _asked_digest(F.col("_asked")))
     routed = with_follow_up(
         route(read, keywords, priority, "_asked"), shapes, "_asked"
     )
@@ -214,11 +225,11 @@ def support_answers(
     carried = carry_forward(
         routed.withColumn("_labels", F.map_from_entries(labels)),
         said="_said_topic",
-        keep=("_labels", "_usable"),
+        keep=("_labels", "_usable", "_digest"),
     ).where("_usable")
     resolved = F.col("resolved_topic")
     special = F.try_element_at("_labels", resolved)
-    return carried.join(repeated_questions(df), ["conv_id", "turn"]).select(
+    return _with_repeats(carried, df).select(
         "conv_id",
         "turn",
         "resolved_topic",

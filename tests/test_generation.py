@@ -1,7 +1,6 @@
-import struct
+import hashlib
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from paygrain import model
@@ -70,12 +69,21 @@ def test_draws_match_another_implementation(spark):
         "id", uniform(seed, tag, F.col("id"), F.lit("K1")).alias("u")
     )
     for row in got.collect():
-        # Spark chains the columns: each hash is the seed of the next.
-        bits = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
-        bits = xxhash.xxh64_intdigest(tag.encode(), bits)
-        bits = xxhash.xxh64_intdigest(struct.pack("<q", row.id), bits)
-        bits = xxhash.xxh64_intdigest(b"K1", bits)
-        assert row.u == (bits >> 11) * 2.0**-53
+        digest = hashlib.md5(f"{seed}:{tag}:{row.id}:K1".encode()).hexdigest()
+        assert row.u == int(digest[:13], 16) / 2**52
+
+
+def test_gaps_in_merchant_ids_leave_no_row_without_a_merchant(spark, tables):
+    few = tables["merchants"].where("merchant_id IN ('M000003', 'M000017', 'M000041')")
+    odd = few.withColumn("merchant_id", F.concat("merchant_id", F.lit("-x")))
+    for shops in (few, odd):
+        tx = generation.transactions(tables["cards"], tables["customers"], shops)
+        used = {r.merchant_id: r["count"] for r in tx.groupBy("merchant_id").count().collect()}
+        assert set(used) == {r.merchant_id for r in shops.collect()}
+        assert sum(used.values()) == tables["transactions"].count()
+        assert min(used.values()) > 0.8 * max(used.values())
+    none = generation.transactions(tables["cards"], tables["customers"], few.where("false"))
+    assert none.count() == 0
 
 
 def test_weights(spark):

@@ -211,3 +211,27 @@ def test_monthly_reports_differ_on_months_without_success(spark):
     assert reports.monthly_trend(tx).count() == 2
     assert reports.document_monthly(tx).count() == 1
     assert reports.dashboard_monthly(tx).count() == 2
+
+
+@pytest.mark.parametrize("shallow", [10_000, 0])
+def test_pages_at_any_offset(spark, monkeypatch, shallow):
+    """By top-k and by counts per range of ids; ids of all shapes, repeated and null."""
+    monkeypatch.setattr(filters, "SHALLOW", shallow)
+    ids = [f"TXN{i:012d}" for i in range(0, 4000, 7)] + ["B", "A99999", "TXN", "TXN1", None, "é" * 12]
+    ids += ["TXN000000000007"] * 3
+    base = served(spark).limit(1).drop("transaction_id")
+    tx = spark.createDataFrame([(i,) for i in ids], "transaction_id string").crossJoin(base)
+    ordered = sorted(ids, key=lambda i: (i is not None, (i or "").encode()))
+    for offset in (0, 1, 3, 95, 571, 580, 5000):
+        page = filters.page(tx, 10, offset).collect()
+        assert [r.transaction_id for r in page] == ordered[offset : offset + 10]
+        assert {r.total for r in page} <= {len(ids)}
+    after = filters.page(tx, 3, after="TXN000000003990", complete=lambda rows: rows).collect()
+    assert [r.transaction_id for r in after] == ["TXN000000003997", "TXN1", "é" * 12]
+
+
+def test_a_deep_page_moves_few_wide_rows(spark, monkeypatch):
+    """Before the page is cut out only ids and counts travel, and nothing is gathered."""
+    monkeypatch.setattr(filters, "SHALLOW", 0)
+    plan = filters.page(served(spark), 10, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Offset" not in plan and "GlobalLimit" not in plan
