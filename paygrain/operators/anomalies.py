@@ -68,11 +68,7 @@ def known_anomalies(
     slack = 1e-9 * (abs(mean) + far)
     low = _bound(df, column, mean - far + slack, ROUND_CEILING)
     high = _bound(df, column, mean + far - slack, ROUND_FLOOR)
-    outside = F.lit(False)
-    if low is not None:
-        outside = outside | (F.col(column) <= low)
-    if high is not None:
-        outside = outside | (F.col(column) >= high)
+    outside = (F.col(column) <= low) | (F.col(column) >= high)
     score = (F.col(column).cast("double") - F.lit(mean)) / F.lit(std)
     return (
         df.where(outside)
@@ -83,10 +79,12 @@ def known_anomalies(
     )
 
 
-def _bound(df: DataFrame, column: str, value: float, rounding: str) -> Column | None:
-    """A literal of the column's own type; None if no value lies beyond it."""
+def _bound(df: DataFrame, column: str, value: float, rounding: str) -> Column:
+    """A literal of the column's own type; the outermost one if the value lies beyond."""
     kind = df.schema[column].dataType
     if not isinstance(kind, T.DecimalType):
         return F.lit(value)
-    cents = Decimal(value).quantize(Decimal(1).scaleb(-kind.scale), rounding)
-    return F.lit(cents).cast(kind) if abs(cents) < 10 ** (kind.precision - kind.scale) else None
+    unit = Decimal(1).scaleb(-kind.scale)
+    most = Decimal(10) ** (kind.precision - kind.scale) - unit
+    clamped = max(-most, min(most, Decimal(value)))
+    return F.lit(clamped.quantize(unit, rounding)).cast(kind)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paygrain import model
 from paygrain.operators import filters, measures
-from paygrain.operators.anomalies import amount_anomalies
+from paygrain.operators.anomalies import amount_anomalies, known_anomalies
 from paygrain.plans import reports
 from tests.conftest import rows
 from tests.fixtures import served, served_row
@@ -235,3 +235,29 @@ def test_a_deep_page_moves_few_wide_rows(spark, monkeypatch):
     monkeypatch.setattr(filters, "SHALLOW", 0)
     plan = filters.page(served(spark), 10, 20)._jdf.queryExecution().optimizedPlan().toString()
     assert "Offset" not in plan and "GlobalLimit" not in plan
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "double"])
+def test_known_bounds_find_the_same_anomalies(spark, tmp_path, kind):
+    """The scores' threshold as bounds of the column: equality counts, row groups are skipped."""
+    amounts = [100.0] * 4000 + [90.0] * 4000 + [110.0] * 4000 + [9000.0, 9000.0, 0.01]
+    tx = spark.createDataFrame(list(enumerate(amounts)), "id int, amount double").selectExpr(
+        "concat('T', id) AS transaction_id", f"CAST(amount AS {kind}) AS amount"
+    )
+    path = str(tmp_path / "fact")
+    tx.orderBy("amount").coalesce(1).write.option("parquet.block.size", 4096).parquet(path)
+    fact = spark.read.parquet(path)
+    stats = measures.spread(fact, "amount").first()
+    wanted = amount_anomalies(fact).collect()
+    found = known_anomalies(fact, stats.mean, stats.std)
+    assert [r.transaction_id for r in found.collect()] == [r.transaction_id for r in wanted]
+    assert len(wanted) == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(LessThanOrEqual(amount" in plan or "GreaterThanOrEqual(amount" in plan
+    for edge in (9000.0, 0.01):
+        spread = abs(edge - 100.0) / 2.0
+        exact = known_anomalies(fact, 100.0, spread, 2.0).collect()
+        assert edge in {float(r.amount) for r in exact}
+    assert known_anomalies(fact, 100.0, 0.0).collect() == []
+    assert known_anomalies(fact, None, None).collect() == []
+    assert known_anomalies(fact, 1e12, 1.0).count() == 12003
