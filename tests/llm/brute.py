@@ -310,3 +310,33 @@ def owned_secrets(rows, owners=2, repositories=8):
                 spans.add((start, 4, end))
         out.append((doc_id, sorted(spans)))
     return out
+
+
+def language(model, text):
+    """(language, score) of a text, n-gram by n-gram."""
+    text = text or ""
+    points = [0, *[ord(low) if len(low := c.lower()) == 1 and c.isalpha() else ord(c) if c.isalpha() else 0 for c in text], 0]
+    grams = []
+    for n in (1, 2, 3, 4):
+        for i in range(len(points) - n + 1):
+            gram = points[i : i + n]
+            inner = gram if n == 1 else gram[1:-1]
+            if not all(inner) or not any(gram):
+                continue
+            code = n * 0x85EBCA6B % 2**32
+            for point in gram:
+                code = (code ^ (point * 0x9E3779B1 + 0x7F4A7C15) % 2**32) * 0xC2B2AE35 % 2**32
+                code ^= code >> 15
+            grams.append(code % 2**15)
+    if not grams:
+        return "und", 0.0
+    size = len(model.languages)
+    means, familiar = [0.0] * size, [0.0] * size
+    for bucket in grams:
+        for k in range(size):
+            means[k] += float(model.weights[bucket][k]) / len(grams)
+            familiar[k] += float(model.likely[bucket][k]) / len(grams)
+    raised = [math.exp((m + float(b)) / model.temperature) for m, b in zip(means, model.bias, strict=True)]
+    best = max(range(size), key=raised.__getitem__)
+    known = 1 / (1 + math.exp(model.slope * (model.bar - familiar[best])))
+    return model.languages[best], raised[best] / sum(raised) * known

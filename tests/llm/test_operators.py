@@ -134,6 +134,18 @@ def test_language_of_awkward_rows(awkward, empty):
     assert language_id.identified(empty, model).count() == 0
 
 
+def test_language_agrees_with_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    given = [t for _, t in documents(sf) if len(t) < 3000][:40] + [t for _, t in texts() if len(t or "") < 3000]
+    given += ["a", "1a", "ß x", "İ", "x\0y", "..", None]
+    names, scores, accepted = language_id.predict_texts(model, given)
+    want = [brute.language(model, t) for t in given]
+    assert names == [name for name, _ in want]
+    assert np.allclose(scores, [score for _, score in want], atol=1e-6)
+    assert accepted.tolist() == [score >= model.threshold for _, score in want]
+
+
 def test_long_texts_have_the_same_grams(monkeypatch):
     text = "Ünd ein Wort, " * 50
     whole = language_id.bucket_counts(text)
