@@ -259,6 +259,18 @@ def raw_transactions(spark: SparkSession, sf_dir: str, **lookups: bool) -> DataF
     return wide.select(*[name for name in TRANSACTION_COLUMNS if name in wide.columns])
 
 
+def with_card(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """Bank and card type of transactions, by the order in their id."""
+    key = F.floor(F.substring("transaction_id", 4, 20).cast("long") / 10)
+    digit = F.substring("o_orderpriority", 1, 1).cast("int")
+    held = orders.select(
+        F.col("o_orderkey").alias("_order"),
+        _bank(digit).alias("bank_name"),
+        _card_type(F.col("o_custkey"), digit).alias("card_type"),
+    )
+    return rows.join(held, key == F.col("_order"), "left").drop("_order")
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     balance = money(F.col("c_acctbal"))
