@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paygrain.llm.byte_units import PartCache, encoding, read_ranks
+from paygrain.llm.byte_units import CACHE_ENTRIES, PartCache, encoding, read_ranks
 from paygrain.llm.store import saved, small_batches
 
 VOCABULARY = 16_384
@@ -159,6 +159,29 @@ def folded_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, si
 # --- texts ------------------------------------------------------------------------
 
 
+class RecentParts(PartCache):
+    """A PartCache that keeps what was used lately when it is full.
+
+    Its entries then become the old ones, and those asked for again are taken from there:
+    rare parts make up most of a cache, and frequent ones need not be encoded anew.
+    """
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__(make)
+        self.old: dict[str, object] = {}
+
+    def __missing__(self, part: str) -> object:
+        if part in self.old:
+            value = self.old[part]
+        else:
+            value = None if not part or part[0].isspace() else self.make(" " + part)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[part] = value
+        return value
+
+
 def text_encoder(vocabulary: dict[bytes, bytes], ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian unsigned 32-bit integers."""
     import regex
@@ -175,7 +198,7 @@ def text_encoder(vocabulary: dict[bytes, bytes], ranks: dict[bytes, int], patter
         return b"".join([word_ids(word) for word in words(part)])
 
     # Kept for one task: workers live on, and each corpus has a vocabulary of its own.
-    cache = PartCache(part_ids)
+    cache = RecentParts(part_ids)
 
     def encode(text: str) -> bytes:
         first, *rest = text.split(" ")

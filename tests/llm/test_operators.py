@@ -169,6 +169,14 @@ def test_byte_bpe_of_awkward_rows(awkward, empty):
     assert byte_bpe.Codec(empty, queries.RANKS, P.PATTERN).round_trip(empty).count() == 0
 
 
+def test_cached_parts_stay_right_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 3)
+    ranks, encoder = brute.byte_ranks(), brute.byte_encoder()
+    encode = byte_bpe.text_encoder({}, ranks, P.PATTERN)
+    for text in ("a b c d e f a b", "a a a q r s t a", "x  y a b", "", " a", "a b c d"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == encoder.encode_ordinary(text)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_hold_any_ids(bits):
     for ids in ([], [0], [0, 1, 255], [49407] * 9, [2**32 - 1, 7], list(range(70_000))):
