@@ -1,46 +1,50 @@
 """Byte-level BPE: Spark's higher-order functions fold ranked merges over words.
 
-Words (matches of the split pattern) are counted over the corpus. The most frequent ones
-(VOCABULARY, a fixed bound) are folded inside Spark: a word becomes an array of bytes, and
-an aggregate over it merges the adjacent pair of lowest rank until none has one. Ranks are
-a literal map, dealt into buckets by a hash so that a look-up is not a scan. The folded
-vocabulary then goes with the tasks that encode texts. Rarer words are encoded where they
-occur, each once per task, by the tokenizer library with the same ranks: a fold inside
-Spark costs some 0.2 ms a word, and rare words are most of the distinct ones (see README).
+Every task splits its documents into words (matches of the split pattern) and numbers
+them: a chunk is a run of documents with a numbering of its own, a document a sequence of
+numbers. Each distinct word of the corpus meets its copies from all chunks in one shuffle,
+where Spark folds it once: a word becomes an array of bytes, and an aggregate merges the
+adjacent pair of lowest rank until none has one. Ranks are a literal map, dealt into buckets
+by a hash so that a look-up is not a scan; ranks of pairs are kept, so that a merge asks for
+two. The ids go back to the chunks, whose documents are put together from them. Nothing of
+this goes through the driver.
 
 Decoding concatenates the binary pieces of the ids.
 
 Cases: a null text counts as empty and has no ids; repeated rows and null doc_ids are
-encoded row by row; a word of any length is encoded whole; an empty table gives an empty
-result; other columns are not read.
+encoded row by row; a word of any length is encoded whole, one of more than FOLD_BYTES bytes
+by the tokenizer library; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import sys
 import zlib
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrain.llm.byte_units import CACHE_ENTRIES, PartCache, encoding, read_ranks
 from paygrain.llm.store import saved, small_batches
 
-VOCABULARY = 16_384
-RANK_BUCKETS = 1 << 13
-# Words folded inside Spark are short; the fold's work grows with the square of a length.
-FOLD_BYTES = 32
-FLUSH_PARTS = 1 << 17
+RANK_BUCKETS = 1 << 14
+# A chunk ends with the document that fills one of these: distinct words, and characters.
+CHUNK_WORDS = 1 << 16
+CHUNK_CHARS = 1 << 24
+# A fold's work grows with the square of a length. Words beyond this, of no language's
+# writing, go to the tokenizer library where their text is put together.
+FOLD_BYTES = 1 << 10
 NONE = 2**31 - 1
 
+NUMBERED = "chunk long, doc_id long, low binary, high binary, first int, words array<binary>"
 ENCODED = "doc_id long, ids binary"
 ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -60,100 +64,128 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
 
 
 def folded(word: Column, ranks: Column) -> Column:
-    """Ids of a word (binary): merge the lowest-ranked adjacent pair while there is one."""
+    """Ids of a word (binary): merge the lowest-ranked adjacent pair while there is one.
 
+    A word that has a rank itself is that id, as in the library.
+    """
+    text = F.decode(word, "ISO-8859-1")
+    # Both are looked at in many places and stated once: a literal is copied to each otherwise.
+    return _let(ranks, lambda ranks: _let(text, lambda text: _folded(text, ranks)))
+
+
+def _let(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), result), 0)
+
+
+def _folded(text: Column, ranks: Column) -> Column:
     def rank(piece: Column) -> Column:
         bucket = F.pmod(F.crc32(F.encode(piece, "ISO-8859-1")), F.lit(RANK_BUCKETS)).cast("int")
         return F.try_element_at(F.get(ranks, bucket), piece)
 
-    def merged(parts: Column, at: Column) -> Column:
-        pair = F.concat(F.get(parts, at), F.get(parts, at + 1))
-        return F.concat(
-            F.slice(parts, F.lit(1), at), F.array(pair), F.slice(parts, at + 3, F.size(parts))
-        )
-
-    def step(parts: Column, _: Column) -> Column:
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.size(parts) - 2),
-            lambda i: F.struct(
-                F.coalesce(rank(F.concat(F.get(parts, i), F.get(parts, i + 1))), F.lit(NONE)).alias("rank"),
-                i.alias("at"),
+    def pair_rank(piece: Column) -> Column:
+        return F.coalesce(rank(piece), F.lit(NONE))
+
+    def held(parts: Column, pairs: Column) -> Column:
+        """Parts, and the rank of each with the next."""
+        return F.struct(parts.alias("parts"), pairs.alias("pairs"))
+
+    def merged(state: Column, at: Column) -> Column:
+        """Merge parts ``at`` and ``at + 1`` (from 1); only the pairs beside them change."""
+        parts, pairs = state["parts"], state["pairs"]
+        size, none = F.size(parts), F.array().cast("array<int>")
+        pair = F.concat(F.get(parts, at - 1), F.get(parts, at))
+        left = F.array(pair_rank(F.concat(F.get(parts, at - 2), pair)))
+        right = F.array(pair_rank(F.concat(pair, F.get(parts, at + 1))))
+        return held(
+            F.concat(F.slice(parts, F.lit(1), at - 1), F.array(pair), F.slice(parts, at + 2, size)),
+            F.concat(
+                F.when(at > 1, F.concat(F.slice(pairs, F.lit(1), at - 2), left)).otherwise(none),
+                F.when(at + 1 < size, F.concat(right, F.slice(pairs, at + 2, size))).otherwise(none),
             ),
         )
-        lowest = F.aggregate(
-            F.array(F.array_min(pairs)),
-            parts,
-            lambda held, best: F.when(best["rank"] < NONE, merged(held, best["at"])).otherwise(held),
-        )
-        return F.when(F.size(parts) < 2, parts).otherwise(lowest)
 
-    text = F.decode(word, "ISO-8859-1")
+    def step(state: Column, _: Column) -> Column:
+        lowest = F.array_min(state["pairs"])
+        place = F.array_position(state["pairs"], lowest).cast("int")
+        return F.when(lowest < NONE, _let(place, lambda at: merged(state, at))).otherwise(state)
+
     octets = F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
+    # A word of one byte has no pair, and no round that counts.
     rounds = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-    return F.transform(F.aggregate(rounds, octets, step), rank)
+    pairs = F.transform(rounds, lambda i: pair_rank(F.substring(text, i, F.lit(2))))
+    merges = F.aggregate(rounds, held(octets, pairs), step, lambda state: state["parts"])
+    whole = _let(rank(text), lambda own: F.when(own.isNotNull(), F.array(own)))
+    return F.coalesce(whole, F.transform(merges, rank))
 
 
 # --- words ------------------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word, n): how often every word occurs in the corpus."""
+class Numbers(dict):
+    """Numbers of words, as bytes, in the order of their first occurrence."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+    def __missing__(self, word: str) -> bytes:
+        number = self[word] = as_bytes([len(self)])
+        return number
 
-        words = regex.compile(pattern).findall
-        # A space before white space or the end, which belong together.
-        hanging = re.compile(r" (?=\s|\Z)").search
-        parts: Counter[str] = Counter()
-        found: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            for part, n in parts.items():
-                for word in words(" " + part):
-                    found[word] += n
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([w.encode() for w in found], pa.binary()), pa.array(list(found.values()), pa.int64())],
-                ["word", "n"],
-            )
-            parts.clear()
-            found.clear()
-            return batch
-
-        for batch in batches:
-            for value in batch.column(0):
-                text = value.as_py() or ""
-                if hanging(text):
-                    found.update(words(text))
-                else:
-                    first, *rest = text.split(" ")
-                    found.update(words(first))
-                    parts.update(rest)
-                if len(parts) > FLUSH_PARTS:
-                    yield flush()
-        yield flush()
-
-    counted = docs.select("text").mapInArrow(count, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def folded_vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = VOCABULARY) -> DataFrame:
-    """(word, ids) of the most frequent words, at most ``size``, folded by Spark."""
-    counts = saved(
-        word_counts(docs, pattern).where(F.octet_length("word").between(1, FOLD_BYTES)), "word-counts"
+def numbered(docs: DataFrame, pattern: str, most_words: int = CHUNK_WORDS) -> DataFrame:
+    """Documents as numbers of words, in chunks; and the words that are new in each.
+
+    ``low`` and ``high`` are the halves of the numbers, ``high`` is null where all are 0;
+    ``words`` are numbered from ``first`` on.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, chunk, chars = TaskContext.get().partitionId() << 32, 0, 0
+        numbers = Numbers()
+        encode = by_parts(numbers.__getitem__, pattern)
+        for doc_ids, texts in _slices(batches):
+            chunks, lows, highs, firsts, words = [], [], [], [], []
+            for text in texts:
+                if len(numbers) >= most_words or chars >= CHUNK_CHARS:
+                    chunk, chars, numbers = chunk + 1, 0, Numbers()
+                    encode = by_parts(numbers.__getitem__, pattern)
+                first = len(numbers)
+                halves = np.frombuffer(encode(text or ""), "<u2").reshape(-1, 2)
+                chars += len(text or "")
+                new = list(islice(reversed(numbers), len(numbers) - first))
+                new.reverse()
+                chunks.append(base + chunk)
+                lows.append(halves[:, 0].tobytes())
+                highs.append(halves[:, 1].tobytes() if halves[:, 1].any() else None)
+                firsts.append(first)
+                words.append([word.encode() for word in new])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(chunks, pa.int64()), doc_ids, pa.array(lows, pa.binary()),
+                    pa.array(highs, pa.binary()), pa.array(firsts, pa.int32()),
+                    pa.array(words, pa.list_(pa.binary())),
+                ],
+                ["chunk", "doc_id", "low", "high", "first", "words"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(split, NUMBERED)
+
+
+def folded_words(chunks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(chunk, number, word, ids) of every word of every chunk; ids are null beyond FOLD_BYTES.
+
+    A word is folded in its first chunk, by Spark; the others take the ids from there.
+    """
+    new = chunks.select("chunk", "first", F.posexplode("words").alias("at", "word"))
+    words = new.select("word", "chunk", (F.col("first") + F.col("at")).alias("number"))
+    copies = Window.partitionBy("word").orderBy("chunk")
+    short = F.octet_length("word") <= FOLD_BYTES
+    here = F.when((F.col("copy") == 1) & short, folded(F.col("word"), rank_literal(ranks)))
+    so_far = copies.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        words.withColumn("copy", F.row_number().over(copies))
+        .withColumn("folded", here)
+        .select("chunk", "number", "word", F.first("folded").over(so_far).alias("ids"))
     )
-    # Whole classes of equally frequent words, as many as fit. There are few classes.
-    classes = counts.groupBy("n").agg(F.count("*").alias("words"))
-    above = Window.orderBy(F.col("n").desc())
-    fitting = classes.withColumn("held", F.sum("words").over(above)).where(F.col("held") <= size)
-    least = fitting.agg(F.min("n")).first()[0]
-    frequent = counts.where(F.lit(False) if least is None else F.col("n") >= least)
-    words = [bytes(row.word) for row in frequent.select("word").collect()]
-    # Merges only ever make parts of a word, so the literal needs no other ranks.
-    parts = {w[i:j] for w in words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
-    literal = rank_literal({piece: rank for piece, rank in ranks.items() if piece in parts})
-    rows = docs.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
-    return rows.repartition(16, "word").select("word", folded(F.col("word"), literal).alias("ids"))
 
 
 # --- texts ------------------------------------------------------------------------
@@ -182,22 +214,16 @@ class RecentParts(PartCache):
         return value
 
 
-def text_encoder(vocabulary: dict[bytes, bytes], ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian unsigned 32-bit integers."""
+def by_parts(word_ids: Callable[[str], bytes], pattern: str) -> Callable[[str], bytes]:
+    """A function that joins what the words of a text give; parts that repeat are kept."""
     import regex
 
-    encoder = encoding(ranks, pattern)
     words = regex.compile(pattern).findall
 
-    def word_ids(word: str) -> bytes:
-        data = word.encode()
-        ids = vocabulary.get(data)
-        return ids if ids is not None else as_bytes(encoder.encode_ordinary(word))
-
     def part_ids(part: str) -> bytes:
         return b"".join([word_ids(word) for word in words(part)])
 
-    # Kept for one task: workers live on, and each corpus has a vocabulary of its own.
+    # Kept for one task: workers live on, and each corpus has words of its own.
     cache = RecentParts(part_ids)
 
     def encode(text: str) -> bytes:
@@ -210,27 +236,85 @@ def text_encoder(vocabulary: dict[bytes, bytes], ranks: dict[bytes, int], patter
     return encode
 
 
+def text_encoder(vocabulary: dict[bytes, bytes], ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes]:
+    """A function from a text to its ids as little-endian unsigned 32-bit integers.
+
+    For single texts beside Spark: words that the vocabulary lacks go to the library. No
+    query encodes by it.
+    """
+    encoder = encoding(ranks, pattern)
+
+    def word_ids(word: str) -> bytes:
+        ids = vocabulary.get(word.encode())
+        return ids if ids is not None else as_bytes(encoder.encode_ordinary(word))
+
+    return by_parts(word_ids, pattern)
+
+
+class Runs:
+    """Runs of one flat array, by number: joins the runs of many numbers at once."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        self.flat, self.lengths = flat, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        shift = self.starts[numbers] - ends + lengths
+        return self.flat[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Codec:
-    """What tasks need to encode and decode: bounded by the two vocabulary sizes."""
+    """Encodes and decodes by the ranks of a file, which go with every task."""
 
-    def __init__(self, docs: DataFrame, ranks_path: str, pattern: str, vocabulary: int = VOCABULARY):
+    def __init__(self, docs: DataFrame, ranks_path: str, pattern: str):
         small_batches(docs.sparkSession)
-        self.ranks, self.pattern = read_ranks(ranks_path), pattern
-        rows = folded_vocabulary(docs, self.ranks, pattern, vocabulary).collect()
-        self.words = {bytes(r.word): np.asarray(r.ids, "<u4").tobytes() for r in rows}
+        self.docs, self.ranks, self.pattern = docs, read_ranks(ranks_path), pattern
+
+    @property
+    def words(self) -> dict[bytes, bytes]:
+        """The folded words of the codec's documents, for checks on a small corpus."""
+        words = folded_words(numbered(self.docs, self.pattern), self.ranks)
+        rows = words.where("ids IS NOT NULL").select("word", "ids")
+        return {bytes(r.word): as_bytes(r.ids) for r in rows.distinct().collect()}
+
+    def _by_chunk(
+        self, docs: DataFrame, result: Callable[[pa.ChunkedArray, list[np.ndarray]], pa.Table], schema: str
+    ) -> DataFrame:
+        """What ``result`` makes of the doc_ids and ids of a chunk's documents."""
+
+        ranks, pattern = self.ranks, self.pattern
+
+        def run(rows: pa.Table, words: pa.Table) -> pa.Table:
+            words = words.sort_by("number").combine_chunks()
+            ids = words.column("ids").combine_chunks()
+            if ids.null_count:
+                library = encoding(ranks, pattern).encode_ordinary
+                long = words.column("long").to_pylist()
+                all_ids = zip(ids.to_pylist(), long, strict=True)
+                ids = pa.array([i if w is None else library(w.decode()) for i, w in all_ids], ids.type)
+            runs = Runs(ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64))
+            texts = [
+                runs.joined(_whole(low, high)).astype("<u4")
+                for low, high in zip(rows.column("low").to_pylist(), rows.column("high").to_pylist(), strict=True)
+            ]
+            return result(rows.column("doc_id"), texts)
+
+        chunks = saved(numbered(docs, self.pattern), "numbered-words")
+        long = F.when(F.col("ids").isNull(), F.col("word")).alias("long")
+        words = folded_words(chunks, self.ranks).select("chunk", "number", "ids", long)
+        rows = chunks.select("chunk", "doc_id", "low", "high")
+        return rows.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, schema)
 
     def encoded(self, docs: DataFrame) -> DataFrame:
         """(doc_id, ids): ids as little-endian unsigned 32-bit integers."""
-        words, ranks, pattern = self.words, self.ranks, self.pattern
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode = text_encoder(words, ranks, pattern)
-            for doc_ids, texts in _slices(batches):
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array([encode(t or "") for t in texts], pa.binary())], ["doc_id", "ids"]
-                )
+        def result(doc_ids: pa.ChunkedArray, texts: list[np.ndarray]) -> pa.Table:
+            ids = pa.array([ids.tobytes() for ids in texts], pa.binary())
+            return pa.Table.from_arrays([doc_ids, ids], ["doc_id", "ids"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
+        return self._by_chunk(docs, result, ENCODED)
 
     def decoded(self, rows: DataFrame) -> DataFrame:
         """(doc_id, bytes) of encoded rows."""
@@ -238,31 +322,33 @@ class Codec:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for doc_ids, ids in _slices(batches):
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array([decode(i, pieces) for i in ids], pa.binary())], ["doc_id", "bytes"]
-                )
+                decoded = [decode(np.frombuffer(i, "<u4"), pieces) for i in ids]
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(decoded, pa.binary())], ["doc_id", "bytes"])
 
         return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
     def round_trip(self, docs: DataFrame) -> DataFrame:
         """Per row: number of ids, and digests of the ids and of what they decode to."""
-        words, ranks, pattern = self.words, self.ranks, self.pattern
+        pieces = _pieces(self.ranks)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode, pieces = text_encoder(words, ranks, pattern), _pieces(ranks)
-            for doc_ids, texts in _slices(batches):
-                n, ids_sha, text_sha = [], [], []
-                for text in texts:
-                    ids = encode(text or "")
-                    n.append(len(ids) // 4)
-                    ids_sha.append(sha256(ids).hexdigest())
-                    text_sha.append(sha256(decode(ids, pieces)).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROUND_TRIP)
+        def result(doc_ids: pa.ChunkedArray, texts: list[np.ndarray]) -> pa.Table:
+            return pa.Table.from_arrays(
+                [
+                    doc_ids,
+                    pa.array([len(ids) for ids in texts], pa.int64()),
+                    pa.array([sha256(ids.tobytes()).hexdigest() for ids in texts], pa.string()),
+                    pa.array([sha256(decode(ids, pieces)).hexdigest() for ids in texts], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+        return self._by_chunk(docs, result, ROUND_TRIP)
+
+
+def _whole(low: bytes, high: bytes | None) -> np.ndarray:
+    """Numbers from their halves."""
+    numbers = np.frombuffer(low, "<u2").astype(np.int64)
+    return numbers if high is None else numbers + (np.frombuffer(high, "<u2").astype(np.int64) << 16)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.Array, list]]:
@@ -272,12 +358,12 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tupl
             yield part.column(0), part.column(1).to_pylist()
 
 
-def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+def _pieces(ranks: dict[bytes, int]) -> Runs:
     """Bytes by id."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return pieces
+    return Runs(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64))
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -288,5 +374,5 @@ def as_bytes(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-def decode(ids: bytes, pieces: list[bytes]) -> bytes:
-    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+def decode(ids: np.ndarray, pieces: Runs) -> bytes:
+    return pieces.joined(ids).tobytes()
