@@ -37,8 +37,8 @@ from paygrain.llm.store import saved, small_batches
 
 RANK_BUCKETS = 1 << 14
 # A chunk ends with the document that fills one of these: distinct words, and characters.
-CHUNK_WORDS = 1 << 16
-CHUNK_CHARS = 1 << 24
+CHUNK_WORDS = 1 << 18
+CHUNK_CHARS = 1 << 25
 # A fold's work grows with the square of a length. Words beyond this, of no language's
 # writing, go to the tokenizer library where their text is put together.
 FOLD_BYTES = 1 << 10
