@@ -2,12 +2,16 @@
 
 Every task splits its documents into words (matches of the split pattern) and numbers
 them: a chunk is a run of documents with a numbering of its own, a document a sequence of
-numbers. Each distinct word of the corpus meets its copies from all chunks in one shuffle,
-where Spark folds it once: a word becomes an array of bytes, and an aggregate merges the
-adjacent pair of lowest rank until none has one. Ranks are a literal map, dealt into buckets
-by a hash so that a look-up is not a scan; ranks of pairs are kept, so that a merge asks for
-two. The ids go back to the chunks, whose documents are put together from them. Nothing of
-this goes through the driver.
+numbers. Spark folds the words that are new in each chunk, where they are: a word becomes an
+array of bytes, and an aggregate merges the adjacent pair of lowest rank until none has one.
+Ranks are a literal map, dealt into buckets by a hash so that a look-up is not a scan; ranks of
+pairs are kept, so that a merge asks for two. The next step of the same task puts the
+documents together from the ids, so neither texts nor ids are shuffled.
+
+Words that most chunks have would be folded in each. Those that are frequent in a sample of
+the documents are folded by Spark beforehand, once, and go with every task as numbers that all
+chunks know. Which words these are changes the work and no result: any other word of any
+document is folded in its chunk.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -22,26 +26,34 @@ import json
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from hashlib import sha256
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paygrain.llm.byte_units import CACHE_ENTRIES, PartCache, encoding, read_ranks
 from paygrain.llm.store import saved, small_batches
 
-RANK_BUCKETS = 1 << 14
+RANK_BUCKETS = 1 << 16
 # A chunk ends with the document that fills one of these: distinct words, and characters.
-CHUNK_WORDS = 1 << 18
+CHUNK_WORDS = 1 << 19
 CHUNK_CHARS = 1 << 25
 # A fold's work grows with the square of a length. Words beyond this, of no language's
 # writing, go to the tokenizer library where their text is put together.
 FOLD_BYTES = 1 << 10
+# More than a folded word has places.
+PLACES = 2 * FOLD_BYTES
+# Words folded beforehand: at most so many, of so many documents (expected), counted once per
+# run of so many distinct words.
+FREQUENT_WORDS = 700_000
+SAMPLE_DOCS = 1 << 15
+SAMPLE_WORDS = 1 << 13
+SAMPLE_TASKS = 64
 NONE = 2**31 - 1
 
 NUMBERED = "chunk long, doc_id long, low binary, high binary, first int, words array<binary>"
@@ -59,7 +71,8 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     """
     buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
     for piece, rank in ranks.items():
-        buckets[zlib.crc32(piece) % RANK_BUCKETS][piece.decode("latin-1")] = rank
+        text = piece.decode("latin-1")
+        buckets[zlib.crc32(text.encode()) % RANK_BUCKETS][text] = rank
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
@@ -74,83 +87,113 @@ def folded(word: Column, ranks: Column) -> Column:
 
 
 def _let(value: Column, result: Callable[[Column], Column]) -> Column:
-    """``result`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), result), 0)
+    """``result`` of a value that is computed once.
+
+    ``F.get`` would find out the type of ``result`` anew for every row.
+    """
+    return F.element_at(F.transform(F.array(value), result), 1)
 
 
 def _folded(text: Column, ranks: Column) -> Column:
     def rank(piece: Column) -> Column:
-        bucket = F.pmod(F.crc32(F.encode(piece, "ISO-8859-1")), F.lit(RANK_BUCKETS)).cast("int")
-        return F.try_element_at(F.get(ranks, bucket), piece)
-
-    def pair_rank(piece: Column) -> Column:
-        return F.coalesce(rank(piece), F.lit(NONE))
-
-    def held(parts: Column, pairs: Column) -> Column:
-        """Parts, and the rank of each with the next."""
-        return F.struct(parts.alias("parts"), pairs.alias("pairs"))
-
-    def merged(state: Column, at: Column) -> Column:
-        """Merge parts ``at`` and ``at + 1`` (from 1); only the pairs beside them change."""
-        parts, pairs = state["parts"], state["pairs"]
-        size, none = F.size(parts), F.array().cast("array<int>")
-        pair = F.concat(F.get(parts, at - 1), F.get(parts, at))
-        left = F.array(pair_rank(F.concat(F.get(parts, at - 2), pair)))
-        right = F.array(pair_rank(F.concat(pair, F.get(parts, at + 1))))
-        return held(
-            F.concat(F.slice(parts, F.lit(1), at - 1), F.array(pair), F.slice(parts, at + 2, size)),
-            F.concat(
-                F.when(at > 1, F.concat(F.slice(pairs, F.lit(1), at - 2), left)).otherwise(none),
-                F.when(at + 1 < size, F.concat(right, F.slice(pairs, at + 2, size))).otherwise(none),
-            ),
+        def found(piece: Column) -> Column:
+            bucket = F.crc32(piece.cast("binary")).bitwiseAND(RANK_BUCKETS - 1).cast("int")
+            return F.try_element_at(F.get(ranks, bucket), piece)
+
+        return _let(piece, found)
+
+    # A part is one number: the rank of the pair it begins, and below it the part's place.
+    # The least number is then the first pair of lowest rank.
+    def entry(pair_rank: Column, start: Column) -> Column:
+        return pair_rank.cast("long") * PLACES + start
+
+    def start(part: Column) -> Column:
+        return part.bitwiseAND(PLACES - 1).cast("int")
+
+    def between(start: Column, end: Column) -> Column:
+        return F.substring(text, start + 1, end - start)
+
+    def pair(start: Column, end: Column) -> Column:
+        return entry(F.coalesce(rank(between(start, end)), F.lit(NONE)), start)
+
+    def merged(parts: Column, lowest: Column, at: Column) -> Column:
+        """Merge part ``at`` (from 1) with the next; only the pairs beside them change."""
+        before = F.get(parts, at - 2)
+        here = pair(start(lowest), start(F.get(parts, at + 2)))
+        left = pair(start(before), start(F.get(parts, at + 1)))
+        return F.transform(
+            F.array_remove(parts, F.get(parts, at)),
+            lambda part: F.when(part == lowest, here).when(part == before, left).otherwise(part),
         )
 
-    def step(state: Column, _: Column) -> Column:
-        lowest = F.array_min(state["pairs"])
-        place = F.array_position(state["pairs"], lowest).cast("int")
-        return F.when(lowest < NONE, _let(place, lambda at: merged(state, at))).otherwise(state)
+    def step(parts: Column, _: Column) -> Column:
+        def merge(lowest: Column) -> Column:
+            place = F.array_position(parts, lowest).cast("int")
+            one_less = _let(place, lambda at: merged(parts, lowest, at))
+            return F.when(lowest < NONE * PLACES, one_less).otherwise(parts)
+
+        return _let(F.array_min(parts), merge)
 
-    octets = F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
+    def ids(parts: Column) -> Column:
+        each = F.slice(parts, F.lit(1), F.size(parts) - 1)
+        return F.transform(each, lambda part, i: rank(between(start(part), start(F.get(parts, i + 1)))))
+
+    end = F.length(text)
+    # The last part, and the end behind it, begin no pair.
+    octets = F.transform(
+        F.sequence(F.lit(0), end),
+        lambda i: F.when(i + 1 < end, pair(i, i + 2)).otherwise(entry(F.lit(NONE), i)),
+    )
     # A word of one byte has no pair, and no round that counts.
-    rounds = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-    pairs = F.transform(rounds, lambda i: pair_rank(F.substring(text, i, F.lit(2))))
-    merges = F.aggregate(rounds, held(octets, pairs), step, lambda state: state["parts"])
-    whole = _let(rank(text), lambda own: F.when(own.isNotNull(), F.array(own)))
-    return F.coalesce(whole, F.transform(merges, rank))
+    rounds = F.sequence(F.lit(1), F.greatest(end - 1, F.lit(1)))
+    merges = _let(F.aggregate(rounds, octets, step), ids)
+    return _let(rank(text), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(merges))
 
 
 # --- words ------------------------------------------------------------------------
 
 
 class Numbers(dict):
-    """Numbers of words, as bytes, in the order of their first occurrence."""
+    """Numbers of words, as bytes, behind the known ones; in the order of their first occurrence."""
+
+    def __init__(self, known: dict[str, bytes]):
+        super().__init__()
+        self.known = known
 
     def __missing__(self, word: str) -> bytes:
-        number = self[word] = as_bytes([len(self)])
+        number = self.known.get(word)
+        if number is None:
+            number = self[word] = as_bytes([len(self.known) + len(self)])
         return number
 
 
-def numbered(docs: DataFrame, pattern: str, most_words: int = CHUNK_WORDS) -> DataFrame:
+def numbered(
+    docs: DataFrame, pattern: str, most_words: int = CHUNK_WORDS, frequent: Sequence[str] = ()
+) -> DataFrame:
     """Documents as numbers of words, in chunks; and the words that are new in each.
 
+    Every chunk numbers the ``frequent`` words first; they are new in none.
+
     ``low`` and ``high`` are the halves of the numbers, ``high`` is null where all are 0;
     ``words`` are numbered from ``first`` on.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, chunk, chars = TaskContext.get().partitionId() << 32, 0, 0
-        numbers = Numbers()
+        flat = np.arange(len(frequent), dtype="<u4").tobytes()
+        known = {word: flat[4 * i : 4 * i + 4] for i, word in enumerate(frequent)}
+        numbers = Numbers(known)
         encode = by_parts(numbers.__getitem__, pattern)
         for doc_ids, texts in _slices(batches):
             chunks, lows, highs, firsts, words = [], [], [], [], []
             for text in texts:
                 if len(numbers) >= most_words or chars >= CHUNK_CHARS:
-                    chunk, chars, numbers = chunk + 1, 0, Numbers()
+                    chunk, chars, numbers = chunk + 1, 0, Numbers(known)
                     encode = by_parts(numbers.__getitem__, pattern)
-                first = len(numbers)
+                first = len(known) + len(numbers)
                 halves = np.frombuffer(encode(text or ""), "<u2").reshape(-1, 2)
                 chars += len(text or "")
-                new = list(islice(reversed(numbers), len(numbers) - first))
+                new = list(islice(reversed(numbers), len(known) + len(numbers) - first))
                 new.reverse()
                 chunks.append(base + chunk)
                 lows.append(halves[:, 0].tobytes())
@@ -170,21 +213,35 @@ def numbered(docs: DataFrame, pattern: str, most_words: int = CHUNK_WORDS) -> Da
     return rows.mapInArrow(split, NUMBERED)
 
 
-def folded_words(chunks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(chunk, number, word, ids) of every word of every chunk; ids are null beyond FOLD_BYTES.
-
-    A word is folded in its first chunk, by Spark; the others take the ids from there.
-    """
-    new = chunks.select("chunk", "first", F.posexplode("words").alias("at", "word"))
-    words = new.select("word", "chunk", (F.col("first") + F.col("at")).alias("number"))
-    copies = Window.partitionBy("word").orderBy("chunk")
-    short = F.octet_length("word") <= FOLD_BYTES
-    here = F.when((F.col("copy") == 1) & short, folded(F.col("word"), rank_literal(ranks)))
-    so_far = copies.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def with_ids(chunks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Chunks with the ids of their new words; null for words beyond FOLD_BYTES, which are listed."""
+    literal = rank_literal(ranks)
+    short = lambda word: F.octet_length(word) <= FOLD_BYTES
+    ids = F.transform("words", lambda word: F.when(short(word), folded(word, literal)))
+    return chunks.withColumn("ids", ids).withColumn("long", F.filter("words", lambda word: ~short(word)))
+
+
+def frequent_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> pa.Table:
+    """(word, ids) of at most FREQUENT_WORDS words that occur most in a sample, folded by Spark."""
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    sample = docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(every)) == 0)
+    words = numbered(sample, pattern, SAMPLE_WORDS).select(F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = saved(counts.where(F.octet_length("word") <= FOLD_BYTES), "word-counts")
+    left, chosen = FREQUENT_WORDS, F.lit(True)
+    # One row per number of occurrences, at most as many as the sample has chunks.
+    for n, total in counts.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).collect():
+        if total > left:
+            # Of the words that occur n times, a share that fits.
+            share = F.pmod(F.xxhash64("word"), F.lit(1000)) < int(950 * left / total)
+            chosen = (F.col("n") > n) | ((F.col("n") == n) & share)
+            break
+        left -= total
     return (
-        words.withColumn("copy", F.row_number().over(copies))
-        .withColumn("folded", here)
-        .select("chunk", "number", "word", F.first("folded").over(so_far).alias("ids"))
+        counts.where(chosen)
+        .repartition(SAMPLE_TASKS, "word")
+        .select("word", folded(F.col("word"), rank_literal(ranks)).alias("ids"))
+        .toArrow()
     )
 
 
@@ -258,6 +315,15 @@ class Runs:
         self.flat, self.lengths = flat, lengths
         self.starts = np.cumsum(lengths) - lengths
 
+    @classmethod
+    def of(cls, lists: pa.ListArray) -> Runs:
+        return cls(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
+
+    def extended(self, more: Runs) -> Runs:
+        """These runs and those of ``more`` behind them."""
+        flat, lengths = (self.flat, more.flat), (self.lengths, more.lengths)
+        return Runs(np.concatenate(flat), np.concatenate(lengths)) if len(more.lengths) else self
+
     def joined(self, numbers: np.ndarray) -> np.ndarray:
         lengths = self.lengths[numbers]
         ends = np.cumsum(lengths)
@@ -275,44 +341,51 @@ class Codec:
     @property
     def words(self) -> dict[bytes, bytes]:
         """The folded words of the codec's documents, for checks on a small corpus."""
-        words = folded_words(numbered(self.docs, self.pattern), self.ranks)
-        rows = words.where("ids IS NOT NULL").select("word", "ids")
-        return {bytes(r.word): as_bytes(r.ids) for r in rows.distinct().collect()}
+        chunks = with_ids(numbered(self.docs, self.pattern), self.ranks)
+        pairs = chunks.select(F.explode(F.arrays_zip("words", "ids")).alias("pair"))
+        rows = pairs.where("pair.ids IS NOT NULL").select("pair.*")
+        return {bytes(r.words): as_bytes(r.ids) for r in rows.distinct().collect()}
 
     def _by_chunk(
-        self, docs: DataFrame, result: Callable[[pa.ChunkedArray, list[np.ndarray]], pa.Table], schema: str
+        self, docs: DataFrame, result: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str
     ) -> DataFrame:
-        """What ``result`` makes of the doc_ids and ids of a chunk's documents."""
-
+        """What ``result`` makes of doc_ids and ids, of documents in the order of their chunks."""
         ranks, pattern = self.ranks, self.pattern
+        frequent = frequent_words(docs, pattern, ranks)
+        known = Runs.of(frequent.column("ids").combine_chunks())
+        words = [word.decode() for word in frequent.column("word").to_pylist()]
 
-        def run(rows: pa.Table, words: pa.Table) -> pa.Table:
-            words = words.sort_by("number").combine_chunks()
-            ids = words.column("ids").combine_chunks()
-            if ids.null_count:
-                library = encoding(ranks, pattern).encode_ordinary
-                long = words.column("long").to_pylist()
-                all_ids = zip(ids.to_pylist(), long, strict=True)
-                ids = pa.array([i if w is None else library(w.decode()) for i, w in all_ids], ids.type)
-            runs = Runs(ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64))
-            texts = [
-                runs.joined(_whole(low, high)).astype("<u4")
-                for low, high in zip(rows.column("low").to_pylist(), rows.column("high").to_pylist(), strict=True)
-            ]
-            return result(rows.column("doc_id"), texts)
-
-        chunks = saved(numbered(docs, self.pattern), "numbered-words")
-        long = F.when(F.col("ids").isNull(), F.col("word")).alias("long")
-        words = folded_words(chunks, self.ranks).select("chunk", "number", "ids", long)
-        rows = chunks.select("chunk", "doc_id", "low", "high")
-        return rows.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(run, schema)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            library = encoding(ranks, pattern).encode_ordinary
+            chunk, runs = None, known
+            for batch in batches:
+                chunks = batch.column("chunk").to_numpy()
+                starts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist()] if len(chunks) else []
+                for start, end in zip(starts, [*starts[1:], len(chunks)], strict=True):
+                    rows = batch.slice(start, end - start)
+                    if chunk != chunks[start]:
+                        chunk, runs = chunks[start], known
+                    # Words are numbered in the order of a chunk's rows.
+                    if rows.column("first")[0].as_py() != len(runs.lengths):
+                        raise ValueError("rows of a chunk came in another order")
+                    ids = rows.column("ids").flatten()
+                    if ids.null_count:
+                        long = iter(rows.column("long").flatten().to_pylist())
+                        ids = pa.array([library(next(long).decode()) if i is None else i for i in ids.to_pylist()], ids.type)
+                    runs = runs.extended(Runs.of(ids))
+                    halves = zip(rows.column("low").to_pylist(), rows.column("high").to_pylist(), strict=True)
+                    texts = [runs.joined(_whole(low, high)).astype("<u4") for low, high in halves]
+                    yield result(rows.column("doc_id"), texts)
+
+        chunks = with_ids(numbered(docs, pattern, frequent=words), ranks)
+        return chunks.select("chunk", "doc_id", "low", "high", "first", "ids", "long").mapInArrow(run, schema)
 
     def encoded(self, docs: DataFrame) -> DataFrame:
         """(doc_id, ids): ids as little-endian unsigned 32-bit integers."""
 
-        def result(doc_ids: pa.ChunkedArray, texts: list[np.ndarray]) -> pa.Table:
+        def result(doc_ids: pa.Array, texts: list[np.ndarray]) -> pa.RecordBatch:
             ids = pa.array([ids.tobytes() for ids in texts], pa.binary())
-            return pa.Table.from_arrays([doc_ids, ids], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([doc_ids, ids], ["doc_id", "ids"])
 
         return self._by_chunk(docs, result, ENCODED)
 
@@ -331,8 +404,8 @@ class Codec:
         """Per row: number of ids, and digests of the ids and of what they decode to."""
         pieces = _pieces(self.ranks)
 
-        def result(doc_ids: pa.ChunkedArray, texts: list[np.ndarray]) -> pa.Table:
-            return pa.Table.from_arrays(
+        def result(doc_ids: pa.Array, texts: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
                 [
                     doc_ids,
                     pa.array([len(ids) for ids in texts], pa.int64()),
@@ -358,12 +431,12 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tupl
             yield part.column(0), part.column(1).to_pylist()
 
 
-def _pieces(ranks: dict[bytes, int]) -> Runs:
+def _pieces(ranks: dict[bytes, int]) -> pa.BinaryArray:
     """Bytes by id."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    return Runs(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64))
+    return pa.array(pieces, pa.binary())
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -374,5 +447,6 @@ def as_bytes(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
-def decode(ids: np.ndarray, pieces: Runs) -> bytes:
-    return pieces.joined(ids).tobytes()
+def decode(ids: np.ndarray, pieces: pa.BinaryArray) -> bytes:
+    _, ends, data = pieces.take(pa.array(ids)).buffers()
+    return data[: np.frombuffer(ends, np.int32)[len(ids)]].to_pybytes() if len(ids) else b""

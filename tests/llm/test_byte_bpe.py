@@ -59,3 +59,26 @@ def test_chunks_number_their_words_whole(spark):
     assert any(r.high is not None for r in rows)
     got = byte_bpe.Codec(docs, queries.RANKS, P.PATTERN).round_trip(docs)
     assert Counter(map(tuple, got.collect())) == Counter(brute.byte_bpe(list(enumerate(texts))))
+
+
+def test_neither_texts_nor_ids_of_documents_are_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and the rest") for i in range(20)], DOCS)
+    out = byte_bpe.Codec(docs, queries.RANKS, P.PATTERN).round_trip(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partitioning(" not in plan
+    assert plan.count("MapInArrow") == 2
+
+
+def test_words_are_folded_alike_whether_known_beforehand_or_not(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(lower(rng, 1, 4) for _ in range(60)) for _ in range(60)]
+    texts += ["x" * 1100 + " " + "é" * 700, None, "", " \n the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
+    want = Counter(brute.byte_bpe(list(enumerate(texts))))
+    for most, sample in ((0, 1 << 15), (50, 1 << 15), (700_000, 8)):
+        monkeypatch.setattr(byte_bpe, "FREQUENT_WORDS", most)
+        monkeypatch.setattr(byte_bpe, "SAMPLE_DOCS", sample)
+        known = byte_bpe.frequent_words(docs, P.PATTERN, byte_bpe.read_ranks(queries.RANKS))
+        assert known.num_rows <= most
+        got = byte_bpe.Codec(docs, queries.RANKS, P.PATTERN).round_trip(docs)
+        assert Counter(map(tuple, got.collect())) == want
