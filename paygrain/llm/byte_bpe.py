@@ -308,6 +308,16 @@ def text_encoder(vocabulary: dict[bytes, bytes], ranks: dict[bytes, int], patter
     return by_parts(word_ids, pattern)
 
 
+def _appended(values: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """``more`` behind the values: in the room behind them, or in a new array with room."""
+    room, size = values.base, len(values) + len(more)
+    if not isinstance(room, np.ndarray) or not room.flags.writeable or len(room) < size:
+        room = np.empty(size + size // 2, values.dtype)
+        room[: len(values)] = values
+    room[len(values) : size] = more
+    return room[:size]
+
+
 class Runs:
     """Runs of one flat array, by number: joins the runs of many numbers at once."""
 
@@ -320,9 +330,12 @@ class Runs:
         return cls(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
 
     def extended(self, more: Runs) -> Runs:
-        """These runs and those of ``more`` behind them."""
-        flat, lengths = (self.flat, more.flat), (self.lengths, more.lengths)
-        return Runs(np.concatenate(flat), np.concatenate(lengths)) if len(more.lengths) else self
+        """These runs and those of ``more`` behind them; an array with room is written to in place."""
+        longer = object.__new__(Runs)
+        longer.flat = _appended(self.flat, more.flat)
+        longer.lengths = _appended(self.lengths, more.lengths)
+        longer.starts = _appended(self.starts, more.starts + len(self.flat))
+        return longer
 
     def joined(self, numbers: np.ndarray) -> np.ndarray:
         lengths = self.lengths[numbers]
@@ -356,7 +369,6 @@ class Codec:
         words = [word.decode() for word in frequent.column("word").to_pylist()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            library = encoding(ranks, pattern).encode_ordinary
             chunk, runs = None, known
             for batch in batches:
                 chunks = batch.column("chunk").to_numpy()
@@ -370,8 +382,10 @@ class Codec:
                         raise ValueError("rows of a chunk came in another order")
                     ids = rows.column("ids").flatten()
                     if ids.null_count:
+                        library = encoding(ranks, pattern).encode_ordinary
                         long = iter(rows.column("long").flatten().to_pylist())
-                        ids = pa.array([library(next(long).decode()) if i is None else i for i in ids.to_pylist()], ids.type)
+                        all_ids = [library(next(long).decode()) if i is None else i for i in ids.to_pylist()]
+                        ids = pa.array(all_ids, ids.type)
                     runs = runs.extended(Runs.of(ids))
                     halves = zip(rows.column("low").to_pylist(), rows.column("high").to_pylist(), strict=True)
                     texts = [runs.joined(_whole(low, high)).astype("<u4") for low, high in halves]
