@@ -26,35 +26,41 @@ import json
 import sys
 import zlib
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paygrain.llm.byte_units import CACHE_ENTRIES, PartCache, encoding, read_ranks
+from paygrain.llm.byte_units import PartCache, encoding, read_ranks
 from paygrain.llm.store import saved, small_batches
 
-RANK_BUCKETS = 1 << 16
+RANK_BUCKETS = 1 << 13
+# More than any rank.
+ID_BITS = 20
+IDS = 1 << ID_BITS
 # A chunk ends with the document that fills one of these: distinct words, and characters.
 CHUNK_WORDS = 1 << 19
 CHUNK_CHARS = 1 << 25
+# Texts are looked at together up to a chunk's words, squared, by this many characters: their
+# distinct words grow far slower than they do.
+WORDS_SQUARED = 1 << 17
 # A fold's work grows with the square of a length. Words beyond this, of no language's
 # writing, go to the tokenizer library where their text is put together.
 FOLD_BYTES = 1 << 10
 # More than a folded word has places.
 PLACES = 2 * FOLD_BYTES
+PART_BITS = ID_BITS + PLACES.bit_length() - 1
 # Words folded beforehand: at most so many, of so many documents (expected), counted once per
-# run of so many distinct words.
+# chunk of these.
 FREQUENT_WORDS = 700_000
 SAMPLE_DOCS = 1 << 15
-SAMPLE_WORDS = 1 << 13
 SAMPLE_TASKS = 64
-NONE = 2**31 - 1
 
 NUMBERED = "chunk long, doc_id long, low binary, high binary, first int, words array<binary>"
 ENCODED = "doc_id long, ids binary"
@@ -64,7 +70,7 @@ ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 stri
 # --- the fold ---------------------------------------------------------------------
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
+def token_ids(ranks: dict[bytes, int]) -> Column:
     """The rank map as a literal: an array of small maps, by a hash of the bytes.
 
     Bytes are written as the characters of the same number.
@@ -73,138 +79,268 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     for piece, rank in ranks.items():
         text = piece.decode("latin-1")
         buckets[zlib.crc32(text.encode()) % RANK_BUCKETS][text] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+    return _literal(buckets, "array<map<string,int>>")
 
 
-def folded(word: Column, ranks: Column) -> Column:
+def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
+    """(shifts, table): the rank of every two ids whose bytes together have one.
+
+    The parts of a word always have ids, so a merge need not look at bytes. The pair
+    (left, right) is in the table at shifts[left] + right, as left * IDS + rank, all ids and
+    ranks counted from 1: the rows of a sparse matrix laid over each other, each shifted to
+    where it meets no other. Gaps are 0.
+    """
+    rows: dict[int, dict[int, int]] = {}
+    for piece, rank in ranks.items():
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                rows.setdefault(left + 1, {})[right + 1] = rank + 1
+    shifts = [0] * (max(ranks.values(), default=0) + 2)
+    table = [0] * len(shifts)
+    taken, start, size = np.zeros(len(shifts), bool), 0, 0
+    for left, row in sorted(rows.items(), key=lambda entry: -len(entry[1])):
+        rights = np.array(list(row))
+        offsets, tried = rights - rights.min(), 64
+        if len(row).bit_length() != size:
+            size, start = len(row).bit_length(), 0
+        while True:
+            if (reach := start + tried + offsets.max() + 1) >= len(taken):
+                taken = np.concatenate([taken, np.zeros(reach, bool)])
+            begins = start + np.flatnonzero(~taken[start : start + tried])
+            for offset in offsets:
+                begins = begins[~taken[begins + offset]]
+            if len(begins):
+                break
+            start, tried = start + tried, 2 * tried
+        # Rows of about one size go behind each other: the search does not begin anew.
+        start = int(begins[0])
+        taken[start + offsets] = True
+        shifts[left] = start - int(rights.min())
+        table += [0] * (start + int(offsets.max()) + 1 - len(table))
+        for right, rank in row.items():
+            table[shifts[left] + right] = left * IDS + rank
+    return shifts, table
+
+
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
+
+
+class Tables:
+    """What a fold looks up, as literals."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= IDS - 1:
+            raise ValueError(f"ranks must be below {IDS - 1}")
+        shifts, table = pair_table(ranks)
+        self.shifts, self.table = _literal(shifts, "array<bigint>"), _literal(table, "array<bigint>")
+        self.tokens = token_ids(ranks)
+        self.octets = _literal([ranks[bytes([octet])] + 1 for octet in range(256)], "array<bigint>")
+
+
+def folded(word: Column, tables: Tables) -> Column:
     """Ids of a word (binary): merge the lowest-ranked adjacent pair while there is one.
 
     A word that has a rank itself is that id, as in the library.
     """
     text = F.decode(word, "ISO-8859-1")
-    # Both are looked at in many places and stated once: a literal is copied to each otherwise.
-    return _let(ranks, lambda ranks: _let(text, lambda text: _folded(text, ranks)))
+    own = _let(
+        F.crc32(text.cast("binary")).bitwiseAND(RANK_BUCKETS - 1).cast("int"),
+        lambda bucket: F.try_element_at(F.get(tables.tokens, bucket), text),
+    )
+    # Each is looked at in many places and stated once: a literal is copied to each otherwise.
+    merges = _let(
+        tables.shifts,
+        lambda shifts: _let(
+            tables.table, lambda table: _let(text, lambda text: _folded(text, shifts, table, tables.octets))
+        ),
+    )
+    return _let(own, lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(merges))
 
 
 def _let(value: Column, result: Callable[[Column], Column]) -> Column:
     """``result`` of a value that is computed once.
 
-    ``F.get`` would find out the type of ``result`` anew for every row.
+    ``F.get`` would find out the type of ``result`` anew for every row. So do sums and
+    products with what they are made of; below, these have variables, and long numbers are put
+    together by bits.
     """
     return F.element_at(F.transform(F.array(value), result), 1)
 
 
-def _folded(text: Column, ranks: Column) -> Column:
-    def rank(piece: Column) -> Column:
-        def found(piece: Column) -> Column:
-            bucket = F.crc32(piece.cast("binary")).bitwiseAND(RANK_BUCKETS - 1).cast("int")
-            return F.try_element_at(F.get(ranks, bucket), piece)
-
-        return _let(piece, found)
+def _folded(text: Column, shifts: Column, table: Column, octets: Column) -> Column:
+    # A part is one number: the rank of the pair it begins, below it the part's place, and
+    # below that its id. The least number is then the first pair of lowest rank. Ids and ranks
+    # count from 1 here, as in the table.
+    def part(rank: Column, place: Column, id: Column) -> Column:
+        return F.shiftleft(rank, PART_BITS).bitwiseOR(place).bitwiseOR(id)
 
-    # A part is one number: the rank of the pair it begins, and below it the part's place.
-    # The least number is then the first pair of lowest rank.
-    def entry(pair_rank: Column, start: Column) -> Column:
-        return pair_rank.cast("long") * PLACES + start
+    def id_of(part: Column) -> Column:
+        return part.bitwiseAND(IDS - 1)
 
-    def start(part: Column) -> Column:
-        return part.bitwiseAND(PLACES - 1).cast("int")
+    def place_of(part: Column) -> Column:
+        return part.bitwiseAND((1 << PART_BITS) - IDS)
 
-    def between(start: Column, end: Column) -> Column:
-        return F.substring(text, start + 1, end - start)
+    def rank(left: Column, right: Column) -> Column:
+        """IDS if there is none: a gap or another row's entry, less this row, is at least that; null counts for nothing."""
+        entry = F.get(table, F.get(shifts, left) + right)
+        return F.least(entry.bitwiseXOR(F.shiftleft(left, ID_BITS)), F.lit(IDS).cast("long"))
 
-    def pair(start: Column, end: Column) -> Column:
-        return entry(F.coalesce(rank(between(start, end)), F.lit(NONE)), start)
-
-    def merged(parts: Column, lowest: Column, at: Column) -> Column:
-        """Merge part ``at`` (from 1) with the next; only the pairs beside them change."""
-        before = F.get(parts, at - 2)
-        here = pair(start(lowest), start(F.get(parts, at + 2)))
-        left = pair(start(before), start(F.get(parts, at + 1)))
+    def merged(parts: Column, lowest: Column, whole: Column, at: Column) -> Column:
+        """Merge part ``at`` (from 0) with the next; only the pairs beside them change."""
+        before = F.get(parts, at - 1)
+        left = part(rank(id_of(before), whole), place_of(before), id_of(before))
+        here = part(rank(whole, id_of(F.get(parts, at + 2))), place_of(lowest), whole)
         return F.transform(
-            F.array_remove(parts, F.get(parts, at)),
-            lambda part: F.when(part == lowest, here).when(part == before, left).otherwise(part),
+            F.sequence(F.lit(0), F.size(parts) - 2),
+            lambda i: (
+                F.when(i > at, F.get(parts, i + 1) - IDS)
+                .when(i == at, here)
+                .when(i + 1 == at, left)
+                .otherwise(F.get(parts, i))
+            ),
         )
 
     def step(parts: Column, _: Column) -> Column:
         def merge(lowest: Column) -> Column:
-            place = F.array_position(parts, lowest).cast("int")
-            one_less = _let(place, lambda at: merged(parts, lowest, at))
-            return F.when(lowest < NONE * PLACES, one_less).otherwise(parts)
+            # array_position would leave its loop by an exception, which takes long.
+            at = F.shiftright(place_of(lowest), ID_BITS).cast("int")
+            whole = F.shiftright(lowest, PART_BITS)
+            one_less = _let(at, lambda at: _let(whole, lambda whole: merged(parts, lowest, whole, at)))
+            return F.when(lowest < IDS << PART_BITS, one_less).otherwise(parts)
 
         return _let(F.array_min(parts), merge)
 
-    def ids(parts: Column) -> Column:
-        each = F.slice(parts, F.lit(1), F.size(parts) - 1)
-        return F.transform(each, lambda part, i: rank(between(start(part), start(F.get(parts, i + 1)))))
+    def parts(ids: Column) -> Column:
+        def octet(id: Column, i: Column) -> Column:
+            return part(rank(id, F.get(ids, i + 1)), F.shiftleft(i.cast("long"), ID_BITS), id)
+
+        return F.transform(ids, octet)
 
     end = F.length(text)
-    # The last part, and the end behind it, begin no pair.
-    octets = F.transform(
-        F.sequence(F.lit(0), end),
-        lambda i: F.when(i + 1 < end, pair(i, i + 2)).otherwise(entry(F.lit(NONE), i)),
+    ids = F.transform(
+        F.sequence(F.lit(1), end), lambda i: F.get(octets, F.ascii(F.substring(text, i, F.lit(1))))
     )
     # A word of one byte has no pair, and no round that counts.
     rounds = F.sequence(F.lit(1), F.greatest(end - 1, F.lit(1)))
-    merges = _let(F.aggregate(rounds, octets, step), ids)
-    return _let(rank(text), lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(merges))
+    merges = F.aggregate(rounds, _let(ids, parts), step)
+    return F.transform(merges, lambda part: id_of(part).cast("int") - 1)
 
 
 # --- words ------------------------------------------------------------------------
 
 
 class Numbers(dict):
-    """Numbers of words, as bytes, behind the known ones; in the order of their first occurrence."""
+    """Numbers of words: those of the frequent ones, and behind them in the order they are met."""
 
-    def __init__(self, known: dict[str, bytes]):
-        super().__init__()
-        self.known = known
+    def __init__(self, frequent: list[str]):
+        super().__init__(zip(frequent, range(len(frequent)), strict=True))
+        self.frequent = len(self)
 
-    def __missing__(self, word: str) -> bytes:
-        number = self.known.get(word)
-        if number is None:
-            number = self[word] = as_bytes([len(self.known) + len(self)])
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
         return number
 
+    def since(self, number: int) -> list[str]:
+        """The words from this number on."""
+        return list(islice(reversed(self), len(self) - number))[::-1]
+
+    def forget(self) -> None:
+        """All but the frequent words."""
+        while len(self) > self.frequent:
+            self.popitem()
+
+
+def word_numbers(pattern: str, numbers: Numbers) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function from texts to the numbers of their words, and how many each text has.
+
+    The split pattern never lets a word run from a visible character into white space, so
+    texts are cut before every single space that a visible character follows. Of the parts
+    of all texts each distinct one is looked at once, and all of them in one search.
+    """
+    import regex
+
+    words = regex.compile(pattern).findall
+
+    def run(text: str) -> list[int]:
+        return [numbers[word] for word in words(text)]
+
+    def runs_of(parts: list[str]) -> Runs:
+        """Numbers of the words of parts that each follow a space and begin with a visible character."""
+        found = words("".join([" " + part for part in parts]))
+        begins = np.flatnonzero(np.fromiter((word[0] == " " for word in found), bool, len(found)))
+        if len(begins) != len(parts):  # white space to one of the two only
+            return Runs.listed([run(" " + part) for part in parts])
+        flat = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+        return Runs(flat, np.diff(begins, append=len(found)))
+
+    def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts.fill_null(""), " ")
+        coded = lists.flatten().dictionary_encode()
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        index, parts = coded.indices.to_numpy(), coded.dictionary
+        later = np.ones(len(index), bool)
+        later[starts] = False
+        # White space that hangs together: such a text is not cut.
+        size = pc.binary_length(parts).to_numpy()
+        bound = (size == 0) | (size != pc.binary_length(pc.utf8_ltrim_whitespace(parts)).to_numpy())
+        whole = np.logical_or.reduceat(bound[index] & later, starts)
+        later &= np.repeat(~whole, lists.value_lengths().to_numpy())
+        used = np.zeros(len(parts), bool)
+        used[index[later]] = True
+        firsts = [
+            run((texts[at].as_py() or "") if uncut else parts[index[start]].as_py())
+            for at, (uncut, start) in enumerate(zip(whole.tolist(), starts.tolist(), strict=True))
+        ]
+        rest = runs_of(parts.filter(pa.array(used)).to_pylist())
+        # The first runs of the texts come before those of the other parts.
+        runs = Runs.listed(firsts).extended(rest)
+        places = (np.cumsum(used) + (len(firsts) - 1))[index]
+        places[starts] = np.arange(len(firsts))
+        later[starts] = True
+        lengths = np.add.reduceat(np.where(later, runs.lengths[places], 0), starts)
+        return runs.joined(places[later]), lengths
+
+    return numbered_words
+
 
 def numbered(
-    docs: DataFrame, pattern: str, most_words: int = CHUNK_WORDS, frequent: Sequence[str] = ()
+    docs: DataFrame, pattern: str, most_words: int = CHUNK_WORDS, frequent: pa.Array | None = None
 ) -> DataFrame:
     """Documents as numbers of words, in chunks; and the words that are new in each.
 
     Every chunk numbers the ``frequent`` words first; they are new in none.
 
     ``low`` and ``high`` are the halves of the numbers, ``high`` is null where all are 0;
-    ``words`` are numbered from ``first`` on.
+    ``words`` are numbered from ``first`` on. Documents that are looked at together state
+    their words at the first of them.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, chunk, chars = TaskContext.get().partitionId() << 32, 0, 0
-        flat = np.arange(len(frequent), dtype="<u4").tobytes()
-        known = {word: flat[4 * i : 4 * i + 4] for i, word in enumerate(frequent)}
-        numbers = Numbers(known)
-        encode = by_parts(numbers.__getitem__, pattern)
-        for doc_ids, texts in _slices(batches):
-            chunks, lows, highs, firsts, words = [], [], [], [], []
-            for text in texts:
-                if len(numbers) >= most_words or chars >= CHUNK_CHARS:
-                    chunk, chars, numbers = chunk + 1, 0, Numbers(known)
-                    encode = by_parts(numbers.__getitem__, pattern)
-                first = len(known) + len(numbers)
-                halves = np.frombuffer(encode(text or ""), "<u2").reshape(-1, 2)
-                chars += len(text or "")
-                new = list(islice(reversed(numbers), len(known) + len(numbers) - first))
-                new.reverse()
-                chunks.append(base + chunk)
-                lows.append(halves[:, 0].tobytes())
-                highs.append(halves[:, 1].tobytes() if halves[:, 1].any() else None)
-                firsts.append(first)
-                words.append([word.encode() for word in new])
+        numbers = Numbers([] if frequent is None else frequent.to_pylist())
+        numbers_of = word_numbers(pattern, numbers)
+        for doc_ids, texts, size in _runs_of_texts(batches, min(most_words**2 // WORDS_SQUARED, CHUNK_CHARS)):
+            if len(numbers) - numbers.frequent >= most_words or chars >= CHUNK_CHARS:
+                chunk, chars = chunk + 1, 0
+                numbers.forget()
+            chars += size
+            first = len(numbers)
+            flat, lengths = numbers_of(texts)
+            halves = flat.astype("<u4").view("<u2").reshape(-1, 2)
+            ends = np.cumsum(lengths).tolist()
+            lows, highs = [], []
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                lows.append(halves[start:end, 0].tobytes())
+                highs.append(halves[start:end, 1].tobytes() if halves[start:end, 1].any() else None)
+            new = [word.encode() for word in numbers.since(first)]
+            others = len(ends) - 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(chunks, pa.int64()), doc_ids, pa.array(lows, pa.binary()),
-                    pa.array(highs, pa.binary()), pa.array(firsts, pa.int32()),
-                    pa.array(words, pa.list_(pa.binary())),
+                    pa.array([base + chunk] * len(ends), pa.int64()), doc_ids, pa.array(lows, pa.binary()),
+                    pa.array(highs, pa.binary()), pa.array([first] + [len(numbers)] * others, pa.int32()),
+                    pa.array([new] + [[]] * others, pa.list_(pa.binary())),
                 ],
                 ["chunk", "doc_id", "low", "high", "first", "words"],
             )
@@ -213,19 +349,40 @@ def numbered(
     return rows.mapInArrow(split, NUMBERED)
 
 
-def with_ids(chunks: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def _runs_of_texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array, int]]:
+    """(doc_ids, texts, characters) of consecutive rows; more than ``most`` characters in single rows only."""
+    held, chars = [], 0
+    for batch in batches:
+        start = 0
+        for at, size in enumerate(pc.utf8_length(batch.column(1)).fill_null(0).to_pylist()):
+            if chars and chars + size > most:
+                held.append(batch.slice(start, at - start))
+                yield *_together(held), chars
+                held, start, chars = [], at, 0
+            chars += size
+        held.append(batch.slice(start))
+    if any(rows.num_rows for rows in held):
+        yield *_together(held), chars
+
+
+def _together(batches: list[pa.RecordBatch]) -> list[pa.Array]:
+    return [pa.concat_arrays([rows.column(i) for rows in batches]) for i in (0, 1)]
+
+
+def with_ids(chunks: DataFrame, tables: Tables) -> DataFrame:
     """Chunks with the ids of their new words; null for words beyond FOLD_BYTES, which are listed."""
-    literal = rank_literal(ranks)
     short = lambda word: F.octet_length(word) <= FOLD_BYTES
-    ids = F.transform("words", lambda word: F.when(short(word), folded(word, literal)))
+    ids = F.transform("words", lambda word: F.when(short(word), folded(word, tables)))
     return chunks.withColumn("ids", ids).withColumn("long", F.filter("words", lambda word: ~short(word)))
 
 
-def frequent_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> pa.Table:
+def frequent_words(
+    docs: DataFrame, pattern: str, ranks: dict[bytes, int], tables: Tables | None = None
+) -> pa.Table:
     """(word, ids) of at most FREQUENT_WORDS words that occur most in a sample, folded by Spark."""
     every = max(1, docs.count() // SAMPLE_DOCS)
     sample = docs.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(every)) == 0)
-    words = numbered(sample, pattern, SAMPLE_WORDS).select(F.explode("words").alias("word"))
+    words = numbered(sample, pattern).select(F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = saved(counts.where(F.octet_length("word") <= FOLD_BYTES), "word-counts")
     left, chosen = FREQUENT_WORDS, F.lit(True)
@@ -240,7 +397,7 @@ def frequent_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> pa
     return (
         counts.where(chosen)
         .repartition(SAMPLE_TASKS, "word")
-        .select("word", folded(F.col("word"), rank_literal(ranks)).alias("ids"))
+        .select("word", folded(F.col("word"), tables or Tables(ranks)).alias("ids"))
         .toArrow()
     )
 
@@ -248,29 +405,6 @@ def frequent_words(docs: DataFrame, pattern: str, ranks: dict[bytes, int]) -> pa
 # --- texts ------------------------------------------------------------------------
 
 
-class RecentParts(PartCache):
-    """A PartCache that keeps what was used lately when it is full.
-
-    Its entries then become the old ones, and those asked for again are taken from there:
-    rare parts make up most of a cache, and frequent ones need not be encoded anew.
-    """
-
-    def __init__(self, make: Callable[[str], object]):
-        super().__init__(make)
-        self.old: dict[str, object] = {}
-
-    def __missing__(self, part: str) -> object:
-        if part in self.old:
-            value = self.old[part]
-        else:
-            value = None if not part or part[0].isspace() else self.make(" " + part)
-        if len(self) >= CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-        self[part] = value
-        return value
-
-
 def by_parts(word_ids: Callable[[str], bytes], pattern: str) -> Callable[[str], bytes]:
     """A function that joins what the words of a text give; parts that repeat are kept."""
     import regex
@@ -280,8 +414,7 @@ def by_parts(word_ids: Callable[[str], bytes], pattern: str) -> Callable[[str],
     def part_ids(part: str) -> bytes:
         return b"".join([word_ids(word) for word in words(part)])
 
-    # Kept for one task: workers live on, and each corpus has words of its own.
-    cache = RecentParts(part_ids)
+    cache = PartCache(part_ids)
 
     def encode(text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -325,6 +458,11 @@ class Runs:
         self.flat, self.lengths = flat, lengths
         self.starts = np.cumsum(lengths) - lengths
 
+    @classmethod
+    def listed(cls, runs: list[list[int]]) -> Runs:
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        return cls(np.fromiter(chain.from_iterable(runs), np.int32, lengths.sum()), lengths)
+
     @classmethod
     def of(cls, lists: pa.ListArray) -> Runs:
         return cls(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
@@ -354,7 +492,7 @@ class Codec:
     @property
     def words(self) -> dict[bytes, bytes]:
         """The folded words of the codec's documents, for checks on a small corpus."""
-        chunks = with_ids(numbered(self.docs, self.pattern), self.ranks)
+        chunks = with_ids(numbered(self.docs, self.pattern), Tables(self.ranks))
         pairs = chunks.select(F.explode(F.arrays_zip("words", "ids")).alias("pair"))
         rows = pairs.where("pair.ids IS NOT NULL").select("pair.*")
         return {bytes(r.words): as_bytes(r.ids) for r in rows.distinct().collect()}
@@ -364,12 +502,15 @@ class Codec:
     ) -> DataFrame:
         """What ``result`` makes of doc_ids and ids, of documents in the order of their chunks."""
         ranks, pattern = self.ranks, self.pattern
-        frequent = frequent_words(docs, pattern, ranks)
-        known = Runs.of(frequent.column("ids").combine_chunks())
-        words = [word.decode() for word in frequent.column("word").to_pylist()]
+        tables = Tables(ranks)
+        frequent = frequent_words(docs, pattern, ranks, tables)
+        # As arrays: single words would take many times their memory here, and more in a pickle.
+        known_ids = frequent.column("ids").combine_chunks()
+        words = frequent.column("word").combine_chunks().cast(pa.string())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chunk, runs = None, known
+            known = runs = Runs.of(known_ids)
+            chunk = None
             for batch in batches:
                 chunks = batch.column("chunk").to_numpy()
                 starts = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist()] if len(chunks) else []
@@ -391,7 +532,7 @@ class Codec:
                     texts = [runs.joined(_whole(low, high)).astype("<u4") for low, high in halves]
                     yield result(rows.column("doc_id"), texts)
 
-        chunks = with_ids(numbered(docs, pattern, frequent=words), ranks)
+        chunks = with_ids(numbered(docs, pattern, frequent=words), tables)
         return chunks.select("chunk", "doc_id", "low", "high", "first", "ids", "long").mapInArrow(run, schema)
 
     def encoded(self, docs: DataFrame) -> DataFrame:

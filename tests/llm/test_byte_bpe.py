@@ -82,3 +82,41 @@ def test_words_are_folded_alike_whether_known_beforehand_or_not(spark, monkeypat
         assert known.num_rows <= most
         got = byte_bpe.Codec(docs, queries.RANKS, P.PATTERN).round_trip(docs)
         assert Counter(map(tuple, got.collect())) == want
+
+
+def test_pairs_are_looked_up_in_one_place():
+    """Every two ids with a common rank are at their place, and no others are."""
+    ranks = byte_bpe.read_ranks(queries.RANKS)
+    few = {piece: rank for piece, rank in ranks.items() if rank < 2000}
+    shifts, table = byte_bpe.pair_table(few)
+
+    def rank(left, right):
+        at = shifts[left + 1] + right + 1
+        entry = table[at] if 0 <= at < len(table) else 0
+        return (entry ^ (left + 1) << byte_bpe.ID_BITS) - 1
+
+    pieces = sorted(few, key=few.get)
+    for left in range(0, 2000, 7):
+        for right in range(2000):
+            want, got = few.get(pieces[left] + pieces[right]), rank(left, right)
+            assert got == want if want is not None else got >= byte_bpe.IDS - 1
+
+
+def test_texts_are_split_by_their_distinct_parts():
+    import pyarrow as pa
+    import regex
+
+    spaces = [" ", "  ", "\n", " \n", "\n ", "\t ", " ", "  ", "\x1c", " \x1f", "​ ", "\u0085 "]
+    rng = random.Random(9)
+    words = ["the", "l'été", "don't", "'s", "42", "a1", "…!", "漢字", "\x00"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", *spaces]) for _ in range(12)) for _ in range(400)]
+    texts += [None, "", " ", "  ", " the", "\nthe the ", "the"]
+    numbers = byte_bpe.Numbers(["the", " the", "never"])
+    flat, lengths = byte_bpe.word_numbers(P.PATTERN, numbers)(pa.array(texts))
+    found = [regex.findall(P.PATTERN, text or "") for text in texts]
+    known = numbers.since(0)
+    assert [known[number] for number in flat] == [word for each in found for word in each]
+    assert lengths.tolist() == [len(each) for each in found]
+    assert set(known) == {word for each in found for word in each} | {"never"}
+    numbers.forget()
+    assert numbers.since(0) == ["the", " the", "never"]
