@@ -232,24 +232,34 @@ def _folded(text: Column, shifts: Column, table: Column, octets: Column) -> Colu
 
 
 class Numbers(dict):
-    """Numbers of words: those of the frequent ones, and behind them in the order they are met."""
+    """Numbers of words: places of the frequent ones, and behind them the others as they are met.
 
-    def __init__(self, frequent: list[str]):
-        super().__init__(zip(frequent, range(len(frequent)), strict=True))
-        self.frequent = len(self)
+    The frequent words stay one array; as single strings they would be most of a worker.
+    """
+
+    def __init__(self, frequent: pa.Array):
+        super().__init__()
+        self.words, self.frequent = frequent, len(frequent)
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
+        number = self[word] = self.next
         return number
 
-    def since(self, number: int) -> list[str]:
-        """The words from this number on."""
-        return list(islice(reversed(self), len(self) - number))[::-1]
+    @property
+    def next(self) -> int:
+        return self.frequent + len(self)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        places = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
+        numbers = places.fill_null(-1).to_numpy().copy()
+        others = np.flatnonzero(numbers < 0)
+        found = (words[at] for at in others.tolist())
+        numbers[others] = np.fromiter(map(self.__getitem__, found), np.int32, len(others))
+        return numbers
 
-    def forget(self) -> None:
-        """All but the frequent words."""
-        while len(self) > self.frequent:
-            self.popitem()
+    def since(self, number: int) -> list[str]:
+        """The words from this number on, of those that are not frequent."""
+        return list(islice(reversed(self), self.next - number))[::-1]
 
 
 def word_numbers(pattern: str, numbers: Numbers) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
@@ -263,17 +273,16 @@ def word_numbers(pattern: str, numbers: Numbers) -> Callable[[pa.Array], tuple[n
 
     words = regex.compile(pattern).findall
 
-    def run(text: str) -> list[int]:
-        return [numbers[word] for word in words(text)]
-
-    def runs_of(parts: list[str]) -> Runs:
-        """Numbers of the words of parts that each follow a space and begin with a visible character."""
+    def parted(parts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words of parts that each follow a space and begin with a visible character, and how many each has."""
         found = words("".join([" " + part for part in parts]))
         begins = np.flatnonzero(np.fromiter((word[0] == " " for word in found), bool, len(found)))
         if len(begins) != len(parts):  # white space to one of the two only
-            return Runs.listed([run(" " + part) for part in parts])
-        flat = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
-        return Runs(flat, np.diff(begins, append=len(found)))
+            return listed([words(" " + part) for part in parts])
+        return found, np.diff(begins, append=len(found))
+
+    def listed(lists: list[list[str]]) -> tuple[list[str], np.ndarray]:
+        return list(chain.from_iterable(lists)), np.fromiter(map(len, lists), np.int64, len(lists))
 
     def numbered_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(texts.fill_null(""), " ")
@@ -289,15 +298,15 @@ def word_numbers(pattern: str, numbers: Numbers) -> Callable[[pa.Array], tuple[n
         later &= np.repeat(~whole, lists.value_lengths().to_numpy())
         used = np.zeros(len(parts), bool)
         used[index[later]] = True
-        firsts = [
-            run((texts[at].as_py() or "") if uncut else parts[index[start]].as_py())
+        firsts, first_lengths = listed([
+            words((texts[at].as_py() or "") if uncut else parts[index[start]].as_py())
             for at, (uncut, start) in enumerate(zip(whole.tolist(), starts.tolist(), strict=True))
-        ]
-        rest = runs_of(parts.filter(pa.array(used)).to_pylist())
+        ])
+        rest, rest_lengths = parted(parts.filter(pa.array(used)).to_pylist())
         # The first runs of the texts come before those of the other parts.
-        runs = Runs.listed(firsts).extended(rest)
-        places = (np.cumsum(used) + (len(firsts) - 1))[index]
-        places[starts] = np.arange(len(firsts))
+        runs = Runs(numbers.of(firsts + rest), np.concatenate([first_lengths, rest_lengths]))
+        places = (np.cumsum(used) + (len(starts) - 1))[index]
+        places[starts] = np.arange(len(starts))
         later[starts] = True
         lengths = np.add.reduceat(np.where(later, runs.lengths[places], 0), starts)
         return runs.joined(places[later]), lengths
@@ -319,14 +328,14 @@ def numbered(
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, chunk, chars = TaskContext.get().partitionId() << 32, 0, 0
-        numbers = Numbers([] if frequent is None else frequent.to_pylist())
+        numbers = Numbers(pa.array([], pa.string()) if frequent is None else frequent)
         numbers_of = word_numbers(pattern, numbers)
         for doc_ids, texts, size in _runs_of_texts(batches, min(most_words**2 // WORDS_SQUARED, CHUNK_CHARS)):
-            if len(numbers) - numbers.frequent >= most_words or chars >= CHUNK_CHARS:
+            if len(numbers) >= most_words or chars >= CHUNK_CHARS:
                 chunk, chars = chunk + 1, 0
-                numbers.forget()
+                numbers.clear()
             chars += size
-            first = len(numbers)
+            first = numbers.next
             flat, lengths = numbers_of(texts)
             halves = flat.astype("<u4").view("<u2").reshape(-1, 2)
             ends = np.cumsum(lengths).tolist()
@@ -339,7 +348,7 @@ def numbered(
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([base + chunk] * len(ends), pa.int64()), doc_ids, pa.array(lows, pa.binary()),
-                    pa.array(highs, pa.binary()), pa.array([first] + [len(numbers)] * others, pa.int32()),
+                    pa.array(highs, pa.binary()), pa.array([first] + [numbers.next] * others, pa.int32()),
                     pa.array([new] + [[]] * others, pa.list_(pa.binary())),
                 ],
                 ["chunk", "doc_id", "low", "high", "first", "words"],
@@ -458,11 +467,6 @@ class Runs:
         self.flat, self.lengths = flat, lengths
         self.starts = np.cumsum(lengths) - lengths
 
-    @classmethod
-    def listed(cls, runs: list[list[int]]) -> Runs:
-        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-        return cls(np.fromiter(chain.from_iterable(runs), np.int32, lengths.sum()), lengths)
-
     @classmethod
     def of(cls, lists: pa.ListArray) -> Runs:
         return cls(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
