@@ -4,8 +4,8 @@ Every task splits its documents into words (matches of the split pattern) and nu
 them: a chunk is a run of documents with a numbering of its own, a document a sequence of
 numbers. Spark folds the words that are new in each chunk, where they are: a word becomes an
 array of bytes, and an aggregate merges the adjacent pair of lowest rank until none has one.
-Ranks are a literal map, dealt into buckets by a hash so that a look-up is not a scan; ranks of
-pairs are kept, so that a merge asks for two. The next step of the same task puts the
+Ranks are one row of a table, dealt into buckets by a hash so that a look-up is not a scan; ranks
+of pairs are kept, so that a merge asks for two. The next step of the same task puts the
 documents together from the ids, so neither texts nor ids are shuffled.
 
 Words that most chunks have would be folded in each. Those that are frequent in a sample of
@@ -22,7 +22,6 @@ by the tokenizer library; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
-import json
 import sys
 import zlib
 from array import array
@@ -34,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paygrain.llm.byte_units import PartCache, encoding, read_ranks
@@ -65,21 +64,25 @@ SAMPLE_TASKS = 64
 NUMBERED = "chunk long, doc_id long, low binary, high binary, first int, words array<binary>"
 ENCODED = "doc_id long, ids binary"
 ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+TABLES = pa.struct({
+    "shifts": pa.list_(pa.int64()), "table": pa.list_(pa.int64()),
+    "tokens": pa.list_(pa.map_(pa.string(), pa.int32())), "octets": pa.list_(pa.int64()),
+})
 
 
 # --- the fold ---------------------------------------------------------------------
 
 
-def token_ids(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: an array of small maps, by a hash of the bytes.
+def token_ids(ranks: dict[bytes, int]) -> list[list[tuple[str, int]]]:
+    """The rank map as small maps, by a hash of the bytes.
 
     Bytes are written as the characters of the same number.
     """
-    buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
+    buckets: list[list[tuple[str, int]]] = [[] for _ in range(RANK_BUCKETS)]
     for piece, rank in ranks.items():
         text = piece.decode("latin-1")
-        buckets[zlib.crc32(text.encode()) % RANK_BUCKETS][text] = rank
-    return _literal(buckets, "array<map<string,int>>")
+        buckets[zlib.crc32(text.encode()) % RANK_BUCKETS].append((text, rank))
+    return buckets
 
 
 def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
@@ -123,23 +126,46 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return shifts, table
 
 
-def _literal(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
 class Tables:
-    """What a fold looks up, as literals."""
+    """What a fold looks up, in the columns of one row.
+
+    Spark hands the row to the tasks as the value of a scalar subquery. As literals its numbers
+    would stand in every plan, and Spark keeps the text of each plan that ran on the driver.
+    """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         if max(ranks.values(), default=0) >= IDS - 1:
             raise ValueError(f"ranks must be below {IDS - 1}")
         shifts, table = pair_table(ranks)
-        self.shifts, self.table = _literal(shifts, "array<bigint>"), _literal(table, "array<bigint>")
-        self.tokens = token_ids(ranks)
-        self.octets = _literal([ranks[bytes([octet])] + 1 for octet in range(256)], "array<bigint>")
+        row = {
+            "shifts": shifts,
+            "table": table,
+            "tokens": token_ids(ranks),
+            "octets": [ranks[bytes([octet])] + 1 for octet in range(256)],
+        }
+        self.row = spark.createDataFrame(pa.table({"tables": pa.array([row], TABLES)}))
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """The rows with the tables as a column, for one use of it in the next step.
+
+        A subquery may not be stated within a higher-order function; Spark puts it there itself
+        where the column is used once, so that no row holds the tables.
+        """
+        return rows.withColumn("tables", self.row.scalar())
+
 
+def with_tables(result: Callable[..., Column]) -> Column:
+    """``result`` of shifts, table, tokens and octets, which are looked up once a row."""
 
-def folded(word: Column, tables: Tables) -> Column:
+    def given(found: list[Column], names: list[str], tables: Column) -> Column:
+        if not names:
+            return result(*found)
+        return _let(tables.getField(names[0]), lambda value: given([*found, value], names[1:], tables))
+
+    return _let(F.col("tables"), lambda tables: given([], [field.name for field in TABLES], tables))
+
+
+def folded(word: Column, shifts: Column, table: Column, tokens: Column, octets: Column) -> Column:
     """Ids of a word (binary): merge the lowest-ranked adjacent pair while there is one.
 
     A word that has a rank itself is that id, as in the library.
@@ -147,15 +173,9 @@ def folded(word: Column, tables: Tables) -> Column:
     text = F.decode(word, "ISO-8859-1")
     own = _let(
         F.crc32(text.cast("binary")).bitwiseAND(RANK_BUCKETS - 1).cast("int"),
-        lambda bucket: F.try_element_at(F.get(tables.tokens, bucket), text),
-    )
-    # Each is looked at in many places and stated once: a literal is copied to each otherwise.
-    merges = _let(
-        tables.shifts,
-        lambda shifts: _let(
-            tables.table, lambda table: _let(text, lambda text: _folded(text, shifts, table, tables.octets))
-        ),
+        lambda bucket: F.try_element_at(F.get(tokens, bucket), text),
     )
+    merges = _let(text, lambda text: _folded(text, shifts, table, octets))
     return _let(own, lambda own: F.when(own.isNotNull(), F.array(own)).otherwise(merges))
 
 
@@ -381,8 +401,11 @@ def _together(batches: list[pa.RecordBatch]) -> list[pa.Array]:
 def with_ids(chunks: DataFrame, tables: Tables) -> DataFrame:
     """Chunks with the ids of their new words; null for words beyond FOLD_BYTES, which are listed."""
     short = lambda word: F.octet_length(word) <= FOLD_BYTES
-    ids = F.transform("words", lambda word: F.when(short(word), folded(word, tables)))
-    return chunks.withColumn("ids", ids).withColumn("long", F.filter("words", lambda word: ~short(word)))
+    ids = with_tables(
+        lambda *found: F.transform("words", lambda word: F.when(short(word), folded(word, *found)))
+    )
+    long = F.filter("words", lambda word: ~short(word))
+    return tables.beside(chunks).select(*chunks.columns, ids.alias("ids"), long.alias("long"))
 
 
 def frequent_words(
@@ -403,12 +426,10 @@ def frequent_words(
             chosen = (F.col("n") > n) | ((F.col("n") == n) & share)
             break
         left -= total
-    return (
-        counts.where(chosen)
-        .repartition(SAMPLE_TASKS, "word")
-        .select("word", folded(F.col("word"), tables or Tables(ranks)).alias("ids"))
-        .toArrow()
-    )
+    words = counts.where(chosen).repartition(SAMPLE_TASKS, "word")
+    tables = tables or Tables(docs.sparkSession, ranks)
+    ids = with_tables(lambda *found: folded(F.col("word"), *found))
+    return tables.beside(words).select("word", ids.alias("ids")).toArrow()
 
 
 # --- texts ------------------------------------------------------------------------
@@ -496,7 +517,7 @@ class Codec:
     @property
     def words(self) -> dict[bytes, bytes]:
         """The folded words of the codec's documents, for checks on a small corpus."""
-        chunks = with_ids(numbered(self.docs, self.pattern), Tables(self.ranks))
+        chunks = with_ids(numbered(self.docs, self.pattern), Tables(self.docs.sparkSession, self.ranks))
         pairs = chunks.select(F.explode(F.arrays_zip("words", "ids")).alias("pair"))
         rows = pairs.where("pair.ids IS NOT NULL").select("pair.*")
         return {bytes(r.words): as_bytes(r.ids) for r in rows.distinct().collect()}
@@ -506,7 +527,7 @@ class Codec:
     ) -> DataFrame:
         """What ``result`` makes of doc_ids and ids, of documents in the order of their chunks."""
         ranks, pattern = self.ranks, self.pattern
-        tables = Tables(ranks)
+        tables = Tables(docs.sparkSession, ranks)
         frequent = frequent_words(docs, pattern, ranks, tables)
         # As arrays: single words would take many times their memory here, and more in a pickle.
         known_ids = frequent.column("ids").combine_chunks()

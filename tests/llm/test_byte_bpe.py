@@ -69,6 +69,23 @@ def test_neither_texts_nor_ids_of_documents_are_shuffled(spark):
     assert plan.count("MapInArrow") == 2
 
 
+def test_what_a_fold_looks_up_stands_in_no_plan_and_no_row(spark, monkeypatch):
+    """The driver keeps the text of every plan; ranks as literals made it some 3 million characters."""
+
+    def text(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    docs = spark.createDataFrame([(i, f"word{i} and the rest") for i in range(20)], DOCS)
+    plans, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: plans.append(text(df)) or to_arrow(df))
+    plans.append(text(byte_bpe.Codec(docs, queries.RANKS, P.PATTERN).round_trip(docs)))
+    assert len(plans) == 2
+    for plan in plans:
+        assert len(plan) < 50_000
+        assert "Subquery" in plan
+        assert " AS tables#" not in plan
+
+
 def test_words_are_folded_alike_whether_known_beforehand_or_not(spark, monkeypatch):
     rng = random.Random(7)
     texts = [" ".join(lower(rng, 1, 4) for _ in range(60)) for _ in range(60)]
