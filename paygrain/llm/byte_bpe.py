@@ -48,7 +48,7 @@ CHUNK_WORDS = 1 << 19
 CHUNK_CHARS = 1 << 25
 # Texts are looked at together up to a chunk's words, squared, by this many characters: their
 # distinct words grow far slower than they do.
-WORDS_SQUARED = 1 << 17
+WORDS_SQUARED = 1 << 18
 # A fold's work grows with the square of a length. Words beyond this, of no language's
 # writing, go to the tokenizer library where their text is put together.
 FOLD_BYTES = 1 << 10
@@ -60,6 +60,8 @@ PART_BITS = ID_BITS + PLACES.bit_length() - 1
 FREQUENT_WORDS = 700_000
 SAMPLE_DOCS = 1 << 15
 SAMPLE_TASKS = 64
+# Words that are strings at a time while all are hashed.
+HASHED_WORDS = 1 << 15
 
 NUMBERED = "chunk long, doc_id long, low binary, high binary, first int, words array<binary>"
 ENCODED = "doc_id long, ids binary"
@@ -254,12 +256,18 @@ def _folded(text: Column, shifts: Column, table: Column, octets: Column) -> Colu
 class Numbers(dict):
     """Numbers of words: places of the frequent ones, and behind them the others as they are met.
 
-    The frequent words stay one array; as single strings they would be most of a worker.
+    The frequent words stay one array; as single strings they would be most of a worker. They
+    are found by their hashes, in order: a hash table of Arrow's would be built for every look-up.
     """
 
     def __init__(self, frequent: pa.Array):
         super().__init__()
         self.words, self.frequent = frequent, len(frequent)
+        hashes = np.empty(self.frequent, np.int64)
+        for at in range(0, self.frequent, HASHED_WORDS):
+            hashes[at : at + HASHED_WORDS] = self._hashes(frequent.slice(at, HASHED_WORDS).to_pylist())
+        self.places = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.places]
 
     def __missing__(self, word: str) -> int:
         number = self[word] = self.next
@@ -269,12 +277,20 @@ class Numbers(dict):
     def next(self) -> int:
         return self.frequent + len(self)
 
+    @staticmethod
+    def _hashes(words: list[str]) -> np.ndarray:
+        return np.fromiter(map(hash, words), np.int64, len(words))
+
     def of(self, words: list[str]) -> np.ndarray:
-        places = pc.index_in(pa.array(words, pa.string()), value_set=self.words)
-        numbers = places.fill_null(-1).to_numpy().copy()
-        others = np.flatnonzero(numbers < 0)
-        found = (words[at] for at in others.tolist())
-        numbers[others] = np.fromiter(map(self.__getitem__, found), np.int32, len(others))
+        numbers, others = np.zeros(len(words), np.int32), np.arange(len(words))
+        if self.frequent:
+            at = np.searchsorted(self.hashes, self._hashes(words))
+            numbers = self.places[np.minimum(at, self.frequent - 1)]
+            # A frequent word that another one's hash hides is numbered as it is met.
+            found = pc.equal(self.words.take(pa.array(numbers)), pa.array(words, pa.string()))
+            others = np.flatnonzero(~found.to_numpy(zero_copy_only=False))
+        met = (words[at] for at in others.tolist())
+        numbers[others] = np.fromiter(map(self.__getitem__, met), np.int32, len(others))
         return numbers
 
     def since(self, number: int) -> list[str]:
@@ -357,6 +373,8 @@ def numbered(
             chars += size
             first = numbers.next
             flat, lengths = numbers_of(texts)
+            # Arrow keeps what a group took; a worker would be half as large again.
+            pa.default_memory_pool().release_unused()
             halves = flat.astype("<u4").view("<u2").reshape(-1, 2)
             ends = np.cumsum(lengths).tolist()
             lows, highs = [], []

@@ -136,3 +136,16 @@ def test_texts_are_split_by_their_distinct_parts():
     assert [known[number] for number in flat] == [word for each in found for word in each]
     assert lengths.tolist() == [len(each) for each in found]
     assert set(known) == {word for each in found for word in each} | {"never"}
+
+
+def test_frequent_words_of_one_hash_are_numbered_as_they_are_met(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe.Numbers, "_hashes", staticmethod(lambda words: np.array([len(w) for w in words])))
+    numbers = byte_bpe.Numbers(pa.array(["the", "of", "and", "is"]))
+    words = ["the", "and", "of", "is", "a", "never", "and", "is", "the"]
+    got = numbers.of(words).tolist()
+    known = ["the", "of", "and", "is", *numbers.since(4)]
+    assert [known[number] for number in got] == words
+    assert len(numbers) == 4  # one of each two frequent words with a hash, and the others
+    assert byte_bpe.Numbers(pa.array([], pa.string())).of(words).tolist() == [0, 1, 2, 3, 4, 5, 1, 3, 0]
