@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paygrain.llm.byte_units import PartCache, encoding, read_ranks
+from paygrain.llm.byte_units import CACHE_ENTRIES, PartCache, encoding, read_ranks
 from paygrain.llm.store import saved, small_batches
 
 RANK_BUCKETS = 1 << 13
@@ -462,7 +462,7 @@ def by_parts(word_ids: Callable[[str], bytes], pattern: str) -> Callable[[str],
     def part_ids(part: str) -> bytes:
         return b"".join([word_ids(word) for word in words(part)])
 
-    cache = PartCache(part_ids)
+    cache = PartCache(part_ids, CACHE_ENTRIES)
 
     def encode(text: str) -> bytes:
         first, *rest = text.split(" ")

@@ -27,13 +27,13 @@ class PartCache(dict):
     its white space belongs together with its neighbour's.
     """
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make: Callable[[str], object], entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
 
     def __missing__(self, part: str) -> object:
         value = None if not part or part[0].isspace() else self.make(" " + part)
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.clear()
         self[part] = value
         return value
